@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Text bytes that one block holds at least (but for a partition's last block).
 BLOCK_BYTES = 4 << 20
@@ -51,6 +52,19 @@ def removed(df: DataFrame) -> None:
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def gapless_rank(rows: DataFrame, group: str, piece: str, order: list[str], name: str = "rank") -> DataFrame:
+    """rows with a rank, gapless from 0 in each group.
+
+    piece cuts a group into parts small enough for one task each; the parts' counts
+    give each its start, so no group is sorted as a whole.
+    """
+    before = Window.partitionBy(group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(group, piece).count().select(group, piece, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(group, piece).orderBy(*order)
+    ranked = rows.withColumn("__rank", F.row_number().over(within) - 1).join(starts, [group, piece])
+    return ranked.withColumn(name, (F.col("__rank") + F.col("__start")).cast("long")).drop("__rank", "__start")
+
+
 def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n+1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

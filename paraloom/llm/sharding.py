@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import gapless_rank, written
 
 #: Rows that one slot group holds on average.
 SLOT_GROUP = 20_000
@@ -80,8 +80,5 @@ def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id") -> Data
     groups = max(1, rows.count() // (SLOT_GROUP * shards))
     # rows that repeat one key spread over the partitions they were read in
     rows = rows.withColumn("sub", F.pmod(F.xxhash64(key, "text_crc32", "pid"), F.lit(groups)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "sub").count().select("shard", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "sub").orderBy(key, "text_crc32")
-    slotted = rows.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["shard", "sub"])
-    return slotted.select(key, "size", "text_crc32", "shard", (F.col("rank") + F.col("start")).cast("long").alias("slot"), "grown_shard")
+    slotted = gapless_rank(rows, "shard", "sub", [key, "text_crc32"], "slot")
+    return slotted.select(key, "size", "text_crc32", "shard", "slot", "grown_shard")
