@@ -65,6 +65,16 @@ def gapless_rank(rows: DataFrame, group: str, piece: str, order: list[str], name
     return ranked.withColumn(name, (F.col("__rank") + F.col("__start")).cast("long")).drop("__rank", "__start")
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined to the one row of groups that has their keys; rows carry pid, the partition they were written in.
+
+    groups go to each (keys, pid) first, so a key that a third of all rows share
+    is dealt out by pid and no task gets more than one partition's rows of it.
+    """
+    local = rows.select(*keys, "pid").distinct().join(groups, keys)
+    return rows.join(local, [*keys, "pid"])
+
+
 def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n+1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

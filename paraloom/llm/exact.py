@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -133,8 +133,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     seen = rows.select("digest", "pid", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     local = seen.groupBy("digest", "pid").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     groups = local.drop("pid").repartition("digest").mapInArrow(_combine, GROUPS)
-    per_pid = local.select("digest", "pid").join(groups, "digest")
-    return rows.join(per_pid, ["digest", "pid"]).select(
+    return spread_join(rows, groups, ["digest"]).select(
         F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256")
     )
 
