@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, licenses, media, minhash, packing, sharding
+from . import bpe, chat, exact, licenses, media, minhash, packing, quality, sharding
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives)
+    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives)
 }
 
 
