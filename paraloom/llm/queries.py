@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, licenses, media, minhash, packing, quality, sharding
+from . import bpe, chat, exact, licenses, media, minhash, packing, quality, sharding, suffix
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives)
+    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op5_suffix_dedup, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives)
 }
 
 
@@ -88,6 +93,16 @@ def _license_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op5_suffix_dedup": """
+    WITH bytes AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+    starts AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS p, h FROM bytes),
+    cut AS (SELECT doc_id, p, h[2 * p + 1 : 2 * p + 2] AS b, CASE WHEN 2 * p + 200 <= length(h) THEN md5_number(h[2 * p + 1 : 2 * p + 200]) END AS w FROM starts),
+    again AS (SELECT doc_id, p, b, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1 AS later FROM cut),
+    gone AS (SELECT doc_id, p, b, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS g FROM again),
+    runs AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM gone),
+    sums AS (SELECT doc_id, count(*) FILTER (g) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT g), '') AS k FROM runs GROUP BY doc_id)
+    SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+    FROM bytes LEFT JOIN sums USING (doc_id)""",
     "op6_exact_dedup": """
     SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
