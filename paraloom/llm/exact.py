@@ -140,5 +140,5 @@ def exact_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the copies: of equal texts, the row with the largest key stays; all columns as before."""
-    groups = exact_groups(docs, key).where("kept").select(F.col(key).alias("__kept"))
-    return docs.join(groups, docs[key].eqNullSafe(groups["__kept"]), "left_semi")
+    copies = exact_groups(docs, key).where("NOT kept").select(F.col(key).alias("__copy")).distinct()
+    return docs.join(copies, docs[key].eqNullSafe(copies["__copy"]), "left_anti")

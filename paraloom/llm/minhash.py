@@ -227,5 +227,5 @@ def near_groups(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) ->
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """docs without near copies: of each group the document with the smallest key stays; all columns as before."""
-    kept = near_groups(docs, key, percent).where("kept").select(F.col(key).alias("__kept"))
-    return docs.join(kept, docs[key] == kept["__kept"], "left_semi")
+    copies = near_groups(docs, key, percent).where("NOT kept").select(F.col(key).alias("__copy")).distinct()
+    return docs.join(copies, docs[key] == copies["__copy"], "left_anti")

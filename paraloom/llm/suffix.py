@@ -242,7 +242,7 @@ def _earlier_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield pa.RecordBatch.from_arrays([pa.array([int(block[part[0]])], pa.int64()), pa.array([shard], pa.int32()), pa.array([pack_arrays(index[part], windows[part], mine)], pa.binary())], names=["block", "shard", "flags"])
 
 
-def _apply(key: str, shards: int):
+def _apply(key: str, shards: int, carry: list[str] | None):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """answers: rows of anchor flags (kind 0) and of windows that occur earlier (kind 1)."""
         block, keys, found = _read(texts.column("texts")[0].as_py(), key)
@@ -271,16 +271,21 @@ def _apply(key: str, shards: int):
         kept = data[~gone]
         kept_ends = ends - upto[ends]
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(kept_ends.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())])
-        return pa.table({key: block.column(key), "n_bytes": pa.array(np.diff(ends)), "n_removed": pa.array(np.diff(upto[ends])), "n_spans": pa.array(np.diff(spans[ends])), "kept": column.cast(pa.binary())})
+        more = {c: block.column(c) for c in carry or []}
+        texts_kept = {} if carry is None else {"text": pa.array([kept[s:e].tobytes().decode(errors="ignore") for s, e in zip(kept_ends[:-1], kept_ends[1:], strict=True)], pa.string())}
+        return pa.table({key: block.column(key), **more, "n_bytes": pa.array(np.diff(ends)), "n_removed": pa.array(np.diff(upto[ends])), "n_spans": pa.array(np.diff(spans[ends])), "kept": column.cast(pa.binary()), **texts_kept})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans (maximal runs removed) and kept, the bytes that stay."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans (maximal runs removed) and kept, the bytes that stay.
+
+    With carry, the named columns of docs come along and kept comes as text as well, without incomplete characters.
+    """
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, "text")
+    rows = docs.select(key, "text", *(carry or []))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [key, *(carry or [])])
     shards = max(8, 2 * rows._jdf.rdd().getNumPartitions())
     blocks = written(rows.mapInArrow(_blocks(key), "block long, texts binary"), "blocks")
     asked = blocks.mapInArrow(_anchor_requests(key, shards), "shard int, block long, keys binary")
@@ -291,10 +296,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     sorted_chunks = chunks.withColumn("marks", call(spark, "SuffixGroups", source, "repeats", F.col("text"), F.lit(LENGTH)))
     told = sorted_chunks.mapInArrow(_earlier_windows, "block long, shard int, flags binary")
     answers = flags.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1)))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_apply(key, shards), f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_apply(key, shards, carry), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary" + ", text string" * (carry is not None))
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with what remove_repeats() keeps as text; all columns as before. Characters cut in two and texts with nothing left go."""
-    kept = remove_repeats(docs, key).select(F.col(key).alias("__key"), F.decode(F.col("kept"), F.lit("UTF-8")).alias("__kept"))
-    return kept
+    """docs with what remove_repeats() keeps as their text; all columns as before, n_chars made anew.
+
+    Characters that a cut left incomplete go; documents with nothing left go, unless they were empty before.
+    """
+    kept = remove_repeats(docs, key, carry=[c for c in docs.columns if c not in (key, "text")])
+    whole = kept.where("n_removed = 0 OR octet_length(text) > 0")
+    if "n_chars" in docs.columns:
+        whole = whole.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.select(*docs.columns)
