@@ -1,17 +1,52 @@
-"""The corpus pipeline: STAGES in order, each over all that its predecessor kept."""
+"""The corpus pipeline: STAGES in order, each over all that its predecessor kept.
+
+Each stage calls one operator, takes (spark, docs, sf_dir) and returns a DataFrame
+that is written and read again as the next one's docs. All but the last return the
+columns of documents. Rejected documents, copies, near copies (one of each group
+stays) and repeated passages go; what is left is packed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paraloom.llm import exact
+from paraloom.llm import exact, minhash, packing, quality, suffix
 from paraloom.llm.common import table, written
 
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(docs)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.substring_dedup(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), ["doc_id", "start"])
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact dedup", lambda spark, docs, sf_dir: exact.exact_dedup(docs)),
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("suffix dedup", suffix_stage),
+    ("packing", packing_stage),
 ]
+#: SQL has no byte-pair encoding, Kneser-Ney model or packing plan; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
