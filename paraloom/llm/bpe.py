@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 256
 #: Words, and as many blank-delimited chunks of words, in each generation that a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 NO_RANK = 1 << 40
 OUT_BYTES = 8 << 20
 
@@ -74,10 +74,12 @@ class ByteBPE:
         self.byte_ids = [0] * 256
         for c, b in of_char.items():
             self.byte_ids[b] = model["vocab"][c]
-        self.pairs: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # of a pair of ids, as one number
+        self.merged: dict[int, int] = {}  # the id it becomes
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault(model["vocab"][left] * self.size + model["vocab"][right], (rank, model["vocab"][left + right]))
+            self.ranks.setdefault(at := model["vocab"][left] * self.size + model["vocab"][right], rank)
+            self.merged.setdefault(at, model["vocab"][left + right])
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.specials.items():
             self.token_bytes[i] = content.encode()
@@ -92,37 +94,38 @@ class ByteBPE:
         parts = [self.byte_ids[b] for b in word]
         if len(parts) > LONG_WORD:
             return self._merge_long(parts)
-        size, of_pair, none = self.size, self.pairs.get, (NO_RANK, 0)
-        found = [of_pair(a * size + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
-        ranks = [r for r, _ in found]
-        while ranks and (least := min(ranks)) != NO_RANK:
+        size, rank, merged = self.size, self.ranks.get, self.merged
+        ranks = [rank(a * size + b, NO_RANK) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        last = len(ranks) - 1
+        while last >= 0 and (least := min(ranks)) != NO_RANK:
             i = ranks.index(least)
-            parts[i] = of_pair(parts[i] * size + parts[i + 1])[1]
+            new = parts[i] = merged[parts[i] * size + parts[i + 1]]
             del parts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = of_pair(parts[i] * size + parts[i + 1], none)[0]
+            if i < last:
+                ranks[i] = rank(new * size + parts[i + 1], NO_RANK)
             if i:
-                ranks[i - 1] = of_pair(parts[i - 1] * size + parts[i], none)[0]
+                ranks[i - 1] = rank(parts[i - 1] * size + new, NO_RANK)
+            last -= 1
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
-        n, size, of_pair = len(parts), self.size, self.pairs.get
+        n, size, rank, merged = len(parts), self.size, self.ranks.get, self.merged
         after, before, parts = [*range(1, n), -1], [*range(-1, n - 1)], list(parts)
-        heap = [(p[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (p := of_pair(parts[i] * size + parts[i + 1]))]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] * size + parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j < 0 or parts[j] != right:
                 continue  # a neighbour has changed since
-            parts[i], parts[j] = of_pair(left * size + right)[1], -1
+            parts[i], parts[j] = merged[left * size + right], -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-                if p := of_pair(parts[i] * size + parts[after[i]]):
-                    heapq.heappush(heap, (p[0], i, parts[i], parts[after[i]]))
-            if (k := before[i]) >= 0 and (p := of_pair(parts[k] * size + parts[i])):
-                heapq.heappush(heap, (p[0], k, parts[k], parts[i]))
+                if (r := rank(parts[i] * size + parts[after[i]])) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
+            if (k := before[i]) >= 0 and (r := rank(parts[k] * size + parts[i])) is not None:
+                heapq.heappush(heap, (r, k, parts[k], parts[i]))
         return [p for p in parts if p >= 0]
 
     def encode(self, text: str) -> bytes:
