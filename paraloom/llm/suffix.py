@@ -3,11 +3,12 @@
 A minimiser picks one anchor, a string of GRAM bytes, in each window of LENGTH
 bytes by content alone, so equal windows have equal anchors at equal places. A
 zone is all that the windows with one anchor cover. Only zones whose anchor occurs
-twice in the corpus can repeat; they meet by anchor, and the suffix array of the
-different zones of an anchor (linear grouping, see suffix_groups.java) tells which
-of their windows occur earlier. Equal zones of a block travel once; an anchor that
-occurs in over HOT_BLOCKS blocks goes on window by window, keyed by the window's own
-content, so no anchor gathers more than that many blocks' zones.
+twice in the corpus can repeat; they meet by anchor. Where all zones of an anchor are
+equal (128 bits of hash), all but the first repeat whole. Where they differ, the
+suffix array of the different zones (linear grouping, see suffix_groups.java) tells
+which of their windows occur earlier. Equal zones of a block travel once; different
+zones of an anchor that occurs in over HOT_BLOCKS blocks go on window by window, keyed
+by the window's own content, so no anchor gathers more than that many blocks' zones.
 
 Earlier means smaller key, then (for repeated keys) the place in the table that was
 written, then the position.
@@ -35,7 +36,7 @@ from .minhash import BASE, BASE_INVERSE, LEVEL_CODES, WORD_CODES
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 HOT_BLOCKS = 64
 #: Bytes of zones that one suffix array takes at least (whole anchors stay together).
 CHUNK = 1 << 20
@@ -103,29 +104,44 @@ def _blocks(key: str):
 
 
 def _anchor_requests(key: str, shards: int):
+    """For each block and shard: sorted keys (lowest bit: occurs twice here) and their zones' hashes (lowest bit: zones differ here)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
                 found = _read(texts.as_py(), key)[2]
-                keys, counts = np.unique(found.key, return_counts=True)
-                keys |= (counts > 1).astype(np.uint64)
+                order = np.lexsort((found.zone, found.key))
+                keys, zones = found.key[order], found.zone[order] & ~np.uint64(1)
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+                last = np.append(first[1:], len(keys)) - 1
+                keys, zones = keys[first] | (last > first).astype(np.uint64), zones[first] | (zones[first] != zones[last]).astype(np.uint64)
                 shard = (keys >> np.uint64(1)) % np.uint64(shards)
                 order = np.argsort(shard, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                     if len(part):
-                        yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), pa.array([block], pa.int64()), pa.array([keys[part].tobytes()], pa.binary())], names=["shard", "block", "keys"])
+                        yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), pa.array([block], pa.int64()), pa.array([keys[part].tobytes()], pa.binary()), pa.array([zones[part].tobytes()], pa.binary())], names=["shard", "block", "keys", "zones"])
 
     return run
 
 
+#: Flags of an anchor: it occurs again, in over HOT_BLOCKS blocks, with different zones.
+AGAIN, HOT, DIFFERENT = 1, 2, 4
+
+
 def _repeated_anchors(asked: pa.Table) -> pa.Table:
-    """For each block's anchors, in order: 1 if it occurs again somewhere, 3 if in many blocks."""
+    """The flags of each block's anchors, in order."""
     parts = [np.frombuffer(k.as_py(), np.uint64) for k in asked.column("keys")]
-    keys = np.concatenate(parts)
-    bare, twice = keys & ~np.uint64(1), (keys & np.uint64(1)).astype(bool)
-    _, back, blocks = np.unique(bare, return_inverse=True, return_counts=True)
-    blocks = blocks[back]
-    flags = ((blocks > 1) | twice).astype(np.uint8) | (blocks > HOT_BLOCKS).astype(np.uint8) << np.uint8(1)
+    keys, zones = np.concatenate(parts), np.concatenate([np.frombuffer(z.as_py(), np.uint64) for z in asked.column("zones")])
+    order = np.argsort(keys >> np.uint64(1), kind="stable")
+    bare = keys[order] >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], bare[1:] != bare[:-1])))
+    many = np.diff(np.append(first, len(bare)))
+    twice = np.maximum.reduceat(keys[order] & np.uint64(1), first) > 0
+    low, high = np.minimum.reduceat(zones[order], first), np.maximum.reduceat(zones[order], first)
+    differ = (low != high) | (low & np.uint64(1)).astype(bool)
+    flag = ((many > 1) | twice).astype(np.uint8) * AGAIN | (many > HOT_BLOCKS).astype(np.uint8) * HOT | differ.astype(np.uint8) * DIFFERENT
+    flags = np.zeros(len(keys), np.uint8)
+    flags[order] = np.repeat(flag, many)
     out = np.split(flags, np.cumsum([len(p) for p in parts])[:-1])
     return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "flags": pa.array([f.tobytes() for f in out], pa.binary())})
 
@@ -140,17 +156,20 @@ class Zones:
         for s, values in flags.items():
             flag[shard == s] = values
         flag = flag[np.searchsorted(unique, found.key)] if len(unique) else flag
-        plain, hot = np.flatnonzero(flag == 1), np.flatnonzero(flag == 3)
+        flag[flag & AGAIN == 0] = 0
+        hot = np.flatnonzero(flag == AGAIN | HOT | DIFFERENT)
+        plain = np.flatnonzero((flag > 0) & (flag != AGAIN | HOT | DIFFERENT))
         many = found.high[hot] - found.low[hot] + 1
-        each = np.repeat(found.low[hot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(hot) else hot
+        each = np.repeat(found.low[hot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         self.low = np.concatenate((found.low[plain], each)).astype(np.int64)
         self.end = np.concatenate((found.high[plain] + LENGTH, each + LENGTH)).astype(np.int64)
         self.row = np.concatenate((found.row[plain], np.repeat(found.row[hot], many)))
+        self.differ = np.concatenate((flag[plain] & DIFFERENT > 0, np.zeros(len(each), bool)))
         content = found.hashed(self.low, self.end) if len(self.low) else np.zeros(0, np.uint64)
         self.key = np.concatenate((found.key[plain], mixed(content[len(plain) :] + LEVEL_CODES[200])))
         self.doc = keys[self.row] if len(self.row) else np.zeros(0, np.int64)
         order = np.lexsort((self.low, self.doc, content, self.key))
-        for name in ("low", "end", "row", "key", "doc"):
+        for name in ("low", "end", "row", "key", "doc", "differ"):
             setattr(self, name, getattr(self, name)[order])
         self.content = content[order]
         self.head = np.concatenate(([True], (self.key[1:] != self.key[:-1]) | (self.content[1:] != self.content[:-1]))) if len(order) else np.zeros(0, bool)
@@ -177,10 +196,11 @@ def _send_zones(key: str, shards: int):
             zones = Zones(found, keys, _flags(answers), shards)
             for s in np.unique(zones.shard):
                 h = zones.heads(s)
-                body = pa.compress(_joined(found.data, zones.low[h], zones.end[h]).tobytes(), codec="zstd", asbytes=True)
+                d = h[zones.differ[h]]  # only these need their bytes compared
+                sent = pack_arrays(zones.key[h], (zones.end[h] - zones.low[h]).astype(np.uint16), zones.doc[h], zones.low[h].astype(np.uint32), zones.differ[h].astype(np.uint8), zones.content[d], _joined(found.data, zones.low[d], zones.end[d]))
                 out["shard"].append(int(s))
                 out["block"].append(texts.column("block")[0].as_py())
-                out["zones"].append(pack_arrays(zones.key[h], zones.content[h], (zones.end[h] - zones.low[h]).astype(np.uint32), zones.doc[h], zones.low[h].astype(np.uint32), np.frombuffer(body, np.uint8)))
+                out["zones"].append(len(sent).to_bytes(8, "little") + pa.compress(sent, codec="zstd", asbytes=True))
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "block": pa.array(out["block"], pa.int64()), "zones": pa.array(out["zones"], pa.binary())})
 
     return run
@@ -192,21 +212,25 @@ CHUNKS = "shard int, text binary, owner binary, copies binary"
 def _zone_texts(sent: pa.Table) -> pa.Table:
     """Texts of different zones of one anchor, first occurrences first, and which zones are mere copies."""
     shard, blocks = sent.column("shard")[0].as_py(), sent.column("block").to_numpy()
-    parts = [unpack_arrays(z.as_py()) for z in sent.column("zones")]
-    lengths = [p[2].astype(np.int64) for p in parts]
-    data = np.concatenate([np.frombuffer(pa.decompress(p[5].tobytes(), int(n.sum()), codec="zstd", asbytes=True), np.uint8) for p, n in zip(parts, lengths, strict=True)])
-    key, content, length, doc, low = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    length = length.astype(np.int64)
-    begin = np.cumsum(length) - length
+    blobs = [z.as_py() for z in sent.column("zones")]
+    parts = [unpack_arrays(pa.decompress(z[8:], int.from_bytes(z[:8], "little"), codec="zstd", asbytes=True)) for z in blobs]
+    key, length, doc, low, differ = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    length, differ = length.astype(np.int64), differ.astype(bool)
+    content = np.zeros(len(key), np.uint64)
+    content[differ] = np.concatenate([p[5] for p in parts])
+    data = np.concatenate([p[6] for p in parts])
+    begin = np.cumsum(length * differ) - length * differ
     block = np.repeat(blocks, [len(p[0]) for p in parts])
     index = np.concatenate([np.arange(len(p[0])) for p in parts])
     order = np.lexsort((low, block, doc, content, key))
     same = np.concatenate(([False], (key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1])))
     copies, first = order[same], order[~same]
+    first = first[differ[first]]
     first = first[np.lexsort((low[first], block[first], doc[first], key[first]))]
-    starts = np.flatnonzero(np.concatenate(([True], key[first][1:] != key[first][:-1])))
-    several = np.repeat(np.diff(np.append(starts, len(first))), np.diff(np.append(starts, len(first)))) > 1
-    first = first[several]
+    if len(first):
+        starts = np.flatnonzero(np.concatenate(([True], key[first][1:] != key[first][:-1])))
+        several = np.diff(np.append(starts, len(first)))
+        first = first[np.repeat(several, several) > 1]
     rows: list[tuple[bytes, bytes, bytes]] = [(b"", b"", pack_arrays(block[copies], index[copies], length[copies]))] if len(copies) else []
     if len(first):
         group = np.concatenate(([0], np.cumsum(key[first][1:] != key[first][:-1])))
@@ -286,9 +310,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", carry: list[str] | None
     spark = docs.sparkSession
     rows = docs.select(key, "text", *(carry or []))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [key, *(carry or [])])
-    shards = max(8, 2 * rows._jdf.rdd().getNumPartitions())
+    shards = max(8, rows._jdf.rdd().getNumPartitions())
     blocks = written(rows.mapInArrow(_blocks(key), "block long, texts binary"), "blocks")
-    asked = blocks.mapInArrow(_anchor_requests(key, shards), "shard int, block long, keys binary")
+    asked = blocks.mapInArrow(_anchor_requests(key, shards), "shard int, block long, keys binary, zones binary")
     flags = written(asked.groupBy("shard").applyInArrow(_repeated_anchors, "block long, shard int, flags binary"), "anchor-flags")
     sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_zones(key, shards), "shard int, block long, zones binary")
     chunks = sent.groupBy("shard").applyInArrow(_zone_texts, CHUNKS)
