@@ -5,11 +5,14 @@ an element gets the value j + a random fraction. Taken level by level for all
 elements at once, a document is done at the first level at which all its slots
 are filled (no later value can be smaller), which is the early stop.
 
-Documents with the same set are one class. Classes that agree in a band are
-candidates: each is compared with three members of its band's bucket, then, for
-buckets whose members ended in different groups, with the members of the other
-groups, so no link between classes that share a band is lost. 42 bands of 3 rows
-miss a pair of similarity 0.75 with a chance below 1e-9.
+Documents with the same set are one class. Classes that agree in a band meet in its
+bucket. There, pairs whose signatures agree in LIKELY slots are likely; each member
+goes to one star of likely pairs, which are confirmed on the full sets. Where a
+bucket's members then lie in different groups, all likely pairs between the groups
+are confirmed too, so no likely link is lost. The chance to miss a pair of similarity
+0.75 is below 1e-9 for 42 bands of 3 rows and below 1e-8 for LIKELY of 126 slots.
+Members of a bucket of over HOT_BUCKET meet again by that band and a second one, any of
+the SECOND next ones (a pair of 0.75 shares no two such bands with a chance below 1e-7).
 
 Defined cases: null or empty text, and text without words, has an empty set and is
 linked with nothing; fewer than `words` words make one shingle; repeated rows and
@@ -31,6 +34,7 @@ from .common import mixed, removed, spread_join, text_blocks, utf8_column, writt
 BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
 WORDS, PERCENT = 5, 75
+LIKELY, HOT_BUCKET, SECOND = 67, 4096, 14
 UNFILLED = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE, BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _numbers = lambda n, seed: mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
@@ -124,7 +128,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def signature_rows(docs: DataFrame, key: str) -> DataFrame:
-    """Per row: key, n_shingles, set_a and set_b (128 bits of the whole set), bands, pid."""
+    """Per row: key, n_shingles, set_a and set_b (128 bits of the whole set), bands, marks (a byte of each slot), pid."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,16 +139,79 @@ def signature_rows(docs: DataFrame, key: str) -> DataFrame:
             if len(filled):
                 for i, total in enumerate(sums):
                     total[filled] = np.add.reduceat(mixed(codes + WORD_CODES[i + 32]), ends[filled])
-            bands = np.zeros((len(sizes), 0), np.int64)
-            if len(sizes):
-                bands = band_keys(super_minhash(codes, ends))
+            signed = super_minhash(codes, ends)
+            bands, marks = band_keys(signed), (mixed(signed) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+            marks = [marks[i : i + SLOTS] for i in range(0, len(marks), SLOTS)]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([block.column(key).combine_chunks(), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), bands], names=[key, "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([block.column(key).combine_chunks(), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), bands, pa.array(marks, pa.binary())], names=[key, "n_shingles", "set_a", "set_b", "bands", "marks"])
 
-    rows = docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
+    rows = docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
     return rows.withColumn("pid", F.spark_partition_id())
 
 
+def _likely(marks: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which members are likely pairs of each of some rows; a tile at a time."""
+    out = np.zeros((len(rows), len(marks)), bool)
+    step = max(1, (1 << 24) // (len(marks) * SLOTS))
+    for i in range(0, len(rows), step):
+        out[i : i + step] = (marks[rows[i : i + step], None, :] == marks[None]).sum(2, dtype=np.uint8) >= LIKELY
+    return out
+
+
+def star_pairs(ids: np.ndarray, marks: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Each member with the first member before it that is the centre of a star and a likely pair; else it is a centre itself."""
+    out, free = [], np.arange(len(ids))
+    while len(free) > 1:
+        likely = _likely(marks[free], np.zeros(1, np.int64))[0]
+        likely[0] = False
+        out.append(np.stack((np.full(likely.sum(), ids[free[0]]), ids[free[likely]])))
+        likely[0] = True
+        free = free[~likely]
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+def cross_pairs(ids: np.ndarray, marks: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """All likely pairs of members of different groups."""
+    out = []
+    for start in range(0, len(ids), 256):
+        rows = np.arange(start, min(start + 256, len(ids)))
+        i, j = np.nonzero(_likely(marks, rows) & (labels[rows, None] < labels[None]))
+        out.append(np.stack((ids[rows[i]], ids[j])))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+def _in_buckets(find):
+    """find() over each bucket of rows sorted by bucket: pairs (a, b), a < b."""
+
+    def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        ids, labels = t.column("id").to_numpy(), t.column("label").to_numpy()
+        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(ids), SLOTS)
+        bucket = t.column("bucket").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(ids)]
+        found = np.concatenate([np.zeros((2, 0), np.int64), *(find(ids[s:e], marks[s:e], labels[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1)], axis=1)
+        found = np.unique(np.sort(found, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column("bucket").to_numpy()
+            whole = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            if whole or held and held[-1].column("bucket")[0].as_py() != bucket[0]:
+                if whole:
+                    held.append(batch.slice(0, whole))
+                yield pairs(held)
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield pairs(held)
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,21 +267,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) ->
     classes = rows.where("n_shingles > 0").groupBy(*whole).agg(F.min(key).cast("long").alias("id"))
     classes = written(classes, "classes")
     heads = rows.withColumn("id", F.col(key).cast("long")).join(classes, [*whole, "id"], "left_semi").dropDuplicates(["id"])
-    members = heads.select("id", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("id", F.xxhash64("id")).alias("some")).where("n > 1")
-    members = written(members.join(buckets.drop("n"), "bucket"), "buckets")
-    pairs = members.select(F.explode(F.array_distinct(F.array("low", "high", "some"))).alias("c"), "id").where("c <> id")
-    pairs = written(pairs.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), "pairs")
-    texts = docs.select(F.col(key).cast("long").alias("id"), "text").join(members.select("id").distinct(), "id").dropDuplicates(["id"])
+    members = heads.select("id", F.posexplode("bands").alias("band", "bucket"))
+    several = lambda df: df.join(df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
+    members = written(several(members), "buckets")
+    hot = members.where(F.col("n") > HOT_BUCKET).join(heads.select("id", "bands"), "id").withColumn("next", F.explode(F.sequence(F.lit(1), F.lit(SECOND))))
+    hot = hot.select("id", F.xxhash64("bucket", F.element_at("bands", (F.col("band") + F.col("next")) % BANDS + 1)).alias("bucket"))
+    members = members.where(F.col("n") <= HOT_BUCKET).select("bucket", "id").union(several(hot).select("bucket", "id"))
+    members = written(members.join(heads.select("id", "marks"), "id").select("bucket", "id", "marks"), "members")
+    ordered = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "id")
+    pairs = ordered(members.withColumn("label", F.col("id"))).mapInArrow(_in_buckets(star_pairs), "a long, b long")
+    pairs = written(pairs.distinct(), "pairs")
+    texts = docs.select(F.col(key).cast("long").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, "candidates")
     checked = written(confirmed(pairs, texts, percent), "checked")
     labels = components(checked.where("linked"))
-    # members of one bucket in different groups that were not compared yet
-    apart = members.select("bucket", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # members of one bucket in different groups
+    apart = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed_buckets = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    apart = apart.join(mixed_buckets, "bucket")
-    other = apart.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
-    rest = apart.join(other, "bucket").where("label < label2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    apart = apart.join(mixed_buckets, "bucket", "left_semi").select("bucket", "id", "marks", "label")
+    rest = ordered(apart).mapInArrow(_in_buckets(cross_pairs), "a long, b long").distinct()
     rest = written(rest.join(checked, ["a", "b"], "left_anti"), "rest")
     more = written(confirmed(rest, texts, percent).where("linked"), "checked")
     if more.head(1):
