@@ -22,17 +22,18 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Fixed value: the pattern of byte-level pre-tokenising.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG_WORD = 256
+LONG_WORD, WIDE_WORD = 256, 40
 #: Words, and as many blank-delimited chunks of words, in each generation that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NO_RANK = 1 << 40
-OUT_BYTES = 8 << 20
+RUN_CHARACTERS = 2 << 20
 
 
 def byte_characters() -> dict[str, int]:
@@ -42,23 +43,26 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Remembered(dict):
+class Remembered:
     """Encoded strings in two generations; when the newer is full, it becomes the older, so frequent ones stay."""
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.encode, self.older = encode, {}
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encode(word)
-        if len(word) <= LONG_WORD:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+    def of(self, wanted: set[str], encode: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A table with all that is wanted."""
+        missing = wanted.difference(self.now)
+        if len(self.now) + len(missing) > REMEMBERED:
+            self.older, self.now, missing = self.now, {}, wanted
+        new = []
+        for word in missing:
+            if (ids := self.older.get(word)) is None:
+                new.append(word)
+            else:
+                self.now[word] = ids
+        self.now.update(zip(new, encode(new), strict=True))
+        return self.now
 
 
 class ByteBPE:
@@ -85,8 +89,10 @@ class ByteBPE:
             self.token_bytes[i] = content.encode()
         self.cut = regex.compile("|".join(regex.escape(c) for c in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self.find_words = regex.compile(PATTERN).findall
-        self.words = Remembered(lambda word: array("I", self.merge(word.encode())).tobytes())
-        self.chunks = Remembered(lambda chunk: b"".join(map(self.words.__getitem__, self.find_words(chunk))))
+        self.words, self.chunks = Remembered(), Remembered()
+        self.pair_keys = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[k] for k in self.pair_keys.tolist()] or [0], np.int64)
+        self.pair_merged = np.array([self.merged[k] for k in self.pair_keys.tolist()] or [0], np.int64)
         self.double_space = regex.compile(r"\s\s").search
 
     def merge(self, word: bytes) -> list[int]:
@@ -128,22 +134,90 @@ class ByteBPE:
                 heapq.heappush(heap, (r, k, parts[k], parts[i]))
         return [p for p in parts if p >= 0]
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of adjacent ids; NO_RANK if they don't merge."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many words. Words of one length share one array of parts and one of adjacent ranks, a row a word; every row
+        that can merge finds its smallest rank, loses that boundary and has the ranks beside it refreshed."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        for length, rows in by_length.items():
+            if not length or length > WIDE_WORD or len(rows) < 8:
+                for i in rows:
+                    out[i] = array("I", self.merge(words[i])).tobytes()
+                continue
+            of = np.array(rows)
+            parts = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(words[i] for i in rows), np.uint8)].reshape(-1, length)
+            ranks = self._pairs(parts[:, :-1], parts[:, 1:])
+            while len(of):
+                width = parts.shape[1]
+                at = ranks.argmin(1) if width > 1 else np.zeros(len(of), np.int64)
+                least = ranks[np.arange(len(of)), at] if width > 1 else np.full(len(of), NO_RANK)
+                done = least == NO_RANK
+                blob = parts[done].astype("<u4").tobytes()
+                for k, i in enumerate(of[done].tolist()):
+                    out[i] = blob[4 * width * k : 4 * width * (k + 1)]
+                if done.all():
+                    break
+                of, at, parts, ranks = of[~done], at[~done], parts[~done], ranks[~done]
+                n = np.arange(len(of))
+                key = parts[n, at].astype(np.int64) * self.size + parts[n, at + 1]
+                parts[n, at] = self.pair_merged[np.searchsorted(self.pair_keys, key)]
+                keep = np.ones(parts.shape, bool)
+                keep[n, at + 1] = False
+                parts = parts[keep].reshape(len(of), width - 1)
+                keep = np.ones(ranks.shape, bool)
+                keep[n, at] = False
+                ranks = ranks[keep].reshape(len(of), width - 2)
+                right, left = at < width - 2, at > 0
+                ranks[n[right], at[right]] = self._pairs(parts[n[right], at[right]], parts[n[right], at[right] + 1])
+                ranks[n[left], at[left] - 1] = self._pairs(parts[n[left], at[left] - 1], parts[n[left], at[left]])
+        return out
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        ids = self.merge_many([b"" if w in self.specials else w.encode() for w in words])
+        return [self.specials[w].to_bytes(4, "little") if w in self.specials else i for w, i in zip(words, ids, strict=True)]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [self._words_of(c) for c in chunks]
+        table = self.words.of(set().union(*split), self._encode_words)
+        return [b"".join(map(table.__getitem__, words)) for words in split]
+
+    def _words_of(self, chunk: str) -> list[str]:
+        """Words of a chunk; the common forms, Latin letters after a blank and a mark after them, are seen without the pattern."""
+        if chunk[:1] == " " and max(chunk) < "\u0250":
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[-1] in ",.;:!?|" and chunk[1:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return [chunk] if chunk in self.specials else self.find_words(chunk)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [self._chunks(t) for t in texts]
+        table = self.chunks.of(set().union(*split), self._encode_chunks)
+        return [b"".join(map(table.__getitem__, chunks)) for chunks in split]
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not self.cut or not self.cut.search(text):
-            return self._encode_plain(text)
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += self._encode_plain(text[at : m.start()]), self.specials[m[0]].to_bytes(4, "little")
-            at = m.end()
-        return b"".join([*out, self._encode_plain(text[at:])])
-
-    def _encode_plain(self, text: str) -> bytes:
-        """A single blank or line feed between two other characters always starts a word, so words can be had by chunk."""
+        return self.encode_all([text])[0]
+
+    def _chunks(self, text: str) -> list[str]:
+        """text in pieces that are encoded on their own. A single blank or line feed between two other characters always starts a word."""
+        if self.cut and self.cut.search(text):
+            out, at = [], 0
+            for m in self.cut.finditer(text):
+                out += [*self._chunks(text[at : m.start()]), m[0]]
+                at = m.end()
+            return out + self._chunks(text[at:])
         if not text or "\0" in text or self.double_space(text):
-            return b"".join(map(self.words.__getitem__, self.find_words(text)))
-        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.chunks.__getitem__, chunks))
+            return self.find_words(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 text of ids; bytes that are not valid UTF-8 become replacement characters."""
@@ -165,6 +239,17 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
+def text_runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of RUN_CHARACTERS or so, with the row of the first; null counts as empty."""
+    start, held, size = 0, [], 0
+    for i, text in enumerate(column):
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= RUN_CHARACTERS or i == len(column) - 1:
+            yield start, held
+            start, held, size = i + 1, [], 0
+
+
 def with_ids(docs: DataFrame, path: str, key: str = "doc_id", decode: bool = False) -> DataFrame:
     """Per row of docs: key, ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded (the ids' text)."""
     spark = docs.sparkSession
@@ -175,16 +260,9 @@ def with_ids(docs: DataFrame, path: str, key: str = "doc_id", decode: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(source.value)
         for batch in batches:
-            keys, texts, start, ids, decoded, size = batch.column(key), batch.column("text"), 0, [], [], 0
-            for i, text in enumerate(texts):
-                ids.append(bpe.encode(text.as_py() or ""))
-                size += len(ids[-1])
-                if decode:
-                    decoded.append(bpe.decode(ids[-1]))
-                    size += len(decoded[-1])
-                if size >= OUT_BYTES or i == batch.num_rows - 1:
-                    columns = [keys.slice(start, len(ids)), pa.array(ids, pa.binary()), *([pa.array(decoded, pa.binary()).cast(pa.string())] if decode else [])]
-                    yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", *["decoded"] * decode])
-                    start, ids, decoded, size = i + 1, [], [], 0
+            for start, texts in text_runs(batch.column("text")):
+                ids = bpe.encode_all(texts)
+                columns = [batch.column(key).slice(start, len(texts)), pa.array(ids, pa.binary()), *([pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())] if decode else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", *["decoded"] * decode])
 
     return rows.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import OUT_BYTES, loaded, vocabulary
+from .bpe import loaded, text_runs, vocabulary
 from .common import gapless_rank, written
 
 CAPACITY = 2048
@@ -89,20 +89,18 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", capacity: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(source.value)
         for batch in batches:
-            keys, starts, lengths, totals, pieces, size = [], [], [], [], [], 0
-            for i, text in enumerate(batch.column("text")):
-                ids = bpe.encode(text.as_py() or "") + end
-                for at in range(0, len(ids), 4 * capacity):
-                    piece = ids[at : at + 4 * capacity]
-                    keys.append(i)
-                    starts.append(at // 4)
-                    lengths.append(len(piece) // 4)
-                    totals.append(len(ids) // 4)
-                    pieces.append(piece)
-                size += len(ids)
-                if size >= OUT_BYTES or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(keys)), *(pa.array(c, pa.int64()) for c in (starts, lengths, totals)), pa.array(pieces, pa.binary())], names=[key, "start", "length", "doc_tokens", "ids"])
-                    keys, starts, lengths, totals, pieces, size = [], [], [], [], [], 0
+            for first, texts in text_runs(batch.column("text")):
+                keys, starts, lengths, totals, pieces = [], [], [], [], []
+                for i, ids in enumerate(bpe.encode_all(texts), first):
+                    ids += end
+                    for at in range(0, len(ids), 4 * capacity):
+                        piece = ids[at : at + 4 * capacity]
+                        keys.append(i)
+                        starts.append(at // 4)
+                        lengths.append(len(piece) // 4)
+                        totals.append(len(ids) // 4)
+                        pieces.append(piece)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(keys)), *(pa.array(c, pa.int64()) for c in (starts, lengths, totals)), pa.array(pieces, pa.binary())], names=[key, "start", "length", "doc_tokens", "ids"])
 
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary")
 
