@@ -240,7 +240,7 @@ def file_rule(url: Column, language: str) -> Column:
 
 
 def path_rule(url: Column, language: str) -> Column:
-    """Whether the directory part has the language between two characters that aren't letters."""
+    """Whether the directory part has the language between two characters that aren't letters (so not at its end)."""
     return F.regexp_replace(bare(url), "/?[^/]*$", "").rlike(f"[^A-Za-z]{language}[^A-Za-z]")
 
 

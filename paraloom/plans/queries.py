@@ -740,7 +740,7 @@ def lid_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'S' WHEN page_id % 4 = 1 THEN 'D' WHEN page_id % 4 = 2 THEN 'S' ELSE 'D' END AS side, CASE WHEN page_id % 4 < 2 THEN 1 ELSE 0 END AS rule1, CASE WHEN page_id % 4 < 2 THEN 0 ELSE 1 END AS rule2 FROM pages""")
 def crawl_rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.array(*map(F.lit, ["_en.htm", "_it.html", "/en/x.pdf", "/it/x.html"]))
+    kinds = F.array(*map(F.lit, ["_en.htm", "_it.html", "/en/d/x.pdf", "/it/d/x.html"]))
     urls = table(spark, sf_dir, "pages").select(F.concat(F.lit("http://h.com/p/"), "page_id", F.element_at(kinds, (F.col("page_id") % 4 + 1).cast("int"))).alias("url"))
     return candidates.ruled(urls, "en", "it").select(F.regexp_extract("url", "/p/([0-9]+)", 1).cast("long").alias("page_id"), "side", "rule1", "rule2")
 
@@ -748,11 +748,11 @@ def crawl_rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS rule FROM pages")
 def crawl_rule_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("page_id") % 2 == 0
-    url = lambda lang: F.concat(F.lit("http://h.com/d/"), F.when(even, F.concat("page_id", F.lit(f"_{lang}.htm"))).otherwise(F.concat(F.lit(f"{lang}/"), "page_id", F.lit(".html"))))
+    url = lambda lang: F.concat(F.lit("http://h.com/d/"), F.when(even, F.concat("page_id", F.lit(f"_{lang}.htm"))).otherwise(F.concat(F.lit(f"{lang}/d/"), "page_id", F.lit(".html"))))
     p = table(spark, sf_dir, "pages")
     rows = candidates.ruled(p.select(url("en").alias("url")).union(p.select(url("it"))), "en", "it")
     found = candidates.rule_mappings(rows, "en", "it")
-    return found.select(F.regexp_extract("src", "/([0-9]+)", 1).cast("long").alias("page_id"), "rule")
+    return found.select(F.regexp_extract("src", "/d/([0-9]+)", 1).cast("long").alias("page_id"), "rule")
 
 
 # --- sequences and hashes (no SQL twin) ---------------------------------------------------------
