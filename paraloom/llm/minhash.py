@@ -35,6 +35,8 @@ BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
 WORDS, PERCENT = 5, 75
 LIKELY, HOT_BUCKET, SECOND = 67, 4096, 14
+#: Text bytes worked on at once.
+BLOCK = 2 << 20
 UNFILLED = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE, BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _numbers = lambda n, seed: mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
@@ -132,7 +134,7 @@ def signature_rows(docs: DataFrame, key: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, BLOCK):
             codes, ends = shingle_sets(*utf8_column(block.column("text")))
             sizes, filled = np.diff(ends), np.flatnonzero(np.diff(ends))
             sums = [np.zeros(len(sizes), np.uint64) for _ in range(2)]
@@ -212,23 +214,32 @@ def _in_buckets(find):
     return run
 
 
+def _linked(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    a, b = rows.column("a"), rows.column("b")
+    new = np.concatenate(([True], np.asarray(a)[1:] != np.asarray(a)[:-1]))  # rows come sorted by a: its set is made once a run
+    left = np.cumsum(new) - 1
+    sets_a = shingle_sets(*utf8_column(rows.column("text_a").filter(pa.array(new))))
+    sets_b = shingle_sets(*utf8_column(rows.column("text_b")))
+    linked = np.zeros(rows.num_rows, bool)
+    size_a, size_b = np.diff(sets_a[1])[left], np.diff(sets_b[1])
+    close = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    for i in np.flatnonzero(close):
+        x, y = sets_a[0][sets_a[1][left[i]] : sets_a[1][left[i] + 1]], sets_b[0][sets_b[1][i] : sets_b[1][i + 1]]
+        both = np.sort(np.concatenate((x, y)), kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        linked[i] = 100 * common >= percent * (len(both) - common)
+    return pa.RecordBatch.from_arrays([a, b, pa.array(linked)], names=["a", "b", "linked"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            new = np.concatenate(([True], np.asarray(a)[1:] != np.asarray(a)[:-1]))  # rows come sorted by a: its set is made once a run
-            left = np.cumsum(new) - 1
-            sets_a = shingle_sets(*utf8_column(batch.column("text_a").filter(pa.array(new))))
-            sets_b = shingle_sets(*utf8_column(batch.column("text_b")))
-            linked = np.zeros(batch.num_rows, bool)
-            size_a, size_b = np.diff(sets_a[1])[left], np.diff(sets_b[1])
-            close = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
-            for i in np.flatnonzero(close):
-                x, y = sets_a[0][sets_a[1][left[i]] : sets_a[1][left[i] + 1]], sets_b[0][sets_b[1][i] : sets_b[1][i + 1]]
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked[i] = 100 * common >= percent * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked)], names=["a", "b", "linked"])
+            size = np.cumsum(np.diff(utf8_column(batch.column("text_a"))[1]) + np.diff(utf8_column(batch.column("text_b"))[1]))
+            at = 0
+            while at < batch.num_rows:  # slices of some MB of text bound the memory of the arrays
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, side="right")))
+                yield _linked(batch.slice(at, end - at), percent)
+                at = end
 
     return run
 
