@@ -95,12 +95,14 @@ def _license_sql() -> str:
 ORACLES: dict[str, str] = {
     "op5_suffix_dedup": """
     WITH bytes AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-    starts AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS p, h FROM bytes),
-    cut AS (SELECT doc_id, p, h[2 * p + 1 : 2 * p + 2] AS b, CASE WHEN 2 * p + 200 <= length(h) THEN md5_number(h[2 * p + 1 : 2 * p + 200]) END AS w FROM starts),
+    parts AS (SELECT doc_id, c, substr(h, 2 * c + 1, 2 * (512 + 99)) AS part, length(h) // 2 AS n FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS c FROM bytes)),
+    starts AS (SELECT doc_id, c, part, n, unnest(range(0, least(512, n - c))) AS i FROM parts),
+    cut AS (SELECT doc_id, c + i AS p, substr(part, 2 * i + 1, 2) AS b, CASE WHEN c + i + 100 <= n THEN md5_number(substr(part, 2 * i + 1, 200)) END AS w FROM starts),
     again AS (SELECT doc_id, p, b, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1 AS later FROM cut),
-    gone AS (SELECT doc_id, p, b, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS g FROM again),
-    runs AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM gone),
-    sums AS (SELECT doc_id, count(*) FILTER (g) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT g), '') AS k FROM runs GROUP BY doc_id)
+    gone AS (SELECT doc_id, p, b, max(CASE WHEN later THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS l FROM again),
+    runs AS (SELECT doc_id, p, b, l IS NOT NULL AND l > p - 100 AS g FROM gone),
+    opened AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM runs),
+    sums AS (SELECT doc_id, count(*) FILTER (g) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT g), '') AS k FROM opened GROUP BY doc_id)
     SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
     FROM bytes LEFT JOIN sums USING (doc_id)""",
     "op6_exact_dedup": """
