@@ -151,20 +151,21 @@ def signature_rows(docs: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("pid", F.spark_partition_id())
 
 
-def _likely(marks: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Which members are likely pairs of each of some rows; a tile at a time."""
+def _likely(marks: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which members are likely pairs of each of some rows, a tile at a time: near enough in size to be linked at all, and alike in signature."""
     out = np.zeros((len(rows), len(marks)), bool)
     step = max(1, (1 << 24) // (len(marks) * SLOTS))
     for i in range(0, len(rows), step):
         out[i : i + step] = (marks[rows[i : i + step], None, :] == marks[None]).sum(2, dtype=np.uint8) >= LIKELY
-    return out
+    a, b = sizes[rows, None], sizes[None]
+    return out & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
 
 
-def star_pairs(ids: np.ndarray, marks: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def star_pairs(ids: np.ndarray, marks: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Each member with the first member before it that is the centre of a star and a likely pair; else it is a centre itself."""
     out, free = [], np.arange(len(ids))
     while len(free) > 1:
-        likely = _likely(marks[free], np.zeros(1, np.int64))[0]
+        likely = _likely(marks[free], sizes[free], np.zeros(1, np.int64))[0]
         likely[0] = False
         out.append(np.stack((np.full(likely.sum(), ids[free[0]]), ids[free[likely]])))
         likely[0] = True
@@ -172,12 +173,12 @@ def star_pairs(ids: np.ndarray, marks: np.ndarray, labels: np.ndarray) -> np.nda
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
 
-def cross_pairs(ids: np.ndarray, marks: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def cross_pairs(ids: np.ndarray, marks: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """All likely pairs of members of different groups."""
     out = []
     for start in range(0, len(ids), 256):
         rows = np.arange(start, min(start + 256, len(ids)))
-        i, j = np.nonzero(_likely(marks, rows) & (labels[rows, None] < labels[None]))
+        i, j = np.nonzero(_likely(marks, sizes, rows) & (labels[rows, None] < labels[None]))
         out.append(np.stack((ids[rows[i]], ids[j])))
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
@@ -187,11 +188,11 @@ def _in_buckets(find):
 
     def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        ids, labels = t.column("id").to_numpy(), t.column("label").to_numpy()
+        ids, sizes, labels = (t.column(c).to_numpy() for c in ("id", "n_shingles", "label"))
         marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(ids), SLOTS)
         bucket = t.column("bucket").to_numpy()
         cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(ids)]
-        found = np.concatenate([np.zeros((2, 0), np.int64), *(find(ids[s:e], marks[s:e], labels[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1)], axis=1)
+        found = np.concatenate([np.zeros((2, 0), np.int64), *(find(ids[s:e], marks[s:e], sizes[s:e], labels[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1)], axis=1)
         found = np.unique(np.sort(found, axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
@@ -284,7 +285,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) ->
     hot = members.where(F.col("n") > HOT_BUCKET).join(heads.select("id", "bands"), "id").withColumn("next", F.explode(F.sequence(F.lit(1), F.lit(SECOND))))
     hot = hot.select("id", F.xxhash64("bucket", F.element_at("bands", (F.col("band") + F.col("next")) % BANDS + 1)).alias("bucket"))
     members = members.where(F.col("n") <= HOT_BUCKET).select("bucket", "id").union(several(hot).select("bucket", "id"))
-    members = written(members.join(heads.select("id", "marks"), "id").select("bucket", "id", "marks"), "members")
+    members = written(members.join(heads.select("id", "marks", "n_shingles"), "id").select("bucket", "id", "marks", "n_shingles"), "members")
     ordered = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "id")
     pairs = ordered(members.withColumn("label", F.col("id"))).mapInArrow(_in_buckets(star_pairs), "a long, b long")
     pairs = written(pairs.distinct(), "pairs")
@@ -295,7 +296,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) ->
     # members of one bucket in different groups
     apart = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed_buckets = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    apart = apart.join(mixed_buckets, "bucket", "left_semi").select("bucket", "id", "marks", "label")
+    apart = apart.join(mixed_buckets, "bucket", "left_semi").select("bucket", "id", "marks", "n_shingles", "label")
     rest = ordered(apart).mapInArrow(_in_buckets(cross_pairs), "a long, b long").distinct()
     rest = written(rest.join(checked, ["a", "b"], "left_anti"), "rest")
     more = written(confirmed(rest, texts, percent).where("linked"), "checked")
