@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one block holds at least (but for a partition's last block).
@@ -65,6 +65,18 @@ def gapless_rank(rows: DataFrame, group: str, piece: str, order: list[str], name
     return ranked.withColumn(name, (F.col("__rank") + F.col("__start")).cast("long")).drop("__rank", "__start")
 
 
+def text_digest() -> Column:
+    """SHA-256 of the column text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key and text are those of a row of gone (key, digest); null keys are equal."""
+    gone = gone.select(F.col(key).alias("__key"), F.col("digest").alias("__digest")).distinct()
+    marked = docs.withColumn("__text", text_digest())
+    return marked.join(gone, marked[key].eqNullSafe(gone["__key"]) & (marked["__text"] == gone["__digest"]), "left_anti").drop("__text")
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined to the one row of groups that has their keys; rows carry pid, the partition they were written in.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import spread_join, without, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -139,6 +139,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the copies: of equal texts, the row with the largest key stays; all columns as before."""
-    copies = exact_groups(docs, key).where("NOT kept").select(F.col(key).alias("__copy")).distinct()
-    return docs.join(copies, docs[key].eqNullSafe(copies["__copy"]), "left_anti")
+    """docs without the copies: of equal texts, the row with the largest key stays; all columns as before.
+
+    Each row goes or stays for its own text, whatever other rows its key has.
+    """
+    copies = exact_groups(docs, key).where("NOT kept")
+    return without(docs, key, copies.select(key, F.unhex("text_sha256").alias("digest")))

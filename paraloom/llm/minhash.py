@@ -17,7 +17,9 @@ the SECOND next ones (a pair of 0.75 shares no two such bands with a chance belo
 Defined cases: null or empty text, and text without words, has an empty set and is
 linked with nothing; fewer than `words` words make one shingle; repeated rows and
 equal sets are linked; an empty table gives an empty result; columns of docs other
-than key and text are ignored. Keys are integers and not null.
+than key and text are ignored. Keys are integers; a null key comes after every other, and
+rows without a key that only have each other are all kept. A key may have several texts:
+each row is judged by its own.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, removed, spread_join, text_blocks, utf8_column, written
+from .common import mixed, removed, spread_join, text_blocks, text_digest, utf8_column, without, written
 
 BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
@@ -37,6 +39,8 @@ WORDS, PERCENT = 5, 75
 LIKELY, HOT_BUCKET, SECOND = 67, 4096, 14
 #: Text bytes worked on at once.
 BLOCK = 2 << 20
+#: Stands for a null key when the row that represents a class is chosen.
+NO_KEY = (1 << 63) - 1
 UNFILLED = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE, BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _numbers = lambda n, seed: mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
@@ -130,7 +134,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def signature_rows(docs: DataFrame, key: str) -> DataFrame:
-    """Per row: key, n_shingles, set_a and set_b (128 bits of the whole set), bands, marks (a byte of each slot), pid."""
+    """Per row: key, digest of the text, n_shingles, set_a and set_b (128 bits of the whole set), bands, marks (a byte of each slot), pid."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +149,9 @@ def signature_rows(docs: DataFrame, key: str) -> DataFrame:
             bands, marks = band_keys(signed), (mixed(signed) & np.uint64(0xFF)).astype(np.uint8).tobytes()
             marks = [marks[i : i + SLOTS] for i in range(0, len(marks), SLOTS)]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([block.column(key).combine_chunks(), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), bands, pa.array(marks, pa.binary())], names=[key, "n_shingles", "set_a", "set_b", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([block.column(key).combine_chunks(), block.column("digest").combine_chunks(), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), bands, pa.array(marks, pa.binary())], names=[key, "digest", "n_shingles", "set_a", "set_b", "bands", "marks"])
 
-    rows = docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
+    rows = docs.select(key, text_digest().alias("digest"), "text").mapInArrow(run, f"{key} {kind}, digest binary, n_shingles long, set_a long, set_b long, bands array<long>, marks binary")
     return rows.withColumn("pid", F.spark_partition_id())
 
 
@@ -274,11 +278,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key reachable by links), kept."""
+    return _judged(docs, key, percent).drop("digest")
+
+
+def _judged(docs: DataFrame, key: str, percent: int) -> DataFrame:
+    """near_groups() with the digest of each row's text.
+
+    Equal sets are one class with a number of its own, as a key may be null or have
+    several texts; each class is compared by one of its rows, told by key and digest.
+    """
+    first = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("first")
     rows = written(signature_rows(docs, key), "signatures")
     whole = ["n_shingles", "set_a", "set_b"]
-    classes = rows.where("n_shingles > 0").groupBy(*whole).agg(F.min(key).cast("long").alias("id"))
-    classes = written(classes, "classes")
-    heads = rows.withColumn("id", F.col(key).cast("long")).join(classes, [*whole, "id"], "left_semi").dropDuplicates(["id"])
+    classes = rows.where("n_shingles > 0").groupBy(*whole).agg(F.min(F.col(key).cast("long")).alias("smallest"))
+    classes = written(classes.withColumn("first", F.coalesce("smallest", F.lit(NO_KEY))).withColumn("id", F.monotonically_increasing_id()), "classes")
+    heads = rows.select("digest", *whole, "bands", "marks", first).join(classes, [*whole, "first"]).dropDuplicates(["id"])
     members = heads.select("id", F.posexplode("bands").alias("band", "bucket"))
     several = lambda df: df.join(df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
     members = written(several(members), "buckets")
@@ -289,7 +303,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) ->
     ordered = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "id")
     pairs = ordered(members.withColumn("label", F.col("id"))).mapInArrow(_in_buckets(star_pairs), "a long, b long")
     pairs = written(pairs.distinct(), "pairs")
-    texts = docs.select(F.col(key).cast("long").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    wanted = heads.select("id", "first", "digest").join(members.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(first, text_digest().alias("digest"), "text").join(wanted, ["first", "digest"]).select("id", "text").dropDuplicates(["id"])
     texts = written(texts, "candidates")
     checked = written(confirmed(pairs, texts, percent), "checked")
     labels = components(checked.where("linked"))
@@ -302,13 +317,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) ->
     more = written(confirmed(rest, texts, percent).where("linked"), "checked")
     if more.head(1):
         labels = components(checked.where("linked").select("a", "b").union(more.select("a", "b")))
-    labelled = written(classes.join(labels, "id", "left").select(*whole, F.coalesce("label", "id").alias("component_id")), "labelled")
-    grouped = spread_join(rows.where("n_shingles > 0").select(key, *whole, "pid"), labelled, whole)
-    out = grouped.select(key, "n_shingles", "component_id").union(rows.where("n_shingles = 0").select(key, "n_shingles", (F.col(key) + F.lit(0)).cast("long").alias("component_id")))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    linked = labels.union(labels.select(F.col("label").alias("id"), "label").distinct())  # the classes that give the labels too
+    least = linked.join(classes, "id").groupBy("label").agg(F.min("smallest").alias("least"))
+    least = linked.join(least, "label").select("id", "least")
+    labelled = written(classes.join(least, "id", "left").select(*whole, F.coalesce("least", "smallest").alias("component_id")), "labelled")
+    grouped = spread_join(rows.where("n_shingles > 0").select(key, "digest", *whole, "pid"), labelled, whole)
+    out = grouped.select(key, "digest", "n_shingles", "component_id").union(rows.where("n_shingles = 0").select(key, "digest", "n_shingles", (F.col(key) + F.lit(0)).cast("long").alias("component_id")))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """docs without near copies: of each group the document with the smallest key stays; all columns as before."""
-    copies = near_groups(docs, key, percent).where("NOT kept").select(F.col(key).alias("__copy")).distinct()
-    return docs.join(copies, docs[key] == copies["__copy"], "left_anti")
+    return without(docs, key, _judged(docs, key, percent).where("NOT kept"))

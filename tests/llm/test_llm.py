@@ -329,3 +329,30 @@ def test_quality_scores_equal_a_plain_model_and_reject_junk(spark, docs, none, t
     unlabelled = quality.classify(given, labels.where("quality = 7"))
     assert unlabelled.where("NOT kept").count() == 0
     assert quality.quality_filter(given, labels).columns == given.columns
+
+
+def by_row(frame):
+    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=repr)
+
+
+def test_exact_dedup_judges_rows_not_keys(spark):
+    given = [(5, "A"), (5, "B"), (9, "A"), (None, "A"), (None, "C"), (None, None), (7, "")]
+    assert by_row(exact.exact_dedup(spark.createDataFrame(given, "doc_id long, text string"))) == sorted([(5, "B"), (9, "A"), (None, "C"), (7, "")], key=repr)
+
+
+def test_near_dedup_judges_rows_not_keys(spark):
+    a, b = words(21, 300), words(22, 300)
+    given = [(3, a), (5, a + " tail"), (5, b), (8, b + " tail"), (None, a + " end"), (None, words(23, 90)), (6, "one"), (6, "two"), (None, "")]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    assert by_row(minhash.near_dedup(frame)) == sorted([(3, a), (5, b), given[5], (6, "one"), (6, "two"), (None, "")], key=repr)
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(frame).collect()), key=repr)
+    assert found == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False), (None, 3, False), (None, None, True), (6, 6, True), (6, 6, True), (None, None, True)], key=repr)
+
+
+def test_quality_filter_judges_rows_not_keys(spark, tmp_path):
+    clean = [(i, words(100 + i, 120), "en") for i in range(200)]
+    junk = "#$%&* QX! " * 80
+    spark.createDataFrame([*clean, (500, junk, "en"), (500, words(900, 120), "en"), (None, junk, "en"), (None, words(901, 120), "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(180)], "doc_id long, quality int, toxic int")
+    kept = by_row(quality.quality_filter(spark.read.parquet(str(tmp_path / "d")), labels))
+    assert (500, words(900, 120)) in kept and (None, words(901, 120)) in kept and not any(t == junk for _, t in kept)
