@@ -356,3 +356,12 @@ def test_quality_filter_judges_rows_not_keys(spark, tmp_path):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(180)], "doc_id long, quality int, toxic int")
     kept = by_row(quality.quality_filter(spark.read.parquet(str(tmp_path / "d")), labels))
     assert (500, words(900, 120)) in kept and (None, words(901, 120)) in kept and not any(t == junk for _, t in kept)
+
+
+def test_quality_rejects_repeated_words(spark, tmp_path):
+    clean = [(i, words(100 + i, 120), "en") for i in range(200)]
+    junk = [(500 + i, " ".join([words(400 + i, 1)] * 150), "en") for i in range(10)]
+    spark.createDataFrame([*clean, *junk, (600, "", "en"), (601, "of7", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(180)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(spark.read.parquet(str(tmp_path / "d")), labels).collect()}
+    assert not any(kept[500 + i] for i in range(10)) and sum(kept[i] for i in range(200)) >= 195 and kept[600] and kept[601]
