@@ -759,8 +759,8 @@ def crawl_rule_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best ten targets of each source by Jaccard, with the words of both."""
-    x = terms.count_similarities(*_sim_sides(spark, sf_dir), "source")
+    """The best ten targets of each source by Jaccard of all their words, with the words of both."""
+    x = terms.count_similarities(*terms.sides(doc_terms(spark, sf_dir), "lang", "en", "fr", "source", "doc_id", ["count"]), "source")
     best = terms.top_k(x, 10, "jaccard").select("src_id", "tgt_id")
     d = table(spark, sf_dir, "documents")
     words = lambda k: d.select(F.col("doc_id").alias(f"{k}_id"), blank_words(F.col("text")).alias(f"{k}_words"), F.col("text").alias(f"{k}_text"))
