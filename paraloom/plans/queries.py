@@ -769,7 +769,7 @@ def _top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sequence_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.slice("src_words", 1, 400), F.slice("tgt_words", 1, 400)
+    a, b = F.col("src_words"), F.col("tgt_words")
     return _top_texts(spark, sf_dir).select("src_id", "tgt_id", similarity.sequence_ratio(a, b).alias("ratio"), similarity.quick_ratio(a, b).alias("quick"), similarity.real_quick_ratio(a, b).alias("real_quick"))
 
 
@@ -800,5 +800,6 @@ def simhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hashed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ngrams.orders_ngrams(blank_words(F.substring_index("text", "\n", 1)), 2)
-    return table(spark, sf_dir, "documents").select("doc_id", ngrams.double_hash_features(words, 3, 1024).alias("bits"), ngrams.sha1_features(1000, ["a", "b"])(words).alias("salted"))
+    words = ngrams.orders_ngrams(blank_words(F.col("text")), 2)
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("doc_id", "line", ngrams.double_hash_features(words, 3, 1024).alias("bits"), ngrams.sha1_features(1000, ["a", "b"])(words).alias("salted"))

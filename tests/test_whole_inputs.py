@@ -1,7 +1,11 @@
 """Registered queries over small tables made here: they take all of their input."""
 
+import difflib
+
 import pytest
+from pyspark.sql import functions as F
 
+from paraloom.functions import ngrams
 from paraloom.plans import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -23,3 +27,18 @@ def test_sequence_candidates_use_words_of_many_documents(spark, made):
     jaccard = lambda a, b: len(words[a] & words[b]) / len(words[a] | words[b])
     best = {(a, b) for a in range(1, 140, 2) for b in sorted(range(0, 140, 2), key=lambda b: (-jaccard(a, b), b))[:10]}
     assert {tuple(r) for r in queries._top_texts(spark, made(given)).select("src_id", "tgt_id").collect()} == best
+
+
+def test_sequence_ratios_compare_whole_texts(spark, made):
+    a, b = [f"w{i}" for i in range(900)], [f"w{i}" for i in range(450)] + [f"v{i}" for i in range(300)]
+    (found,) = queries.sequence_ratios(spark, made([("en", " ".join(a)), ("fr", " ".join(b))])).collect()
+    m = difflib.SequenceMatcher(None, a, b)
+    assert tuple(found)[2:] == pytest.approx((m.ratio(), m.quick_ratio(), m.real_quick_ratio()))
+
+
+def test_hashed_lines_hash_every_line(spark, made):
+    found = queries.hashed_lines(spark, made([("en", "one two\nthree\n\nfour five"), ("fr", "")])).collect()
+    assert sorted((r["doc_id"], r["line"]) for r in found) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0)]
+    grams = ["<s>", "four", "five", "</s>", "<s>#four", "four#five", "five#</s>"]
+    expected = spark.range(1).select(ngrams.double_hash_features(F.array(*map(F.lit, grams)), 3, 1024)).first()[0]
+    assert next(r["bits"] for r in found if r["line"] == 3) == expected
