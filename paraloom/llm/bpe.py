@@ -2,38 +2,35 @@
 
 Text is cut at special tokens, then by the byte-level pattern into words. A word
 is an array of parts beside an array of the ranks of adjacent pairs: scan for the
-smallest rank, delete that boundary, refresh the two ranks next to it. Words of
-over LONG_WORD bytes keep the same order of merges with a heap over linked parts,
-so time stays near linear. Encoded words are remembered up to a fixed number.
+smallest rank, delete that boundary, refresh the two ranks next to it (see
+rank_arrays.java, which also tells what is done with long words). Each thread
+remembers a fixed number of encoded words.
 
-The vocabulary file's path is a parameter; its content goes to the executors by
-broadcast (a vocabulary's size does not depend on the data).
+The vocabulary file's path is a parameter; the driver turns it into one table,
+which the executors fetch as a jar (a vocabulary's size does not depend on the
+data).
 
 Defined cases: null text counts as empty and has no ids; repeated rows are rows of
 their own; an empty table gives an empty result; columns of docs other than the
-named key and text are ignored.
+named key and text are ignored; a text of over half a billion tokens is an error.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import json
-from array import array
-from collections.abc import Callable, Iterator
+import struct
 from functools import lru_cache
+from itertools import groupby
 
-import numpy as np
-import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Fixed value: the pattern of byte-level pre-tokenising.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG_WORD, WIDE_WORD = 256, 40
-#: Words, and as many blank-delimited chunks of words, in each generation that a Python worker remembers.
-REMEMBERED = 200_000
-NO_RANK = 1 << 40
-RUN_CHARACTERS = 2 << 20
+from .jvm_kernel import call
+
+#: The kinds of characters that the byte-level pattern tells apart; all others are of kind 0.
+KINDS = [(1, regex.compile(r"\p{L}")), (2, regex.compile(r"\p{N}")), (3, regex.compile(r"\s"))]
 
 
 def byte_characters() -> dict[str, int]:
@@ -43,195 +40,44 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Remembered:
-    """Encoded strings in two generations; when the newer is full, it becomes the older, so frequent ones stay."""
-
-    def __init__(self) -> None:
-        self.now: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def of(self, wanted: set[str], encode: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """A table with all that is wanted."""
-        missing = wanted.difference(self.now)
-        if len(self.now) + len(missing) > REMEMBERED:
-            self.older, self.now, missing = self.now, {}, wanted
-        new = []
-        for word in missing:
-            if (ids := self.older.get(word)) is None:
-                new.append(word)
-            else:
-                self.now[word] = ids
-        self.now.update(zip(new, encode(new), strict=True))
-        return self.now
-
-
-class ByteBPE:
-    def __init__(self, source: str | bytes) -> None:
-        """source: the JSON of a byte-level BPE tokenizer."""
-        spec = json.loads(source)
-        model, of_char = spec["model"], byte_characters()
-        to_bytes = lambda token: bytes(of_char[c] for c in token)
-        self.size = max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.token_bytes: list[bytes] = [b""] * self.size
-        for token, i in model["vocab"].items():
-            self.token_bytes[i] = to_bytes(token)
-        self.byte_ids = [0] * 256
-        for c, b in of_char.items():
-            self.byte_ids[b] = model["vocab"][c]
-        self.ranks: dict[int, int] = {}  # of a pair of ids, as one number
-        self.merged: dict[int, int] = {}  # the id it becomes
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault(at := model["vocab"][left] * self.size + model["vocab"][right], rank)
-            self.merged.setdefault(at, model["vocab"][left + right])
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for content, i in self.specials.items():
-            self.token_bytes[i] = content.encode()
-        self.cut = regex.compile("|".join(regex.escape(c) for c in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self.find_words = regex.compile(PATTERN).findall
-        self.words, self.chunks = Remembered(), Remembered()
-        self.pair_keys = np.array(sorted(self.ranks), np.int64)
-        self.pair_ranks = np.array([self.ranks[k] for k in self.pair_keys.tolist()] or [0], np.int64)
-        self.pair_merged = np.array([self.merged[k] for k in self.pair_keys.tolist()] or [0], np.int64)
-        self.double_space = regex.compile(r"\s\s").search
-
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one word."""
-        parts = [self.byte_ids[b] for b in word]
-        if len(parts) > LONG_WORD:
-            return self._merge_long(parts)
-        size, rank, merged = self.size, self.ranks.get, self.merged
-        ranks = [rank(a * size + b, NO_RANK) for a, b in zip(parts, parts[1:])]  # noqa: B905
-        last = len(ranks) - 1
-        while last >= 0 and (least := min(ranks)) != NO_RANK:
-            i = ranks.index(least)
-            new = parts[i] = merged[parts[i] * size + parts[i + 1]]
-            del parts[i + 1], ranks[i]
-            if i < last:
-                ranks[i] = rank(new * size + parts[i + 1], NO_RANK)
-            if i:
-                ranks[i - 1] = rank(parts[i - 1] * size + new, NO_RANK)
-            last -= 1
-        return parts
-
-    def _merge_long(self, parts: list[int]) -> list[int]:
-        n, size, rank, merged = len(parts), self.size, self.ranks.get, self.merged
-        after, before, parts = [*range(1, n), -1], [*range(-1, n - 1)], list(parts)
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] * size + parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] != left or j < 0 or parts[j] != right:
-                continue  # a neighbour has changed since
-            parts[i], parts[j] = merged[left * size + right], -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                if (r := rank(parts[i] * size + parts[after[i]])) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
-            if (k := before[i]) >= 0 and (r := rank(parts[k] * size + parts[i])) is not None:
-                heapq.heappush(heap, (r, k, parts[k], parts[i]))
-        return [p for p in parts if p >= 0]
-
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of adjacent ids; NO_RANK if they don't merge."""
-        key = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
-
-    def merge_many(self, words: list[bytes]) -> list[bytes]:
-        """Ids of many words. Words of one length share one array of parts and one of adjacent ranks, a row a word; every row
-        that can merge finds its smallest rank, loses that boundary and has the ranks beside it refreshed."""
-        out: list[bytes] = [b""] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            by_length.setdefault(len(word), []).append(i)
-        for length, rows in by_length.items():
-            if not length or length > WIDE_WORD or len(rows) < 8:
-                for i in rows:
-                    out[i] = array("I", self.merge(words[i])).tobytes()
-                continue
-            of = np.array(rows)
-            parts = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(words[i] for i in rows), np.uint8)].reshape(-1, length)
-            ranks = self._pairs(parts[:, :-1], parts[:, 1:])
-            while len(of):
-                width = parts.shape[1]
-                at = ranks.argmin(1) if width > 1 else np.zeros(len(of), np.int64)
-                least = ranks[np.arange(len(of)), at] if width > 1 else np.full(len(of), NO_RANK)
-                done = least == NO_RANK
-                blob = parts[done].astype("<u4").tobytes()
-                for k, i in enumerate(of[done].tolist()):
-                    out[i] = blob[4 * width * k : 4 * width * (k + 1)]
-                if done.all():
-                    break
-                of, at, parts, ranks = of[~done], at[~done], parts[~done], ranks[~done]
-                n = np.arange(len(of))
-                key = parts[n, at].astype(np.int64) * self.size + parts[n, at + 1]
-                parts[n, at] = self.pair_merged[np.searchsorted(self.pair_keys, key)]
-                keep = np.ones(parts.shape, bool)
-                keep[n, at + 1] = False
-                parts = parts[keep].reshape(len(of), width - 1)
-                keep = np.ones(ranks.shape, bool)
-                keep[n, at] = False
-                ranks = ranks[keep].reshape(len(of), width - 2)
-                right, left = at < width - 2, at > 0
-                ranks[n[right], at[right]] = self._pairs(parts[n[right], at[right]], parts[n[right], at[right] + 1])
-                ranks[n[left], at[left] - 1] = self._pairs(parts[n[left], at[left] - 1], parts[n[left], at[left]])
-        return out
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        ids = self.merge_many([b"" if w in self.specials else w.encode() for w in words])
-        return [self.specials[w].to_bytes(4, "little") if w in self.specials else i for w, i in zip(words, ids, strict=True)]
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [self._words_of(c) for c in chunks]
-        table = self.words.of(set().union(*split), self._encode_words)
-        return [b"".join(map(table.__getitem__, words)) for words in split]
-
-    def _words_of(self, chunk: str) -> list[str]:
-        """Words of a chunk; the common forms, Latin letters after a blank and a mark after them, are seen without the pattern."""
-        if chunk[:1] == " " and max(chunk) < "\u0250":
-            if chunk[1:].isalpha():
-                return [chunk]
-            if chunk[-1] in ",.;:!?|" and chunk[1:-1].isalpha():
-                return [chunk[:-1], chunk[-1]]
-        return [chunk] if chunk in self.specials else self.find_words(chunk)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._chunks(t) for t in texts]
-        table = self.chunks.of(set().union(*split), self._encode_chunks)
-        return [b"".join(map(table.__getitem__, chunks)) for chunks in split]
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def _chunks(self, text: str) -> list[str]:
-        """text in pieces that are encoded on their own. A single blank or line feed between two other characters always starts a word."""
-        if self.cut and self.cut.search(text):
-            out, at = [], 0
-            for m in self.cut.finditer(text):
-                out += [*self._chunks(text[at : m.start()]), m[0]]
-                at = m.end()
-            return out + self._chunks(text[at:])
-        if not text or "\0" in text or self.double_space(text):
-            return self.find_words(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def decode(self, ids: bytes) -> bytes:
-        """The UTF-8 text of ids; bytes that are not valid UTF-8 become replacement characters."""
-        raw = b"".join(map(self.token_bytes.__getitem__, array("I", ids)))
-        try:
-            raw.decode()
-        except UnicodeDecodeError:
-            return raw.decode(errors="replace").encode()
-        return raw
+@lru_cache(maxsize=1)
+def character_kinds() -> bytes:
+    """Runs (first, end, kind) of code points that are letters, numbers or blanks."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+    kind = {m.group(): k for k, pattern in KINDS for m in pattern.finditer(every)}
+    runs = []
+    for _, run in groupby(enumerate(sorted(kind)), lambda x: (ord(x[1]) - x[0], kind[x[1]])):
+        held = [c for _, c in run]
+        runs.append(struct.pack(">iib", ord(held[0]), ord(held[-1]) + 1, kind[held[0]]))
+    return struct.pack(">i", len(runs)) + b"".join(runs)
 
 
 @lru_cache(maxsize=2)
-def loaded(source: bytes) -> ByteBPE:
-    return ByteBPE(source)
+def vocabulary_table(source: bytes) -> tuple[str, bytes]:
+    """Name and content of the table that RankArrays reads, from the JSON of a byte-level BPE tokenizer."""
+    spec = json.loads(source)
+    model, of_char = spec["model"], byte_characters()
+    ids, added = model["vocab"], [(t["content"].encode(), t["id"]) for t in spec["added_tokens"]]
+    tokens = [b""] * (max([*ids.values(), *(i for _, i in added)]) + 1)
+    for token, i in ids.items():
+        tokens[i] = bytes(of_char[c] for c in token)
+    for content, i in added:
+        tokens[i] = content
+    byte_ids = [0] * 256
+    for c, b in of_char.items():
+        byte_ids[b] = ids[c]
+    pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+    strings = lambda all_: struct.pack(">i", len(all_)) + b"".join(struct.pack(">i", len(s)) + s for s in all_)
+    table = b"".join([
+        struct.pack(">256i", *byte_ids),
+        strings(tokens),
+        strings([content for content, _ in added]),
+        struct.pack(f">{len(added)}i", *(i for _, i in added)),
+        struct.pack(">i", len(pairs)),
+        *(struct.pack(">iii", ids[a], ids[b], ids[a + b]) for a, b in pairs),
+        character_kinds(),
+    ])
+    return f"vocabulary-{hashlib.sha256(table).hexdigest()[:32]}.bin", table
 
 
 def vocabulary(path: str) -> bytes:
@@ -239,30 +85,23 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def text_runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of RUN_CHARACTERS or so, with the row of the first; null counts as empty."""
-    start, held, size = 0, [], 0
-    for i, text in enumerate(column):
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= RUN_CHARACTERS or i == len(column) - 1:
-            yield start, held
-            start, held, size = i + 1, [], 0
+def _kernel(spark: SparkSession, path: str, method: str, column: Column) -> Column:
+    name, table = vocabulary_table(vocabulary(path))
+    return call(spark, "RankArrays", "rank_arrays.java", method, column, F.lit(name), data={name: table})
+
+
+def encoded(spark: SparkSession, path: str, text: Column) -> Column:
+    """Ids of a text (binary, little-endian unsigned 32-bit); null counts as empty."""
+    return F.unbase64(_kernel(spark, path, "encode", F.coalesce(text, F.lit(""))))
+
+
+def decoded(spark: SparkSession, path: str, ids: Column) -> Column:
+    """The text of ids; bytes that are not valid UTF-8 become replacement characters."""
+    return _kernel(spark, path, "decode", F.base64(ids))
 
 
 def with_ids(docs: DataFrame, path: str, key: str = "doc_id", decode: bool = False) -> DataFrame:
     """Per row of docs: key, ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded (the ids' text)."""
     spark = docs.sparkSession
-    source = spark.sparkContext.broadcast(vocabulary(path))
-    rows = docs.select(key, "text")
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, ids binary" + ", decoded string" * decode
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(source.value)
-        for batch in batches:
-            for start, texts in text_runs(batch.column("text")):
-                ids = bpe.encode_all(texts)
-                columns = [batch.column(key).slice(start, len(texts)), pa.array(ids, pa.binary()), *([pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())] if decode else [])]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", *["decoded"] * decode])
-
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(key, encoded(spark, path, F.col("text")).alias("ids"))
+    return rows.withColumn("decoded", decoded(spark, path, F.col("ids"))) if decode else rows

@@ -14,14 +14,12 @@ docs other than key and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import loaded, text_runs, vocabulary
+from .bpe import encoded
 from .common import gapless_rank, written
 
 CAPACITY = 2048
@@ -82,27 +80,12 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[P
 
 def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A document's ids and end_id, cut at multiples of capacity: key, start, length, doc_tokens, ids (binary)."""
-    source = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    rows = docs.select(key, "text")
-    end = end_id.to_bytes(4, "little")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(source.value)
-        for batch in batches:
-            for first, texts in text_runs(batch.column("text")):
-                keys, starts, lengths, totals, pieces = [], [], [], [], []
-                for i, ids in enumerate(bpe.encode_all(texts), first):
-                    ids += end
-                    for at in range(0, len(ids), 4 * capacity):
-                        piece = ids[at : at + 4 * capacity]
-                        keys.append(i)
-                        starts.append(at // 4)
-                        lengths.append(len(piece) // 4)
-                        totals.append(len(ids) // 4)
-                        pieces.append(piece)
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(keys)), *(pa.array(c, pa.int64()) for c in (starts, lengths, totals)), pa.array(pieces, pa.binary())], names=[key, "start", "length", "doc_tokens", "ids"])
-
-    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary")
+    end = F.lit(end_id.to_bytes(4, "little"))
+    rows = docs.select(F.col(key), F.concat(encoded(docs.sparkSession, path, F.col("text")), end).alias("all"))
+    total = (F.octet_length("all") / 4).cast("long")
+    cut = rows.select(key, "all", total.alias("doc_tokens"), F.explode(F.sequence(F.lit(0).cast("long"), total - 1, F.lit(capacity).cast("long"))).alias("start"))
+    length = F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("start"))
+    return cut.select(key, "start", length.alias("length"), "doc_tokens", F.substring("all", (4 * F.col("start") + 1).cast("int"), F.lit(4 * capacity)).alias("ids"))
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
@@ -119,15 +102,15 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
             used[length] += n * pattern.times
             offset += length * n
         first += pattern.times
-    plan = spark.createDataFrame(list(places.items()), "length long, places array<struct<rank long, each long, sequence long, at long, total long>>")
-    ranked = gapless_rank(pieces, "length", "__part", order).join(F.broadcast(plan), "length")  # at most `capacity` rows
-    place = F.element_at("places", F.size(F.filter("places", lambda p: p["rank"] <= F.col("rank"))))
-    ranked = ranked.withColumn("place", place).withColumn("nth", F.col("rank") - F.col("place.rank"))
-    total = F.col("place.total")
+    plan = spark.createDataFrame(list(places.items()), "length long, __places array<struct<rank long, each long, sequence long, at long, total long>>")
+    ranked = gapless_rank(pieces, "length", "__part", order, "__nth").join(F.broadcast(plan), "length")  # at most `capacity` rows
+    place = F.element_at("__places", F.size(F.filter("__places", lambda p: p["rank"] <= F.col("__nth"))))
+    ranked = ranked.withColumn("__place", place).withColumn("__nth", F.col("__nth") - F.col("__place.rank"))
+    total = F.col("__place.total")
     return ranked.select(
         *[c for c in pieces.columns if c != "__part"],
-        (F.col("place.sequence") + F.floor(F.col("nth") / F.col("place.each"))).cast("long").alias("sequence_id"),
-        (F.col("place.at") + F.col("nth") % F.col("place.each") * F.col("length")).cast("long").alias("offset"),
+        (F.col("__place.sequence") + F.floor(F.col("__nth") / F.col("__place.each"))).cast("long").alias("sequence_id"),
+        (F.col("__place.at") + F.col("__nth") % F.col("__place.each") * F.col("length")).cast("long").alias("offset"),
         total.alias("sequence_tokens"),
         F.when(F.bit_count(total) == 1, total).otherwise(F.lit(capacity)).cast("long").alias("padded_tokens"),
     )

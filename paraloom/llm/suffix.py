@@ -22,7 +22,6 @@ Keys are integers and not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -316,8 +315,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", carry: list[str] | None
     flags = written(asked.groupBy("shard").applyInArrow(_repeated_anchors, "block long, shard int, flags binary"), "anchor-flags")
     sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_zones(key, shards), "shard int, block long, zones binary")
     chunks = sent.groupBy("shard").applyInArrow(_zone_texts, CHUNKS)
-    source = resources.files(__package__).joinpath("suffix_groups.java").read_text()
-    sorted_chunks = chunks.withColumn("marks", call(spark, "SuffixGroups", source, "repeats", F.col("text"), F.lit(LENGTH)))
+    sorted_chunks = chunks.withColumn("marks", F.unbase64(call(spark, "SuffixGroups", "suffix_groups.java", "repeats", F.base64("text"), F.lit(LENGTH))))
     told = sorted_chunks.mapInArrow(_earlier_windows, "block long, shard int, flags binary")
     answers = flags.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1)))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_apply(key, shards, carry), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary" + ", text string" * (carry is not None))
