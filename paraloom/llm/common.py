@@ -27,15 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a few numbers that one file of a small table holds at most.
+FILE_ROWS = 500_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
+    rows: what df, the outcome of a shuffle, has at most, if that is known and rows are
+    short; it then goes to no more files than it needs.
+
     Cuts the lineage: a lost executor costs a reread, and later passes see the
     very rows and partition numbers that were written. Removed when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)

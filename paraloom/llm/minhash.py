@@ -6,13 +6,21 @@ elements at once, a document is done at the first level at which all its slots
 are filled (no later value can be smaller), which is the early stop.
 
 Documents with the same set are one class. Classes that agree in a band meet in its
-bucket. There, pairs whose signatures agree in LIKELY slots are likely; each member
-goes to one star of likely pairs, which are confirmed on the full sets. Where a
-bucket's members then lie in different groups, all likely pairs between the groups
-are confirmed too, so no likely link is lost. The chance to miss a pair of similarity
-0.75 is below 1e-9 for 42 bands of 3 rows and below 1e-8 for LIKELY of 126 slots.
-Members of a bucket of over HOT_BUCKET meet again by that band and a second one, any of
-the SECOND next ones (a pair of 0.75 shares no two such bands with a chance below 1e-7).
+bucket. Pairs whose signatures agree in LIKELY slots are likely.
+1. Within its buckets each class goes to one star of likely pairs, the most alike one.
+   These pairs, one a class, are confirmed on the full sets, and union-find makes groups.
+2. Buckets whose members lie in different groups show which groups may be linked yet: each
+   member outside the bucket's main group names the most alike likely partner in another
+   group. So that a pair can be linked, both must have enough shingles that some other class
+   of such buckets has (the others are counted and can't be common ones). Groups with such
+   pairs form a family, until no bucket has likely pairs across families.
+3. A family's members outside its main group are held against all others on their full sets,
+   by the postings of their shingles; only links come out, one for each member and group.
+No row is made for a pair that isn't linked but for one a class and round. The chance to miss
+a pair of similarity 0.75 is below 1e-9 for 42 bands of 3 rows and below 1e-8 for LIKELY
+of 126 slots. Buckets of more than HOT_BUCKET members and families of more than HOT_CODES
+shingles are dealt in blocks, where the members outside the main group (in blocks too) meet
+every block, so no task takes more than two blocks.
 
 Defined cases: null or empty text, and text without words, has an empty set and is
 linked with nothing; fewer than `words` words make one shingle; repeated rows and
@@ -28,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, removed, spread_join, text_blocks, text_digest, utf8_column, without, written
@@ -36,7 +44,9 @@ from .common import mixed, removed, spread_join, text_blocks, text_digest, utf8_
 BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
 WORDS, PERCENT = 5, 75
-LIKELY, HOT_BUCKET, SECOND = 67, 4096, 14
+LIKELY, HOT_BUCKET, HOT_CODES = 67, 4096, 2_000_000
+#: Parts in which the partners of one class are confirmed.
+SALTS = 32
 #: Text bytes worked on at once.
 BLOCK = 2 << 20
 #: Stands for a null key when the row that represents a class is chosen.
@@ -155,50 +165,65 @@ def signature_rows(docs: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("pid", F.spark_partition_id())
 
 
-def _likely(marks: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Which members are likely pairs of each of some rows, a tile at a time: near enough in size to be linked at all, and alike in signature."""
-    out = np.zeros((len(rows), len(marks)), bool)
-    step = max(1, (1 << 24) // (len(marks) * SLOTS))
-    for i in range(0, len(rows), step):
-        out[i : i + step] = (marks[rows[i : i + step], None, :] == marks[None]).sum(2, dtype=np.uint8) >= LIKELY
-    a, b = sizes[rows, None], sizes[None]
-    return out & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+class Members:
+    """The members of one bucket or block of it: id, marks, n_shingles and, after the first round, label, common shingles and role."""
 
+    def __init__(self, t: pa.Table) -> None:
+        self.id, self.size = t.column("id").to_numpy(), t.column("n_shingles").to_numpy()
+        self.marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        if "label" in t.column_names:
+            self.label, self.common, self.role = (t.column(c).to_numpy() for c in ("label", "common", "role"))
 
-def star_pairs(ids: np.ndarray, marks: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Each member with the first member before it that is the centre of a star and a likely pair; else it is a centre itself."""
-    out, free = [], np.arange(len(ids))
-    while len(free) > 1:
-        likely = _likely(marks[free], sizes[free], np.zeros(1, np.int64))[0]
-        likely[0] = False
-        out.append(np.stack((np.full(likely.sum(), ids[free[0]]), ids[free[likely]])))
-        likely[0] = True
-        free = free[~likely]
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    def alike(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """In how many slots rows agree with others, a tile at a time; 0 where they don't in LIKELY ones, or are too different in size to be linked at all."""
+        out = np.zeros((len(rows), len(others)), np.uint8)
+        step = max(1, (1 << 24) // (max(1, len(others)) * SLOTS))
+        marks = self.marks[others]
+        for i in range(0, len(rows), step):
+            out[i : i + step] = (self.marks[rows[i : i + step], None, :] == marks[None]).sum(2, dtype=np.uint8)
+        a, b = self.size[rows, None], self.size[None, others]
+        out[(out < LIKELY) | (100 * np.minimum(a, b) < PERCENT * np.maximum(a, b))] = 0
+        return out
 
 
-def cross_pairs(ids: np.ndarray, marks: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """All likely pairs of members of different groups."""
-    out = []
-    for start in range(0, len(ids), 256):
-        rows = np.arange(start, min(start + 256, len(ids)))
-        i, j = np.nonzero(_likely(marks, sizes, rows) & (labels[rows, None] < labels[None]))
-        out.append(np.stack((ids[rows[i]], ids[j])))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def star_pairs(m: Members) -> list[Pairs]:
+    """Each member with the first member before it that is the centre of a star and a likely pair, and how alike they are; else it is a centre itself."""
+    out, free = [], np.arange(len(m.id))
+    while len(free) > 1:
+        alike = m.alike(free[:1], free[1:])[0]
+        hit = alike > 0
+        out.append((np.full(hit.sum(), m.id[free[0]]), m.id[free[1:][hit]], alike[hit]))
+        free = free[1:][~hit]
+    return out
+
+
+def cross_pairs(m: Members) -> list[Pairs]:
+    """Each member outside the main group with the most alike likely partner of another group that has enough in common."""
+    out, targets, probes = [], np.flatnonzero(m.role == TARGET), np.flatnonzero(m.role == PROBE)
+    for start in range(0, len(probes) if len(targets) else 0, 256):
+        rows = probes[start : start + 256]
+        alike = m.alike(rows, targets)
+        enough = (100 + PERCENT) * np.minimum(m.common[rows, None], m.common[None, targets]) >= PERCENT * (m.size[rows, None] + m.size[None, targets])
+        alike[(m.label[rows, None] == m.label[None, targets]) | ~enough] = 0
+        best = alike.argmax(1)
+        i = np.flatnonzero(alike[np.arange(len(rows)), best])
+        out.append((m.id[rows[i]], m.id[targets[best[i]]], alike[i, best[i]]))
+    return out
 
 
 def _in_buckets(find):
-    """find() over each bucket of rows sorted by bucket: pairs (a, b), a < b."""
+    """find() over each bucket of rows sorted by bucket (as a table): pairs (a, b) and how alike they are."""
 
     def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        ids, sizes, labels = (t.column(c).to_numpy() for c in ("id", "n_shingles", "label"))
-        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(ids), SLOTS)
         bucket = t.column("bucket").to_numpy()
-        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(ids)]
-        found = np.concatenate([np.zeros((2, 0), np.int64), *(find(ids[s:e], marks[s:e], sizes[s:e], labels[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1)], axis=1)
-        found = np.unique(np.sort(found, axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+        found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1 for x in find(t.slice(s, e - s))]
+        a, b, alike = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(alike.astype(np.int32))], names=["a", "b", "alike"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -219,47 +244,101 @@ def _in_buckets(find):
     return run
 
 
-def _linked(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    a, b = rows.column("a"), rows.column("b")
-    new = np.concatenate(([True], np.asarray(a)[1:] != np.asarray(a)[:-1]))  # rows come sorted by a: its set is made once a run
-    left = np.cumsum(new) - 1
-    sets_a = shingle_sets(*utf8_column(rows.column("text_a").filter(pa.array(new))))
-    sets_b = shingle_sets(*utf8_column(rows.column("text_b")))
-    linked = np.zeros(rows.num_rows, bool)
-    size_a, size_b = np.diff(sets_a[1])[left], np.diff(sets_b[1])
-    close = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
-    for i in np.flatnonzero(close):
-        x, y = sets_a[0][sets_a[1][left[i]] : sets_a[1][left[i] + 1]], sets_b[0][sets_b[1][i] : sets_b[1][i + 1]]
-        both = np.sort(np.concatenate((x, y)), kind="stable")
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        linked[i] = 100 * common >= percent * (len(both) - common)
-    return pa.RecordBatch.from_arrays([a, b, pa.array(linked)], names=["a", "b", "linked"])
+def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists and the n+1 offsets of its rows."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(p.offsets.to_numpy()) for p in parts)])
+    return np.concatenate([np.zeros(0, np.int64), *(p.flatten().to_numpy() for p in parts)]), np.cumsum(sizes)
+
+
+def family_links(t: pa.Table, percent: int) -> list[Pairs]:
+    """Links of the probes of one block to targets in other groups, by their full sets: one for each probe and group.
+
+    Shingles of many targets are counted by a product of bit rows, the others by their postings.
+    """
+    codes, ends = _lists(t.column("codes"))
+    ids, labels, role, size = t.column("id").to_numpy(), t.column("label").to_numpy(), t.column("role").to_numpy(), np.diff(ends)
+    targets, probes = np.flatnonzero(role == TARGET), np.flatnonzero(role == PROBE)
+    if not len(targets) or not len(probes):
+        return []
+    owner = np.repeat(np.arange(len(targets)), size[targets])
+    pool = np.concatenate([codes[ends[i] : ends[i + 1]] for i in targets])
+    order = np.argsort(pool, kind="stable")
+    pool, owner = pool[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], pool[1:] != pool[:-1])))
+    words, many = pool[first], np.diff(np.append(first, len(pool)))
+    often = np.flatnonzero(many > max(8, len(targets) // 16))  # at most 16 times the mean set's size
+    column = np.full(len(words), -1, np.int64)
+    column[often] = np.arange(len(often))
+    rows = np.zeros((len(targets), len(often)), np.float32)
+    of_word = np.repeat(column, many)
+    rows[owner[of_word >= 0], of_word[of_word >= 0]] = 1
+    out = []
+    for p in probes:
+        own = codes[ends[p] : ends[p + 1]]
+        at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+        at = at[words[at] == own]
+        bits = np.zeros(len(often), np.float32)
+        bits[column[at[column[at] >= 0]]] = 1
+        common = (rows @ bits).astype(np.int64)
+        rare = at[column[at] < 0]
+        places = np.repeat(first[rare] - (np.cumsum(many[rare]) - many[rare]), many[rare]) + np.arange(many[rare].sum())
+        common += np.bincount(owner[places], minlength=len(targets))
+        hit = np.flatnonzero((100 * common >= percent * (size[p] + size[targets] - common)) & (labels[targets] != labels[p]))
+        hit = hit[np.unique(labels[targets[hit]], return_index=True)[1]]
+        out.append((np.full(len(hit), ids[p]), ids[targets[hit]], common[hit]))
+    return out
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.cumsum(np.diff(utf8_column(batch.column("text_a"))[1]) + np.diff(utf8_column(batch.column("text_b"))[1]))
-            at = 0
-            while at < batch.num_rows:  # slices of some MB of text bound the memory of the arrays
-                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, side="right")))
-                yield _linked(batch.slice(at, end - at), percent)
-                at = end
+        for rows in batches:
+            (codes_a, ends_a), (codes_b, ends_b) = _lists(rows.column("codes_a")), _lists(rows.column("codes_b"))
+            linked = np.zeros(rows.num_rows, bool)
+            for i in range(rows.num_rows):
+                x, y = codes_a[ends_a[i] : ends_a[i + 1]], codes_b[ends_b[i] : ends_b[i + 1]]
+                both = np.sort(np.concatenate((x, y)), kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                linked[i] = 100 * common >= percent * (len(both) - common)
+            yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs (a, b) of keys of texts (id, text), with linked: whether their full sets are similar enough."""
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long, linked boolean")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """pairs (a, b) of keys of sets (id, codes), with linked: whether their full sets are similar enough.
+
+    The partners of one a are dealt to SALTS parts, each with a set of a.
+    """
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    with_a = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("codes").alias("codes_a")), "a")
+    with_b = salted.join(sets.select(F.col("id").alias("b"), F.col("codes").alias("codes_b")), "b")
+    return with_b.join(with_a, ["a", "salt"]).select("a", "b", "codes_a", "codes_b").mapInArrow(_confirm(percent), "a long, b long, linked boolean")
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """texts (id, text) to (id, codes): the sorted codes of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, BLOCK):
+            codes, ends = shingle_sets(*utf8_column(block.column("text")))
+            signed = codes.view(np.int64)
+            sets = [np.sort(signed[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets)))], names=["id", "codes"])
+
+    return texts.mapInArrow(run, "id long, codes array<long>")
+
+
+def private_shingles(sets: DataFrame) -> DataFrame:
+    """sets (id, codes) to (id, private): how many shingles no other one has."""
+    single = sets.select("id", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to (id, label): the smallest id that each reaches. Union-find by alternating large and small stars."""
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, mark = written(edges.distinct(), "edges", edges.count()), (0,)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -267,7 +346,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.where("a > b").distinct()
         least = lower.groupBy("a").agg(F.min("b").alias("m"))
         small = lower.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        then = written(small.where("a <> b").distinct(), "edges")
+        # a step makes no edges but at most two for each
+        then = written(small.where("a <> b").distinct(), "edges", 2 * mark[0] or None)
         removed(now)
         now = then
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -276,6 +356,57 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+#: Roles of a member in a block: held against those outside the main group, or one of these.
+TARGET, PROBE = 0, 1
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id")
+
+
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit("block")), blocks)
+
+
+def _star_blocks(members: DataFrame) -> DataFrame:
+    """members (bucket, id, n, least) dealt in blocks of about HOT_BUCKET; the bucket's first member is in each."""
+    blocks = F.ceil(F.col("n") / HOT_BUCKET)
+    own = F.when(F.col("id") == F.col("least"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(_block(blocks)))
+    dealt = members.select("bucket", "id", blocks.alias("blocks"), F.explode(own).alias("block"))
+    return dealt.select(F.when(F.col("blocks") > 1, F.xxhash64("bucket", "block")).otherwise(F.col("bucket")).alias("bucket"), "id")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (with id) with their label; who has none is a group alone."""
+    return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _apart(members: DataFrame, limit: int) -> DataFrame:
+    """The members (bucket, id, weight, label) of buckets with several labels, with main (the label that weighs most), targets and probes.
+
+    These are the numbers of blocks of about limit that the members make and those with another label than main.
+    """
+    counts = members.groupBy("bucket", "label").agg(F.sum("weight").alias("part"))
+    whole = counts.groupBy("bucket").agg(F.max_by("label", F.struct("part", "label")).alias("main"), F.sum("part").alias("all"), F.max("part").alias("most")).where("all > most")
+    blocks = whole.select("bucket", "main", F.ceil(F.col("all") / limit).alias("targets"), F.ceil((F.col("all") - F.col("most")) / limit).alias("probes"))
+    return written(members.join(written(blocks, "mixed"), "bucket"), "apart")
+
+
+def _cross_blocks(apart: DataFrame) -> DataFrame:
+    """Blocks of targets, each with every block of probes (members outside the main group): bucket, id, label, role."""
+    targets, probes = F.col("targets"), F.col("probes")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    as_target = F.transform(upto(probes), lambda p: F.struct(_block(targets).alias("t"), p.alias("p"), F.lit(TARGET).alias("role")))
+    as_probe = F.transform(upto(targets), lambda t: F.struct(t.alias("t"), _block(probes).alias("p"), F.lit(PROBE).alias("role")))
+    dealt = apart.select("bucket", "id", "label", (targets + probes).alias("blocks"), F.explode(F.when(F.col("label") == F.col("main"), as_target).otherwise(F.concat(as_target, as_probe))).alias("at"))
+    return dealt.select(F.when(F.col("blocks") > 2, F.xxhash64("bucket", "at.t", "at.p")).otherwise(F.col("bucket")).alias("bucket"), "id", "label", "at.role")
+
+
+def _with_own(labels: DataFrame) -> DataFrame:
+    """labels (id, label) of components() with those of the ids that are labels themselves."""
+    return labels.union(labels.select(F.col("label").alias("id"), "label").distinct())
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key reachable by links), kept."""
     return _judged(docs, key, percent).drop("digest")
@@ -293,31 +424,34 @@ def _judged(docs: DataFrame, key: str, percent: int) -> DataFrame:
     classes = rows.where("n_shingles > 0").groupBy(*whole).agg(F.min(F.col(key).cast("long")).alias("smallest"))
     classes = written(classes.withColumn("first", F.coalesce("smallest", F.lit(NO_KEY))).withColumn("id", F.monotonically_increasing_id()), "classes")
     heads = rows.select("digest", *whole, "bands", "marks", first).join(classes, [*whole, "first"]).dropDuplicates(["id"])
-    members = heads.select("id", F.posexplode("bands").alias("band", "bucket"))
-    several = lambda df: df.join(df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
-    members = written(several(members), "buckets")
-    hot = members.where(F.col("n") > HOT_BUCKET).join(heads.select("id", "bands"), "id").withColumn("next", F.explode(F.sequence(F.lit(1), F.lit(SECOND))))
-    hot = hot.select("id", F.xxhash64("bucket", F.element_at("bands", (F.col("band") + F.col("next")) % BANDS + 1)).alias("bucket"))
-    members = members.where(F.col("n") <= HOT_BUCKET).select("bucket", "id").union(several(hot).select("bucket", "id"))
-    members = written(members.join(heads.select("id", "marks", "n_shingles"), "id").select("bucket", "id", "marks", "n_shingles"), "members")
-    ordered = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "id")
-    pairs = ordered(members.withColumn("label", F.col("id"))).mapInArrow(_in_buckets(star_pairs), "a long, b long")
-    pairs = written(pairs.distinct(), "pairs")
+    members = heads.select("id", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
+    members = written(members.join(written(buckets, "buckets"), "bucket"), "members")
+    marks = heads.select("id", "marks", "n_shingles")
+    pairs_of = lambda rows, find: _sorted(rows).mapInArrow(_in_buckets(find), "a long, b long, alike int")
+    most_alike = lambda found, of, by: found.groupBy(of).agg(F.max_by(by, F.struct("alike", -F.col(by))).alias(by)).select("a", "b")
+    stars = most_alike(pairs_of(_star_blocks(members).join(marks, "id"), lambda t: star_pairs(Members(t))), "b", "a")
     wanted = heads.select("id", "first", "digest").join(members.select("id").distinct(), "id", "left_semi")
     texts = docs.select(first, text_digest().alias("digest"), "text").join(wanted, ["first", "digest"]).select("id", "text").dropDuplicates(["id"])
-    texts = written(texts, "candidates")
-    checked = written(confirmed(pairs, texts, percent), "checked")
-    labels = components(checked.where("linked"))
-    # members of one bucket in different groups
-    apart = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed_buckets = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    apart = apart.join(mixed_buckets, "bucket", "left_semi").select("bucket", "id", "marks", "n_shingles", "label")
-    rest = ordered(apart).mapInArrow(_in_buckets(cross_pairs), "a long, b long").distinct()
-    rest = written(rest.join(checked, ["a", "b"], "left_anti"), "rest")
-    more = written(confirmed(rest, texts, percent).where("linked"), "checked")
+    sets = written(full_sets(texts), "sets")
+    links = written(confirmed(stars, sets, percent).where("linked").select("a", "b"), "links")
+    labels = components(links)
+    # families: groups that likely pairs join
+    slim, families, near = members.select("bucket", "id", F.lit(1).alias("weight")), labels, links
+    apart = _apart(_labelled(slim, families), HOT_BUCKET)
+    private = private_shingles(sets.join(apart.select("id").distinct(), "id", "left_semi"))
+    marks = written(marks.join(private, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("private", F.lit(0))), "marks")
+    most = sets.count()
+    while (found := written(most_alike(pairs_of(_cross_blocks(apart).join(marks, "id"), lambda t: cross_pairs(Members(t))), "a", "b"), "near", most)).head(1):
+        near = near.union(found)
+        families = components(near)
+        apart = _apart(_labelled(slim, families), HOT_BUCKET)
+    relatives = _with_own(families).withColumnRenamed("label", "bucket").join(marks.select("id", F.col("n_shingles").alias("weight")), "id")
+    mixed_families = _cross_blocks(_apart(_labelled(relatives, labels).select("bucket", "id", "weight", "label"), HOT_CODES))
+    more = written(pairs_of(mixed_families.join(sets, "id"), lambda t: family_links(t, percent)).select("a", "b"), "links")
     if more.head(1):
-        labels = components(checked.where("linked").select("a", "b").union(more.select("a", "b")))
-    linked = labels.union(labels.select(F.col("label").alias("id"), "label").distinct())  # the classes that give the labels too
+        labels = components(links.union(more))
+    linked = _with_own(labels)
     least = linked.join(classes, "id").groupBy("label").agg(F.min("smallest").alias("least"))
     least = linked.join(least, "label").select("id", "least")
     labelled = written(classes.join(least, "id", "left").select(*whole, F.coalesce("least", "smallest").alias("component_id")), "labelled")

@@ -181,8 +181,9 @@ def shingles(text):
     return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
 
 
-def test_near_groups_equal_brute_force(docs, none):
-    items = [(r[0], shingles(r[1])) for r in rows()]
+def groups_by_brute_force(items):
+    """items (id, text): sorted (id, n_shingles, component, kept)."""
+    items = [(i, shingles(t)) for i, t in items]
     parent = {i: i for i, _ in items}
 
     def root(i):
@@ -195,13 +196,41 @@ def test_near_groups_equal_brute_force(docs, none):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 lo, hi = sorted((root(x), root(y)))
                 parent[hi] = lo
-    expected = sorted((i, len(s), root(i), i == root(i)) for i, s in items)
+    return sorted((i, len(s), root(i), i == root(i)) for i, s in items)
+
+
+def test_near_groups_equal_brute_force(docs, none):
+    expected = groups_by_brute_force([(r[0], r[1]) for r in rows()])
     assert sorted(tuple(r) for r in minhash.near_groups(docs).collect()) == expected
     assert minhash.near_groups(none).count() == 0
     kept = minhash.near_dedup(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _, c, k in expected if k}
 
 
+@pytest.mark.parametrize("hot", [None, 4])
+def test_near_groups_of_families_equal_brute_force(spark, hot, monkeypatch):
+    """Families of near copies around the limit, chains of them, in plain buckets and in buckets dealt in blocks."""
+    if hot:
+        monkeypatch.setattr(minhash, "HOT_BUCKET", hot)
+        monkeypatch.setattr(minhash, "HOT_CODES", 300)
+    r, made = random.Random(31), []
+    for f in range(8):
+        base = [f"w{r.randrange(300)}" for _ in range(90)]
+        last = base
+        for k in range(24):
+            text = list(last if k % 5 == 4 else base)
+            for _ in range(r.randrange(0, 9)):
+                text[r.randrange(len(text))] = r.choice(["up", "down", f"x{r.randrange(40)}"])
+            last = text
+            made.append(" ".join(text))
+    r.shuffle(made)
+    given = list(enumerate(made))
+    found = minhash.near_groups(spark.createDataFrame(given, "doc_id long, text string"))
+    expected = groups_by_brute_force(given)
+    assert sorted(tuple(x) for x in found.collect()) == expected
+    assert 8 < len({c for _, _, c, _ in expected}) < 150
+
+
 def test_super_minhash_estimates_similarity():
     r = np.random.default_rng(1)
     pool = r.integers(0, 1 << 63, 3000).astype(np.uint64)
