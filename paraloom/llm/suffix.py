@@ -15,8 +15,8 @@ written, then the position.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH lose nothing;
 repeated rows and equal texts lose all but the first; strings may overlap; an empty
-table gives an empty result; columns of docs other than key and text are ignored.
-Keys are integers and not null.
+table gives an empty result; columns of docs other than key and text are ignored,
+whatever their names. Keys are integers; a null key comes before every other.
 """
 
 from __future__ import annotations
@@ -39,7 +39,10 @@ BLOCK = 1 << 20
 HOT_BLOCKS = 64
 #: Bytes of zones that one suffix array takes at least (whole anchors stay together).
 CHUNK = 1 << 20
-PLACE_BITS = np.uint64(28)
+#: A place in a block; a text, being a JVM string, has fewer than 2**31 bytes.
+PLACE_BITS = np.uint64(32)
+#: Names inside the operator, which no column of docs can clash with.
+KEY, FIRST = "__key", np.iinfo(np.int64).min
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
 
 
@@ -85,33 +88,32 @@ class Anchors:
         return mixed((self._sums[end] - self._sums[begin]) * self._inverse[begin] + (end - begin).astype(np.uint64))
 
 
-def _read(blob: bytes, key: str) -> tuple[pa.Table, np.ndarray, Anchors]:
+def _read(blob: bytes) -> tuple[pa.Table, np.ndarray, Anchors]:
     block = pa.ipc.open_stream(blob).read_all()
-    return block, block.column(key).to_numpy(), Anchors(*utf8_column(block.column("text")))
+    return block, block.column(KEY).cast(pa.int64()).fill_null(int(FIRST)).to_numpy(), Anchors(*utf8_column(block.column("text")))
 
 
-def _blocks(key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        for seq, block in enumerate(text_blocks(batches, BLOCK)):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(block.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([pid << 32 | seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
-
-    return run
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pid = TaskContext.get().partitionId()
+    for seq, block in enumerate(text_blocks(batches, BLOCK)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(block.combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([pid << 32 | seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
 
 
-def _anchor_requests(key: str, shards: int):
+def _anchor_requests(shards: int):
     """For each block and shard: sorted keys (lowest bit: occurs twice here) and their zones' hashes (lowest bit: zones differ here)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
-                found = _read(texts.as_py(), key)[2]
+                found = _read(texts.as_py())[2]
+                if not len(found.key):
+                    continue  # no window in this block: it has no answers either
                 order = np.lexsort((found.zone, found.key))
                 keys, zones = found.key[order], found.zone[order] & ~np.uint64(1)
-                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
                 last = np.append(first[1:], len(keys)) - 1
                 keys, zones = keys[first] | (last > first).astype(np.uint64), zones[first] | (zones[first] != zones[last]).astype(np.uint64)
                 shard = (keys >> np.uint64(1)) % np.uint64(shards)
@@ -187,11 +189,11 @@ def _joined(data: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray:
     return data[np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(low) else data[:0]
 
 
-def _send_zones(key: str, shards: int):
+def _send_zones(shards: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"shard": [], "block": [], "zones": []}
         if texts.num_rows and answers.num_rows:
-            _, keys, found = _read(texts.column("texts")[0].as_py(), key)
+            _, keys, found = _read(texts.column("texts")[0].as_py())
             zones = Zones(found, keys, _flags(answers), shards)
             for s in np.unique(zones.shard):
                 h = zones.heads(s)
@@ -265,10 +267,10 @@ def _earlier_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield pa.RecordBatch.from_arrays([pa.array([int(block[part[0]])], pa.int64()), pa.array([shard], pa.int32()), pa.array([pack_arrays(index[part], windows[part], mine)], pa.binary())], names=["block", "shard", "flags"])
 
 
-def _apply(key: str, shards: int, carry: list[str] | None):
+def _apply(shards: int, carry: list[str], as_text: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """answers: rows of anchor flags (kind 0) and of windows that occur earlier (kind 1)."""
-        block, keys, found = _read(texts.column("texts")[0].as_py(), key)
+        block, keys, found = _read(texts.column("texts")[0].as_py())
         kind = np.array(answers.column("kind").to_pylist(), np.int64)
         data, ends = found.data, found.ends
         step = np.zeros(len(data) + 1, np.int32)
@@ -294,31 +296,34 @@ def _apply(key: str, shards: int, carry: list[str] | None):
         kept = data[~gone]
         kept_ends = ends - upto[ends]
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(kept_ends.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())])
-        more = {c: block.column(c) for c in carry or []}
-        texts_kept = {} if carry is None else {"text": pa.array([kept[s:e].tobytes().decode(errors="ignore") for s, e in zip(kept_ends[:-1], kept_ends[1:], strict=True)], pa.string())}
-        return pa.table({key: block.column(key), **more, "n_bytes": pa.array(np.diff(ends)), "n_removed": pa.array(np.diff(upto[ends])), "n_spans": pa.array(np.diff(spans[ends])), "kept": column.cast(pa.binary()), **texts_kept})
+        more = {c: block.column(c) for c in carry}
+        texts_kept = {} if not as_text else {"text": pa.array([kept[s:e].tobytes().decode(errors="ignore") for s, e in zip(kept_ends[:-1], kept_ends[1:], strict=True)], pa.string())}
+        return pa.table({KEY: block.column(KEY), **more, "n_bytes": pa.array(np.diff(ends)), "n_removed": pa.array(np.diff(upto[ends])), "n_spans": pa.array(np.diff(spans[ends])), "kept": column.cast(pa.binary()), **texts_kept})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans (maximal runs removed) and kept, the bytes that stay.
-
-    With carry, the named columns of docs come along and kept comes as text as well, without incomplete characters.
-    """
+def _repeats(docs: DataFrame, key: str, carry: list[str], as_text: bool) -> DataFrame:
+    """Per row: KEY, the columns carry by number, n_bytes, n_removed, n_spans, kept and, if asked for, kept as text without incomplete characters."""
     spark = docs.sparkSession
-    rows = docs.select(key, "text", *(carry or []))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [key, *(carry or [])])
+    numbers = [f"__{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(f"`{key}`").alias(KEY), "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, numbers, strict=True)))
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [KEY, *numbers])
     shards = max(8, rows._jdf.rdd().getNumPartitions())
-    blocks = written(rows.mapInArrow(_blocks(key), "block long, texts binary"), "blocks")
-    asked = blocks.mapInArrow(_anchor_requests(key, shards), "shard int, block long, keys binary, zones binary")
+    blocks = written(rows.mapInArrow(_blocks, "block long, texts binary"), "blocks")
+    asked = blocks.mapInArrow(_anchor_requests(shards), "shard int, block long, keys binary, zones binary")
     flags = written(asked.groupBy("shard").applyInArrow(_repeated_anchors, "block long, shard int, flags binary"), "anchor-flags")
-    sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_zones(key, shards), "shard int, block long, zones binary")
+    sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_zones(shards), "shard int, block long, zones binary")
     chunks = sent.groupBy("shard").applyInArrow(_zone_texts, CHUNKS)
     sorted_chunks = chunks.withColumn("marks", F.unbase64(call(spark, "SuffixGroups", "suffix_groups.java", "repeats", F.base64("text"), F.lit(LENGTH))))
     told = sorted_chunks.mapInArrow(_earlier_windows, "block long, shard int, flags binary")
     answers = flags.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1)))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_apply(key, shards, carry), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary" + ", text string" * (carry is not None))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_apply(shards, numbers, as_text), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary" + ", text string" * as_text)
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans (maximal runs removed) and kept, the bytes that stay."""
+    return _repeats(docs, key, [], False).withColumnRenamed(KEY, key)
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -326,8 +331,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Characters that a cut left incomplete go; documents with nothing left go, unless they were empty before.
     """
-    kept = remove_repeats(docs, key, carry=[c for c in docs.columns if c not in (key, "text")])
-    whole = kept.where("n_removed = 0 OR octet_length(text) > 0")
-    if "n_chars" in docs.columns:
-        whole = whole.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns)
+    carry = [c for c in docs.columns if c not in (key, "text")]
+    kept = _repeats(docs, key, carry, True).where("n_removed = 0 OR octet_length(text) > 0")
+    was = {key: KEY, "text": "text"} | {c: f"__{i}" for i, c in enumerate(carry)}
+    made = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in carry else {}
+    return kept.select(*(made.get(c, F.col(was[c])).alias(c) for c in docs.columns))
