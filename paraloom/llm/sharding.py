@@ -3,10 +3,11 @@
 A row descends region, rack and shard; at each level every child draws
 -ln(u) / weight with u hashed from the row's key and the child's path, and the
 smallest draw wins. A child's weight is the number of shards below it, so a
-change of one subtree's weight moves rows only into or out of that subtree. A
-new shard gets a region of its own: then it takes rows only into itself.
+change of one subtree's weight moves rows only into or out of that subtree. The
+shards that a cluster was set up with fill racks and regions; each later one is a
+region of its own, so no other weight changes and it takes rows only into itself.
 
-Law `key`: doc_id and the shard count alone decide.
+Law `key`: doc_id and the shard counts (set up with, and now) alone decide.
 
 Defined cases: null text counts as 0 bytes (size 1, checksum 0); a null doc_id is
 hashed as the string 'null'; repeated rows get the same shard and slots of their
@@ -39,10 +40,14 @@ class Node:
         return 1 if self.number is not None else sum(c.weight for c in self.children)
 
 
-def hash_tree(shards: int, per_rack: int = 2, racks_per_region: int = 2) -> Node:
-    """Shards 0.. in regions of racks of shards. Growth from a whole number of regions opens a new region."""
-    racks = [Node(f"rack{i // per_rack}", tuple(Node(f"shard{j}", number=j) for j in range(i, min(i + per_rack, shards)))) for i in range(0, shards, per_rack)]
-    return Node("root", tuple(Node(f"region{i // racks_per_region}", tuple(racks[i : i + racks_per_region])) for i in range(0, len(racks), racks_per_region)))
+def hash_tree(shards: int, setup: int | None = None, per_rack: int = 2, racks_per_region: int = 2) -> Node:
+    """Shards 0 to setup - 1 (default: all) in regions of racks of shards, each of the others in a region of its own."""
+    setup = min(shards, shards if setup is None else setup)
+    leaf = lambda i: Node(f"shard{i}", number=i)
+    racks = [Node(f"rack{i // per_rack}", tuple(leaf(j) for j in range(i, min(i + per_rack, setup)))) for i in range(0, setup, per_rack)]
+    regions = [Node(f"region{i // racks_per_region}", tuple(racks[i : i + racks_per_region])) for i in range(0, len(racks), racks_per_region)]
+    later = [Node(f"later{i}", (Node("rack", (leaf(i),)),)) for i in range(setup, shards)]
+    return Node("root", (*regions, *later))
 
 
 def _draw(key: Column, path: str, weight: int) -> Column:
@@ -64,16 +69,20 @@ def descend(key: Column, node: Node, path: str = "") -> Column:
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id") -> DataFrame:
-    """Per row: key, size, text_crc32, shard, grown_shard (with one shard more) and slot, gapless from 0 in its shard."""
+def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", setup: int | None = None) -> DataFrame:
+    """Per row: key, size, text_crc32, shard, grown_shard (with one shard more) and slot, gapless from 0 in its shard.
+
+    setup: the number of shards that the cluster was set up with, if some were added since.
+    """
+    setup = shards if setup is None else setup
     ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col(key),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        descend(ident, hash_tree(shards)).cast("int").alias("shard"),
-        descend(ident, hash_tree(shards + 1)).cast("int").alias("grown_shard"),
+        descend(ident, hash_tree(shards, setup)).cast("int").alias("shard"),
+        descend(ident, hash_tree(shards + 1, setup)).cast("int").alias("grown_shard"),
         F.spark_partition_id().alias("pid"),
     )
     rows = written(rows, "shards")
