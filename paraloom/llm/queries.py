@@ -117,16 +117,16 @@ ORACLES: dict[str, str] = {
     reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
     SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = doc_id""",
     "op7_license_scan": _license_sql(),
-    "op10_chat_perspectives": f"""
-    WITH clean AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    "op10_chat_perspectives": """
+    WITH clean AS (SELECT conv_id, coalesce(turn, -1) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
     n AS (SELECT conv_id, count(DISTINCT role) AS roles FROM clean GROUP BY conv_id),
     views AS (SELECT DISTINCT c.conv_id, c.role AS perspective FROM clean c JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id WHERE roles = 1 OR role <> 'system'),
-    parts AS (SELECT c.conv_id, perspective, floor(turn / {chat.CHUNK_TURNS}.0)::BIGINT AS chunk, turn, role, text, role = perspective AS mine,
+    parts AS (SELECT c.conv_id, perspective, turn, role, text, role = perspective AS mine,
         CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head
         FROM clean c JOIN views v ON v.conv_id IS NOT DISTINCT FROM c.conv_id),
-    placed AS (SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS spot,
-        row_number() OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn, role, text) AS i FROM parts)
-    SELECT conv_id, perspective, chunk, count(*) AS n_turns, count(*) FILTER (mine) AS n_masked, string_agg(head || text || chr(10), '' ORDER BY i) AS rendered,
+    placed AS (SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS spot,
+        row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text) AS i FROM parts)
+    SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (mine) AS n_masked, string_agg(head || text || chr(10), '' ORDER BY i) AS rendered,
         coalesce(string_agg(spot::BIGINT || ':' || (spot + length(text))::BIGINT, ',' ORDER BY i) FILTER (mine), '') AS mask
-    FROM placed GROUP BY conv_id, perspective, chunk""",
+    FROM placed GROUP BY conv_id, perspective""",
 }

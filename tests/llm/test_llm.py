@@ -278,6 +278,26 @@ def test_suffix_dedup_equals_brute_force(docs, none, hot, monkeypatch):
         assert {r["doc_id"]: r["text"] for r in kept.collect() if r["doc_id"] < 1000} == {i: v[0][3].decode(errors="ignore") for i, v in expected.items() if i < 1000 and (v[0][3].decode(errors="ignore") or not v[0][1])}
 
 
+def test_suffix_dedup_of_short_and_clashing_rows(spark, tmp_path):
+    """Partitions without any window, empty ones, null and repeated keys, columns with the operator's own names."""
+    long = words(41, 60)
+    given = [(1, "a"), (2, None), (3, "b c"), (None, long), (5, "x " + long), (5, long + " y"), (7, "short")]
+    schema = "doc_id long, text string, kept string, n_bytes long, n_removed int, n_spans int, block int, flags int"
+    frame = spark.createDataFrame([(*g, "k", 1, 2, 3, 4, 5) for g in given], schema)
+    for rows_ in (frame, frame.where("length(text) < 9"), frame.repartition(5, "doc_id")):
+        rows_.write.mode("overwrite").parquet(str(tmp_path / "d"))
+        read = spark.read.parquet(str(tmp_path / "d"))
+        kept = suffix.substring_dedup(read)
+        assert kept.columns == read.columns and all(tuple(x)[2:] == ("k", 1, 2, 3, 4, 5) for x in kept.collect())
+        found = sorted(((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffix.remove_repeats(read).collect()), key=repr)
+        given_now = [(x["doc_id"], x["text"]) for x in read.collect()]
+        brute = removed_by_brute_force([(-1 if i is None else i, t) for i, t in given_now])
+        if len(given_now) == 7:
+            assert {x[0]: x[2] for x in found if x[0] != 5} == {1: 0, 2: 0, 3: 0, None: 0, 7: 0} and sum(x[2] for x in found if x[0] == 5) == sum(x[1] for x in brute[5])
+        else:
+            assert all(x[2] == 0 for x in found)
+
+
 def test_linear_grouping_marks_repeats(spark):
     r = random.Random(4)
     cases = [bytes(r.choice(b"ab" if k % 2 else b"abc\xff") for _ in range(r.randrange(0, 120))) for k in range(400)] + [b"a" * 60, b"ab" * 40, b"\xff" * 9, b"abaab" * 20, b""]
@@ -301,6 +321,40 @@ def test_licenses_by_canonical_digest(spark, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def xxhash64_of(values, spark):
+    """xxhash64 of pairs of strings, as Spark has it."""
+    return [x[0] for x in spark.createDataFrame(values, "a string, b string").select(F.xxhash64("a", "b")).collect()]
+
+
+def test_shards_equal_a_tree_walked_by_hand(spark):
+    """Regions of two racks of two shards, one region for each later shard; draws -ln(u) / shards below."""
+    keys = [str(i) for i in range(400)]
+    regions = [[[0, 1], [2, 3]], [[4, 5], [6]], [[7]]]  # set up with 7, one more since
+    names = {"0": "region0", "1": "region1", "2": "later7"}
+
+    def draw(key, path, weight):
+        (h,) = (draws[key, path],)
+        return -np.log(((h % (1 << 64) >> 11) + 0.5) / (1 << 53)) / weight
+
+    paths = ["/region0", "/region1", "/later7", "/region0/rack0", "/region0/rack1", "/region1/rack2", "/region1/rack3"]
+    paths += [f"/region{i // 4}/rack{i // 2}/shard{i}" for i in range(7)]
+    asked = [(k, p) for k in keys for p in paths]
+    draws = dict(zip(asked, xxhash64_of(asked, spark), strict=True))
+    count = lambda x: sum(map(count, x)) if isinstance(x, list) else 1
+    expected = {}
+    for k in keys:
+        r = min(range(3), key=lambda i: draw(k, f"/{names[str(i)]}", count(regions[i])))
+        if r == 2:
+            expected[int(k)] = 7
+            continue
+        racks = regions[r]
+        c = min(range(2), key=lambda i: draw(k, f"/region{r}/rack{2 * r + i}", count(racks[i])))
+        expected[int(k)] = min(racks[c], key=lambda s: draw(k, f"/region{r}/rack{2 * r + c}/shard{s}", 1)) if len(racks[c]) > 1 else racks[c][0]
+    frame = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert {x["doc_id"]: x["shard"] for x in sharding.assign_shards(frame, 8, setup=7).collect()} == expected
+    assert {x["doc_id"]: x["grown_shard"] for x in sharding.assign_shards(frame, 7).collect()} == expected
+
+
 def test_shards_move_rows_only_to_the_new_one(docs, none, spark):
     found = sharding.assign_shards(docs).collect()
     by = {r[0]: (r[1] or "").encode() for r in rows()}
@@ -312,21 +366,42 @@ def test_shards_move_rows_only_to_the_new_one(docs, none, spark):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert sharding.assign_shards(none).count() == 0
-    many = sharding.assign_shards(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))
+    rows_ = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    many = sharding.assign_shards(rows_)
     assert min(r["count"] for r in many.groupBy("shard").count().collect()) > 2000 and 1500 < many.where("grown_shard = 8").count() < 3000
+    for shards, setup in ((1, 1), (2, 2), (3, 3), (5, 5), (6, 6), (7, 7), (9, 9), (10, 10), (9, 8), (10, 8), (11, 6)):
+        some = sharding.assign_shards(rows_.where("doc_id < 5000"), shards, setup=setup)
+        assert some.where(f"grown_shard <> shard AND grown_shard <> {shards}").count() == 0 and some.where(f"grown_shard = {shards}").count() > 2500 / (shards + 1)
+        assert some.select("shard").distinct().count() == shards
+
+
+def rendering_by_brute_force(turns):
+    """turns (conv_id, turn, role, text): {(conv_id, perspective): (rendered, own texts)}."""
+    plain = lambda x: x.replace("<|", "< |")
+    by, out = {}, {}
+    for c, t, role, text in turns:
+        by.setdefault(c, []).append((-1 if t is None else t, plain(role or "unknown"), plain(text or "")))
+    for c, said in by.items():
+        roles = {r for _, r, _ in said}
+        for p in roles - {"system"} if len(roles) > 1 else roles:
+            parts = [(f"<|assistant|>\n{x}\n" if r == p else f"<|system|>\n{x}\n" if r == "system" else f"<|user name={r}|>\n{x}\n") for _, r, x in sorted(said)]
+            out[c, p] = "".join(parts), [x for _, r, x in sorted(said) if r == p]
+    return out
 
 
 def test_chat_rotation_masks_the_speaker(spark):
-    given = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi é"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 200, "ann", None), (2, None, None, "x"), (3, 0, "system", "s"), (None, 0, "u", "n")]
-    found = chat.rotate_perspectives(spark.createDataFrame(given, "conv_id long, turn long, role string, text string")).collect()
-    by = {(r["conv_id"], r["perspective"], r["chunk"]): r for r in found}
-    assert set(by) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 3), (1, "bob", 3), (2, "unknown", -1), (3, "system", 0), (None, "u", 0)}
-    for r in found:
-        own = [r["rendered"][int(s) : int(e)] for s, e in (m.split(":") for m in r["mask"].split(",") if m)]
-        assert len(own) == r["n_masked"]
-        if (r["conv_id"], r["perspective"]) == (1, "bob"):
-            assert own == (["yo", "yo"] if r["chunk"] == 0 else [])
-    assert by[1, "ann", 0]["rendered"] == "<|system|>\nbe kind\n<|assistant|>\nhi é\n<|user name=bob|>\nyo\n<|user name=bob|>\nyo\n"
+    r = random.Random(6)
+    given = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi é"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 200, "ann", None), (2, None, None, "x"), (3, 0, "system", "s"), (None, 0, "u", "n"), (None, 1, "<|v", "<|assistant|>")]
+    given += [(7, i, r.choice(["ann", "bob", "cy"]), f"t{i} 🙂") for i in range(130)] + [(8, 5, r.choice(["ann", "bob"]), f"t{i % 90}") for i in range(200)]
+    frame = spark.createDataFrame([(*g, 9) for g in given], "conv_id long, turn long, role string, text string, part int")
+    expected = rendering_by_brute_force(given)
+    found = {(x["conv_id"], x["perspective"]): x for x in chat.rotate_perspectives(frame).collect()}
+    assert set(found) == set(expected)
+    for k, (rendered, own) in expected.items():
+        x = found[k]
+        assert x["rendered"] == rendered and x["n_masked"] == len(own)
+        # SQL counts code points
+        assert [rendered[int(s) : int(e)] for s, e in (m.split(":") for m in x["mask"].split(",") if m)] == own
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
