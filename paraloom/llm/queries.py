@@ -75,21 +75,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _license_sql() -> str:
-    def canon(x: str) -> str:
-        x = f"regexp_replace(translate(coalesce({x}, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.COPYRIGHT_LINE}', '\\1', 'g')"
-        x = f"' ' || trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'), ' ') || ' '"
+    def spelled(x: str) -> str:
+        x = f"' ' || {x} || ' '"
         for old, new in licenses.EQUIVALENT_SPELLINGS:
             x = f"replace({x}, ' {old} ', ' {new} ')"
         return f"trim({x}, ' ')"
 
-    known = ", ".join(f"('{n}', '{b}')" for n, b in sorted({(n, licenses.canonical_literal(t)) for n, t in licenses.KNOWN_LICENSES}))
+    line = f"CASE WHEN regexp_matches(x, '{licenses.COPYRIGHT_LINE}') THEN '' ELSE trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'), ' ') END"
+    known = ", ".join(f"('{name}', '{digest}')" for digest, (name, _) in sorted(licenses.known_licenses().items()))
     return f"""
-    WITH known AS (SELECT license, sha256(body) AS digest FROM (VALUES {known}) v(license, body)),
-    whole AS (SELECT rowid AS spot, doc_id, sha256({canon('text')}) AS canonical_sha256, text FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
-    lines AS (SELECT spot, sha256({canon('line')}) AS digest FROM (SELECT spot, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM whole)),
-    hits AS (SELECT spot, string_agg(DISTINCT license, '|' ORDER BY license) AS line_licenses, count(*) AS n_license_lines FROM lines JOIN known USING (digest) GROUP BY spot)
-    SELECT doc_id, canonical_sha256, k.license AS document_license, coalesce(line_licenses, '') AS line_licenses, coalesce(n_license_lines, 0)::BIGINT AS n_license_lines
-    FROM whole LEFT JOIN known k ON k.digest = canonical_sha256 LEFT JOIN hits USING (spot)"""
+    WITH known AS (SELECT * FROM (VALUES {known}) v(license, digest)),
+    parts AS (SELECT spot, doc_id, unnest(regexp_split_to_array(lowered, '{licenses.BLANK_LINES}')) AS part, generate_subscripts(regexp_split_to_array(lowered, '{licenses.BLANK_LINES}'), 1) AS nth
+        FROM (SELECT row_number() OVER () AS spot, doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS lowered FROM documents)),
+    lined AS (SELECT spot, doc_id, nth, list_filter(list_transform(string_split(part, chr(10)), lambda x: {line}), lambda x: x <> '') AS l FROM parts),
+    whole AS (SELECT spot, doc_id, sha256({spelled("array_to_string(flatten(list(l ORDER BY nth)), ' ')")}) AS canonical_sha256 FROM lined GROUP BY spot, doc_id),
+    lines AS (SELECT spot, sha256({spelled("y")}) AS digest FROM (SELECT spot, unnest(l) AS y FROM lined)),
+    line_hits AS (SELECT spot, string_agg(DISTINCT license, '|' ORDER BY license) AS line_licenses, count(*) AS n_license_lines FROM lines JOIN known USING (digest) GROUP BY spot),
+    part_hits AS (SELECT spot, string_agg(DISTINCT license, '|' ORDER BY license) AS paragraph_licenses FROM (SELECT spot, sha256({spelled("array_to_string(l, ' ')")}) AS digest FROM lined) JOIN known USING (digest) GROUP BY spot)
+    SELECT doc_id, canonical_sha256, k.license AS document_license, coalesce(line_licenses, '') AS line_licenses, coalesce(paragraph_licenses, '') AS paragraph_licenses, coalesce(n_license_lines, 0)::BIGINT AS n_license_lines
+    FROM whole LEFT JOIN known k ON k.digest = canonical_sha256 LEFT JOIN line_hits USING (spot) LEFT JOIN part_hits USING (spot)"""
 
 
 ORACLES: dict[str, str] = {
