@@ -77,11 +77,21 @@ def text_digest() -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
-def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose key and text are those of a row of gone (key, digest); null keys are equal."""
-    gone = gone.select(F.col(key).alias("__key"), F.col("digest").alias("__digest")).distinct()
+def kept_once(docs: DataFrame, key: str, judged: DataFrame) -> DataFrame:
+    """The rows of docs whose key and text are those of a kept row of judged (key, digest, kept), repeated ones once; null keys are equal.
+
+    judged has a row for each of docs. All columns of docs are as before, whatever their names.
+    """
+    judged = written(judged.select(F.col(key).alias("__key"), F.col("digest").alias("__digest"), "kept"), "judged")
     marked = docs.withColumn("__text", text_digest())
-    return marked.join(gone, marked[key].eqNullSafe(gone["__key"]) & (marked["__text"] == gone["__digest"]), "left_anti").drop("__text")
+    same = lambda t: marked[key].eqNullSafe(t["__key"]) & (marked["__text"] == t["__digest"])
+    gone = judged.where("NOT kept").drop("kept").distinct()
+    left = marked.join(gone, same(gone), "left_anti")
+    again = judged.where("kept").groupBy("__key", "__digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if again.head(1):
+        again = written(again, "repeats")
+        left = left.join(again, same(again), "left_anti").union(marked.join(again, same(again), "left_semi").dropDuplicates([key, "__text"]))
+    return left.drop("__text")
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:

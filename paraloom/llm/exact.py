@@ -7,8 +7,8 @@ outcome goes back to (digest, partition) pairs, whose groups are no larger than
 a partition.
 
 Defined cases: null text counts as empty; empty texts are equal; equal doc_ids
-are rows of their own (each counts in group_size, and all rows that carry the
-kept doc_id are kept); a null doc_id sorts below every other; an empty table
+are rows of their own (each counts in group_size, and exact_groups() marks all that carry
+the kept doc_id as kept; exact_dedup() leaves one of them); a null doc_id sorts below every other; an empty table
 gives an empty result; other columns of docs are ignored.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, without, written
+from .common import kept_once, spread_join, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -143,5 +143,5 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Each row goes or stays for its own text, whatever other rows its key has.
     """
-    copies = exact_groups(docs, key).where("NOT kept")
-    return without(docs, key, copies.select(key, F.unhex("text_sha256").alias("digest")))
+    groups = exact_groups(docs, key)
+    return kept_once(docs, key, groups.select(key, F.unhex("text_sha256").alias("digest"), "kept"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, removed, spread_join, text_blocks, text_digest, utf8_column, without, written
+from .common import kept_once, mixed, removed, spread_join, text_blocks, text_digest, utf8_column, written
 
 BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
@@ -461,5 +461,5 @@ def _judged(docs: DataFrame, key: str, percent: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """docs without near copies: of each group the document with the smallest key stays; all columns as before."""
-    return without(docs, key, _judged(docs, key, percent).where("NOT kept"))
+    """docs without near copies: of each group the document with the smallest key stays, once; all columns as before."""
+    return kept_once(docs, key, _judged(docs, key, percent).select(key, "digest", "kept"))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import os
 import random
 import zlib
 from array import array
@@ -158,7 +159,7 @@ def test_exact_groups_keep_the_largest(docs, none):
     assert exact.exact_groups(none).count() == 0
     kept = exact.exact_dedup(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, k, *_ in expected if i == k)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i, k, *_ in expected if i == k})
 
 
 def test_cuckoo_index_inserts_deletes_and_grows():
@@ -313,12 +314,28 @@ def test_linear_grouping_marks_repeats(spark):
 
 
 def test_licenses_by_canonical_digest(spark, none):
-    mit = next(t for n, t in licenses.KNOWN_LICENSES if n == "MIT" and len(t) > 500)
-    given = [(1, "Copyright (c) 2001 Some One\n" + mit.upper().replace(" ", "\n  ", 30), "x"), (2, "text\nReleased under the MIT LICENCE\nmore\n (C) 1999\nLicensed under CC BY-NC 4.0", "x"), (3, None, "x"), (4, "", "x"), (4, "", "x"), (5, "the MIT License", "x")]
+    mit = next(p for n, _, p in licenses.TEXTS if n == "MIT")
+    bsd = "\n\n".join([licenses.BSD_INTRO, *(f" * {c}" for c in licenses.BSD_CLAUSES[:2]), licenses.BSD_WARRANTY.format(givers="THE COPYRIGHT HOLDERS", giver="THE COPYRIGHT OWNER")])
+    wrapped = mit[0].replace(" copyright ", " copyright\n").replace(" of ", "\n  of ")
+    given = [
+        (1, "Copyright (c) 2001 Some One\nAll rights reserved.\n\n" + "\n\n".join(mit).upper().replace(" ", "\n  ", 30), "x"),
+        (2, "text\nReleased under the MIT LICENCE\nmore\n (C) 1999\nLicensed under CC BY-NC 4.0", "x"),
+        (3, None, "x"), (4, "", "x"), (4, "", "x"), (5, "the MIT License", "x"), (6, bsd.replace(" copyright notice", "\ncopyright notice"), "x"),
+        (7, f"The MIT License (MIT)\r\n\r\n© Some One\n\n{mit[0]}\n\n{mit[1]}\n\n{mit[2]}", "x"), (8, f"We ship it so.\n\n{wrapped}\n \t\nEnd.", "x"),
+    ]
     found = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(given, "doc_id long, text string, license string")).collect()}
-    assert found[1]["document_license"] == "MIT" and found[2]["line_licenses"] == "CC-BY-NC-4.0|MIT" and found[2]["n_license_lines"] == 2
-    assert all(found[i]["document_license"] is None and found[i]["line_licenses"] == "" for i in (2, 3, 4, 5) if i != 2) and found[2]["document_license"] is None
-    assert licenses.license_scan(none).count() == 0
+    assert {i: r["document_license"] for i, r in found.items() if r["document_license"]} == {1: "MIT", 6: "BSD-2-Clause", 7: "MIT"}
+    assert found[2]["line_licenses"] == "CC-BY-NC-4.0|MIT" and found[2]["n_license_lines"] == 2 and found[8]["paragraph_licenses"] == "MIT"
+    assert all(found[i]["line_licenses"] == found[i]["paragraph_licenses"] == "" for i in (3, 4, 5))
+    assert len(found) == 8 and licenses.license_scan(none).count() == 0
+
+
+def test_long_licenses_have_the_digests_of_the_public_texts(spark):
+    folder = "/usr/share/common-licenses/"
+    files = [(d, f) for d, f in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("BSD-3-Clause", "BSD")) if os.path.exists(folder + f)]
+    texts = [(d, open(folder + f).read().replace("``AS IS''", "AS IS")) for d, f in files]
+    found = licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id int, text string")) if texts else None
+    assert not texts or [r["document_license"] for r in found.orderBy("doc_id").collect()] == [d for d, _ in texts]
 
 
 def xxhash64_of(values, spark):
@@ -444,17 +461,17 @@ def by_row(frame):
 
 
 def test_exact_dedup_judges_rows_not_keys(spark):
-    given = [(5, "A"), (5, "B"), (9, "A"), (None, "A"), (None, "C"), (None, None), (7, "")]
+    given = [(5, "A"), (5, "B"), (9, "A"), (9, "A"), (None, "A"), (None, "C"), (None, "C"), (None, None), (7, "")]
     assert by_row(exact.exact_dedup(spark.createDataFrame(given, "doc_id long, text string"))) == sorted([(5, "B"), (9, "A"), (None, "C"), (7, "")], key=repr)
 
 
 def test_near_dedup_judges_rows_not_keys(spark):
     a, b = words(21, 300), words(22, 300)
-    given = [(3, a), (5, a + " tail"), (5, b), (8, b + " tail"), (None, a + " end"), (None, words(23, 90)), (6, "one"), (6, "two"), (None, "")]
+    given = [(3, a), (3, a), (5, a + " tail"), (5, b), (8, b + " tail"), (None, a + " end"), (None, words(23, 90)), (6, "one"), (6, "two"), (None, "")]
     frame = spark.createDataFrame(given, "doc_id long, text string")
-    assert by_row(minhash.near_dedup(frame)) == sorted([(3, a), (5, b), given[5], (6, "one"), (6, "two"), (None, "")], key=repr)
+    assert by_row(minhash.near_dedup(frame)) == sorted([(3, a), (5, b), given[6], (6, "one"), (6, "two"), (None, "")], key=repr)
     found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(frame).collect()), key=repr)
-    assert found == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False), (None, 3, False), (None, None, True), (6, 6, True), (6, 6, True), (None, None, True)], key=repr)
+    assert found == sorted([(3, 3, True), (3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False), (None, 3, False), (None, None, True), (6, 6, True), (6, 6, True), (None, None, True)], key=repr)
 
 
 def test_quality_filter_judges_rows_not_keys(spark, tmp_path):
