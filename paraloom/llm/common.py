@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +123,22 @@ def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+@cache
+def lean_memory() -> None:
+    """Let this Python worker, which Spark keeps for later tasks, give freed arrays back to the system at once.
+
+    The allocators would keep them otherwise: Arrow's own pool, and the C library's, whose limit for
+    blocks that are mapped one by one rises with the largest freed one (where there is such a limit).
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):
+        mallopt(-3, 16 << 20)  # bytes from which blocks are mapped one by one
+        mallopt(-1, 32 << 20)  # free bytes at the heap's end that go back
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], at_least: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Gather record batches (with a column text) to blocks of about at_least bytes; a single huge row is its own block."""
+    lean_memory()
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_once, mixed, removed, spread_join, text_blocks, text_digest, utf8_column, written
+from .common import kept_once, lean_memory, mixed, removed, spread_join, text_blocks, text_digest, utf8_column, written
 
 BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
@@ -226,6 +226,7 @@ def _in_buckets(find):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(alike.astype(np.int32))], names=["a", "b", "alike"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
