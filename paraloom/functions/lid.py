@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ngrams import bound
+
 
 def trigrams(text: Column) -> Column:
+    """Of letters in lower case, other characters being blanks."""
     x = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3)))
+    return bound(x, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))
 
 
 @dataclass(frozen=True)
@@ -30,9 +33,7 @@ class LanguageModel:
         weights, floor = self.weights, self.floor
 
         def one(text: str | None) -> tuple[str, float, bool]:
-            import re
-
-            x = f" {re.sub('[^a-zà-öø-ÿœß]+', ' ', (text or '').lower())} "
+            x = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in (text or '').lower()).split())} "  # as trigrams() has it
             grams = [x[i : i + 3] for i in range(len(x) - 2)]
             if not grams or not weights:
                 return "un", 0.0, False

@@ -9,19 +9,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _windows(tokens: Column, n: int, last: Column, separator: str) -> Column:
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), separator))
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once; an inner lambda would work out what it closes over for every element."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda held, _: held, f)
+
+
+def _windows(tokens: Column, n: int, separator: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, n), separator))
 
 
 def strict_ngrams(tokens: Column, n: int = 4, separator: str = " ") -> Column:
     """All n-grams; none if there are fewer than n tokens."""
     none = F.array().cast("array<string>")
-    return F.when(F.size(tokens) >= n, _windows(tokens, n, F.greatest(F.size(tokens) - n, F.lit(0)), separator)).otherwise(none)
+    return bound(tokens, lambda t: F.when(F.size(t) >= n, _windows(t, n, separator)).otherwise(none))
 
 
 def padded_ngrams(tokens: Column, n: int, separator: str = " ") -> Column:
     """All n-grams; the whole text as one if there are fewer than n tokens."""
-    return _windows(tokens, n, F.greatest(F.size(tokens) - n, F.lit(0)), separator)
+    return bound(tokens, lambda t: _windows(t, n, separator))
 
 
 def character_ngrams(text: Column, n: int) -> Column:
@@ -35,9 +40,12 @@ def alnum_tokens(text: Column) -> Column:
 
 def orders_ngrams(tokens: Column, order: int = 1, marked_once: bool = True, separator: str = "#") -> Column:
     """n-grams of orders 1 to order; with sentence marks around all orders (once), or around each order over 1."""
-    marked = F.concat(F.array(F.lit("<s>")), tokens, F.array(F.lit("</s>")))
-    parts = [strict_ngrams(marked if marked_once or n > 1 else tokens, n, separator) for n in range(1, order + 1)]
-    return F.concat(*parts)
+
+    def grams(words: Column) -> Column:
+        marked = F.concat(F.array(F.lit("<s>")), words, F.array(F.lit("</s>")))
+        return F.concat(*(strict_ngrams(marked if marked_once or n > 1 else words, n, separator) for n in range(1, order + 1)))
+
+    return bound(tokens, grams)
 
 
 def sha1_buckets(words: pd.Series, salts: list[str], size: int) -> pd.Series:
@@ -62,13 +70,13 @@ def double_hash_features(words: Column, n: int, size: int) -> Column:
 
 def simhash(features: Column) -> Column:
     """64-bit simhash: each bit is set if most feature hashes have it; ties count as not set."""
-    hashes = F.transform(features, lambda f: F.xxhash64(f))
-    votes = lambda b: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-    bits = [F.when(votes(b) > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for b in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+
+    def bits(hashes: Column) -> Column:
+        ones = lambda b: F.size(F.filter(hashes, lambda h: F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1)) == 1))
+        one = F.lit(1).cast("long")
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: F.when(2 * ones(b) > F.size(hashes), acc.bitwiseOR(F.call_function("shiftleft", one, b))).otherwise(acc))
+
+    return bound(F.transform(features, lambda f: F.xxhash64(f)), bits)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from .langstats import main_languages
+from .lineage import cut
 
 
 def language_candidates(kv: DataFrame, language: str, min_ratio: float = 0.1, remove_index: bool = False, aggressive: bool = False, strip: bool = True) -> DataFrame:
@@ -36,8 +37,11 @@ def match_candidates(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def generated_pairs(source: DataFrame, target: DataFrame, first_phase: int = 1) -> DataFrame:
-    """Pairs (phase, src, tgt): stripped source is a target, stripped target is a source, both strip to the same."""
-    s, t = source.select(F.col("url").alias("src"), F.col("stripped").alias("s")), target.select(F.col("url").alias("tgt"), F.col("stripped").alias("t"))
+    """Pairs (phase, src, tgt): stripped source is a target, stripped target is a source, both strip to the same.
+
+    Both sides are stripped once and written, as each phase reads them.
+    """
+    s, t = cut(source.select(F.col("url").alias("src"), F.col("stripped").alias("s"))), cut(target.select(F.col("url").alias("tgt"), F.col("stripped").alias("t")))
     one = s.join(t, F.col("s") == F.col("tgt"))
     two = s.join(t, F.col("t") == F.col("src"))
     three = s.join(t, F.col("s") == F.col("t"))

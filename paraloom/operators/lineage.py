@@ -1,18 +1,25 @@
-"""Cutting lineage between the rounds of iterative operators."""
+"""Cutting lineage between the rounds of iterative operators, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share (spark.checkpoint.dir) and read again; removed when the JVM ends."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); removed when the JVM ends."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(folder or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = new_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

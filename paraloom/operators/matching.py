@@ -138,9 +138,9 @@ def labelled_scores(scores: DataFrame, source: DataFrame, target: DataFrame) ->
 
 def zscores(cells: DataFrame, column: str, value: str) -> DataFrame:
     """Column-wise standard scores (population); a constant column gives 0."""
-    w = Window.partitionBy(column)
-    sd = F.stddev_pop(value).over(w)
-    return cells.withColumn("z", F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(0.0))
+    stats = cells.groupBy(F.col(column).alias("__of")).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
+    joined = cells.join(stats, F.col(column).eqNullSafe(F.col("__of")))
+    return joined.withColumn("z", F.when(F.col("__sd") > 0, (F.col(value) - F.col("__mean")) / F.col("__sd")).otherwise(0.0)).drop("__of", "__mean", "__sd")
 
 
 def matrix_stats(cells: DataFrame, value: str) -> DataFrame:

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lid, ngrams, similarity
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import candidates, cleaning, evaluation, langstats, locate, matching, terms
+from ..operators.lineage import cut
 from ..sources import archives, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,7 +112,7 @@ def percent_bytes_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langstats.percent_languages(pages)
 
 
-DISTS = "d AS (SELECT 'Src' || '.COM?' || (doc_id % 3) AS domain, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang || '-XX' END AS language, n_chars AS bytes FROM documents WHERE doc_id % 7 < 6)"
+DISTS = "d AS (SELECT 'Src' || '.COM?' || (doc_id % 3) AS domain, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang || '-XX' END AS language, n_chars AS bytes FROM documents)"
 
 
 @query(f"WITH {DISTS} SELECT split_part(domain, '?', 1) AS domain, split_part(lower(language), '-', 1) AS language, sum(bytes)::BIGINT AS bytes FROM d GROUP BY ALL")
@@ -125,7 +126,7 @@ def total_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 < 6")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.concat(F.lit("Src.COM?"), F.col("doc_id") % 3).alias("domain"), F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.concat("lang", F.lit("-XX"))).alias("language"), F.col("n_chars").alias("bytes"))
 
 
@@ -169,7 +170,7 @@ def host_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id AS uri, i AS pos, line, CASE WHEN line ILIKE 'th%' THEN 'en' WHEN length(line) % 5 = 0 THEN 'un' ELSE 'xx' END AS language
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE doc_id < 1000000)),
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
 k AS (SELECT *, strlen(line) + 1 AS size FROM l WHERE trim(line, ' ') <> ''),
 e AS (SELECT *, sum(size) OVER (PARTITION BY uri ORDER BY pos) AS e, CASE WHEN language IS NOT DISTINCT FROM lag(language) OVER (PARTITION BY uri ORDER BY pos) THEN 0 ELSE 1 END AS n FROM k),
 r AS (SELECT *, sum(n) OVER (PARTITION BY uri ORDER BY pos) AS run FROM e)
@@ -238,10 +239,10 @@ def url_plain_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", short.alias("lang"), made["url"].alias("stripped"))
 
 
-@query("SELECT page_id, regexp_replace(url, '[?]+$', '') AS normal, replace(html[1:200], ' ', '%20') AS quoted, 'http://index/CC-MAIN-2015-40-index?url=' AS start FROM pages")
+@query("SELECT page_id, regexp_replace(url, '[?]+$', '') AS normal, replace(html, ' ', '%20') AS quoted, 'http://index/CC-MAIN-2015-40-index?url=' || replace(url_encode(url), '%20', '+') || '&output=json' AS query FROM pages")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", U.normalize(F.concat("url", F.lit("??"))).alias("normal"), U.quoted_spaces(F.substring("html", 1, 200)).alias("quoted"), F.substring(U.index_query("http://index", F.lit("2015_40"), F.col("url")), 1, 39).alias("start"))
+    return p.select("page_id", U.normalize(F.concat("url", F.lit("??"))).alias("normal"), U.quoted_spaces(F.col("html")).alias("quoted"), U.index_query("http://index", F.lit("2015_40"), F.col("url")).alias("query"))
 
 
 # --- candidates and pairs -----------------------------------------------------------------------
@@ -301,14 +302,14 @@ def exclude_known_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.excluded(p, candidates.swapped(reverse))
 
 
-SCORED = f"""scored AS (SELECT a.doc_id AS src, b.doc_id AS tgt, a.source AS grp, ((a.doc_id * 7919 + b.doc_id * 104729) % 1009)::DOUBLE AS score FROM documents a JOIN documents b ON a.source = b.source AND a.lang = 'en' AND b.lang = 'fr' AND (a.doc_id + b.doc_id) % 5 = 0)"""
+SCORED = f"""scored AS (SELECT a.doc_id AS src, b.doc_id AS tgt, a.source AS grp, ((a.doc_id * 7919 + b.doc_id * 104729) % 1009)::DOUBLE AS score FROM documents a JOIN documents b ON a.source = b.source AND a.lang = 'en' AND b.lang = 'fr')"""
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some scored (src, tgt) pairs of each source, for the matching operators."""
+    """Scored (src, tgt) pairs of each source, for the matching operators."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("grp"))
     s, t = d.where("lang = 'en'").select("grp", F.col("doc_id").alias("src")), d.where("lang = 'fr'").select("grp", F.col("doc_id").alias("tgt"))
-    return s.join(t, "grp").where("(src + tgt) % 5 = 0").select("src", "tgt", "grp", ((F.col("src") * 7919 + F.col("tgt") * 104729) % 1009).cast("double").alias("score"))
+    return s.join(t, "grp").select("src", "tgt", "grp", ((F.col("src") * 7919 + F.col("tgt") * 104729) % 1009).cast("double").alias("score"))
 
 
 @query(f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, src DESC, tgt DESC) AS a, row_number() OVER (PARTITION BY tgt ORDER BY score DESC, src DESC, tgt DESC) AS b FROM scored)
@@ -431,7 +432,8 @@ TERMS = f"t AS (SELECT doc_id, lang, source, term, count(*) AS c FROM (SELECT do
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.exploded(table(spark, sf_dir, "documents"), blank_words(F.lower("text")), ["doc_id", "lang", "source"])
+    """The counted terms of each document, written once, as every similarity reads them several times."""
+    return cut(terms.exploded(table(spark, sf_dir, "documents"), blank_words(F.lower("text")), ["doc_id", "lang", "source"]))
 
 
 @query(f"WITH {TERMS}, s AS (SELECT count(*) AS n FROM documents) SELECT term AS ngram, df, round(ln(s.n) - ln(df), 6) AS idf FROM df, s WHERE df >= 2")
@@ -448,7 +450,7 @@ def _tfidf(name: str, variant: int, tf: str, idf: str) -> None:
 
     f.__name__ = name
     query(f"""WITH {TERMS}, x AS (SELECT doc_id, c, df, n.n, (SELECT max(df) FROM df) AS md, max(c) OVER w AS mc, sum(c) OVER w AS sc FROM t JOIN df USING (term), n WINDOW w AS (PARTITION BY doc_id))
-SELECT doc_id, count(*) AS n_terms, round(sum(({tf}) * ({idf})), 4) AS total FROM x WHERE df BETWEEN 2 AND 1000 GROUP BY doc_id""")(f)
+SELECT doc_id, count(*) AS n_terms, round(sum(({tf}) * ({idf}))::DOUBLE, 4) AS total FROM x WHERE df BETWEEN 2 AND 1000 GROUP BY doc_id""")(f)
 
 
 for _name, _variant, _tf, _idf in (
@@ -462,12 +464,12 @@ for _name, _variant, _tf, _idf in (
 ):
     _tfidf(_name, _variant, _tf, _idf)
 
-SIM_TERMS = f"{TERMS}, f AS (SELECT term FROM df WHERE df BETWEEN 2 AND 60), s AS (SELECT source, doc_id AS src_id, term, c FROM t WHERE lang = 'en' AND term IN (SELECT term FROM f)), g AS (SELECT source, doc_id AS tgt_id, term, c FROM t WHERE lang = 'fr' AND term IN (SELECT term FROM f))"
+SIM_TERMS = f"{TERMS}, f AS (SELECT term FROM df WHERE df BETWEEN 2 AND 1000), s AS (SELECT source, doc_id AS src_id, term, c FROM t WHERE lang = 'en' AND term IN (SELECT term FROM f)), g AS (SELECT source, doc_id AS tgt_id, term, c FROM t WHERE lang = 'fr' AND term IN (SELECT term FROM f))"
 
 
 def _sim_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = doc_terms(spark, sf_dir)
-    frequent = terms.document_frequency(t, 2, 60).select("term")
+    frequent = terms.document_frequency(t, 2, 1000).select("term")
     return terms.sides(t.join(frequent, "term", "left_semi"), "lang", "en", "fr", "source", "doc_id", ["count"])
 
 
@@ -483,7 +485,7 @@ def count_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, src_id, tgt_id, round(d / (sqrt(a) * sqrt(b)), 6) AS score FROM (SELECT source, src_id, tgt_id, sum(sw.w * gw.w) AS d FROM sw JOIN gw USING (source, term) GROUP BY ALL)
 JOIN (SELECT src_id, sum(w * w) AS a FROM sw GROUP BY src_id) USING (src_id) JOIN (SELECT tgt_id, sum(w * w) AS b FROM gw GROUP BY tgt_id) USING (tgt_id)""")
 def true_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = terms.tfidf(doc_terms(spark, sf_dir), ["doc_id", "lang", "source"], 7, 2, 60)
+    w = terms.tfidf(doc_terms(spark, sf_dir), ["doc_id", "lang", "source"], 7, 2, 1000)
     return terms.cosine_pairs(*terms.sides(w, "lang", "en", "fr", "source", "doc_id", ["weight"]), "source").withColumn("score", F.round("score", 6))
 
 
@@ -510,18 +512,29 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of the English and the French documents of one source whose numbers agree modulo 4."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring_index("text", "\n", 1).alias("line"))
-    s, t = d.where("lang = 'en'").select("source", F.col("doc_id").alias("a"), F.col("line").alias("src")), d.where("lang = 'fr'").select("source", F.col("doc_id").alias("b"), F.col("line").alias("tgt"))
-    x = s.join(t, "source").where("a % 4 = b % 4")
-    url = lambda k: F.concat(F.lit("http://"), "source", F.lit(".example.com/"), F.lit(k), F.col(k))
-    tgt = F.when(F.col("a") % 11 == 0, F.col("src")).when(F.col("a") % 13 == 0, F.lit(" ")).otherwise(F.substring("tgt", F.lit(1), F.length("src") + F.col("b") % 40))
-    return x.select("a", "b", url("a").alias("src_url"), F.when(F.col("b") % 17 == 0, F.lit("http://other.org/")).otherwise(url("b")).alias("tgt_url"), F.col("src").alias("source"), tgt.alias("target"), ((F.col("a") + F.col("b")) % 10 / 10 - 0.1).alias("score"))
-
-
-PAIRS = """pairs AS (SELECT a, b, 'http://' || source || '.example.com/a' || a AS src_url, CASE WHEN b % 17 = 0 THEN 'http://other.org/' ELSE 'http://' || source || '.example.com/b' || b END AS tgt_url, src AS source,
-CASE WHEN a % 11 = 0 THEN src WHEN a % 13 = 0 THEN ' ' ELSE substr(tgt, 1, length(src) + b % 40) END AS target, ((a + b) % 10) / 10 - 0.1 AS score
-FROM (SELECT source, doc_id AS a, split_part(text, chr(10), 1) AS src FROM documents WHERE lang = 'en') JOIN (SELECT source, doc_id AS b, split_part(text, chr(10), 1) AS tgt FROM documents WHERE lang = 'fr') USING (source) WHERE a % 4 = b % 4)"""
+    """Lines of one number in the English and the French documents of one source that have one rank there, with some lines spoilt."""
+    d = table(spark, sf_dir, "documents").where("lang IN ('en', 'fr')").select("doc_id", "lang", "source", "text")
+    d = d.withColumn("nth", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))).select("doc_id", "lang", "source", "nth", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    s = d.where("lang = 'en'").select("source", "nth", "pos", F.col("doc_id").alias("a"), F.col("line").alias("src"))
+    t = d.where("lang = 'fr'").select("source", "nth", "pos", F.col("doc_id").alias("b"), F.col("line").alias("tgt"))
+    x = s.join(t, ["source", "nth", "pos"])
+    url = lambda k: F.concat(F.lit("http://"), "source", F.lit(".example.com/"), F.when(F.col(k) % 3 == 0, "").when(F.lit(k) == "a", "en/").otherwise("fr/"), "nth", F.when(F.col("b") % 5 == 0, k).otherwise(""))
+    tgt = F.when((F.col("a") + F.col("pos")) % 11 == 0, F.col("src")).when((F.col("a") + F.col("pos")) % 13 == 0, F.lit(" ")).otherwise(F.col("tgt"))
+    return x.select("a", "b", "pos", url("a").alias("src_url"), F.when(F.col("b") % 17 == 0, F.lit("http://other.org/")).otherwise(url("b")).alias("tgt_url"), F.col("src").alias("source"), tgt.alias("target"), ((F.col("a") + F.col("b")) % 10 / 10 - 0.1).alias("score"))
+
+
+def _sql_pair_url(k: str, code: str) -> str:
+    return f"'http://' || source || '.example.com/' || CASE WHEN {k} % 3 = 0 THEN '' ELSE '{code}/' END || nth || CASE WHEN b % 5 = 0 THEN '{k}' ELSE '' END"
+
+
+def _sql_lines(lang: str, key: str, line: str) -> str:
+    return f"""(SELECT source, nth, doc_id AS {key}, unnest(string_split(text, chr(10))) AS {line}, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE lang = '{lang}'))"""
+
+
+PAIRS = f"""pairs AS (SELECT a, b, pos, {_sql_pair_url('a', 'en')} AS src_url, CASE WHEN b % 17 = 0 THEN 'http://other.org/' ELSE {_sql_pair_url('b', 'fr')} END AS tgt_url, src AS source,
+CASE WHEN (a + pos) % 11 = 0 THEN src WHEN (a + pos) % 13 = 0 THEN ' ' ELSE tgt END AS target, ((a + b) % 10) / 10 - 0.1 AS score
+FROM {_sql_lines('en', 'a', 'src')} JOIN {_sql_lines('fr', 'b', 'tgt')} USING (source, nth, pos))"""
 REASONED = f"""{PAIRS}, reasoned AS (SELECT *, CASE WHEN source = target THEN 'identical' WHEN trim(source, ' ') = '' THEN 'source_empty' WHEN trim(target, ' ') = '' THEN 'target_empty' WHEN score < 0 THEN 'low score'
 WHEN (length(source) + 15) / (length(target) + 15) > 1.5 THEN 'source_too_long' WHEN (length(target) + 15) / (length(source) + 15) > 1.5 THEN 'source_too_short' END AS reason FROM pairs)"""
 
@@ -530,9 +543,9 @@ def _reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pairs(spark, sf_dir).withColumn("reason", cleaning.deletion_reason(F.col("source"), F.col("target"), F.col("score")))
 
 
-@query(f"WITH {REASONED} SELECT a, b, source, target FROM reasoned WHERE reason IS NULL")
+@query(f"WITH {REASONED} SELECT a, b, pos, source, target FROM reasoned WHERE reason IS NULL")
 def bitext_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reasoned(spark, sf_dir).where("reason IS NULL").select("a", "b", "source", "target")
+    return _reasoned(spark, sf_dir).where("reason IS NULL").select("a", "b", F.col("pos").cast("long").alias("pos"), "source", "target")
 
 
 @query(f"WITH {REASONED} SELECT coalesce(reason, 'written') AS reason, count(*) AS n FROM reasoned GROUP BY ALL")
@@ -559,7 +572,7 @@ def corpus_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("domain", "is_long").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {PAIRS} SELECT count(*) AS n, round(avg((src_url <> tgt_url)::INT), 6) AS acc1, round(avg((src_url <> tgt_url OR src_url = tgt_url)::INT), 6) AS acc2 FROM pairs")
+@query(f"WITH {PAIRS} SELECT count(*) AS n, round(avg((regexp_replace(src_url, '/(en|de|fr|es)/', '//') <> regexp_replace(tgt_url, '/(en|de|fr|es)/', '//'))::INT), 6) AS acc1, round(avg((regexp_replace(src_url, '/(en|de|fr|es)/', '//') <> regexp_replace(tgt_url, '/(en|de|fr|es)/', '//') OR src_url = tgt_url)::INT), 6) AS acc2 FROM pairs")
 def sentence_url_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = cleaning.url_agreement(sentence_pairs(spark, sf_dir))
     return x.select("n", F.round("acc1", 6).alias("acc1"), F.round("acc2", 6).alias("acc2"))
@@ -635,9 +648,9 @@ def attached_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.attach_locations(t.select(F.col("url").alias("uri")), links).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id AS pair_id, 'u' || doc_id AS src_url, 'v' || doc_id AS tgt_url, text AS src_text FROM documents WHERE doc_id % 2 = 0 AND length(text) > 0 AND doc_id % 6 <> 0")
+@query("SELECT doc_id AS pair_id, 'u' || doc_id AS src_url, 'v' || doc_id AS tgt_url, text AS src_text FROM documents WHERE length(text) > 0 AND doc_id % 6 <> 0")
 def assembled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    d = table(spark, sf_dir, "documents")
     side = lambda s, u, empty: d.select(F.col("doc_id").alias("pair_id"), F.lit(s).alias("side"), F.concat(F.lit(u), "doc_id").alias("url"), F.lit("<p>").alias("html"), F.when(empty, "").otherwise(F.col("text")).alias("text"))
     return locate.pages_of_pairs(side("src", "u", F.lit(False)).unionByName(side("tgt", "v", F.col("doc_id") % 6 == 0))).select("pair_id", "src_url", "tgt_url", "src_text")
 
@@ -645,12 +658,13 @@ def assembled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- links, features, matrices ------------------------------------------------------------------
 
 
-@query(f"""WITH e AS (SELECT page_id AS s, unnest(list_concat([(page_id * 7) % 50], [(page_id * 3) % 50], [(page_id * 3) % 50])) AS d FROM pages), i AS (SELECT d, count(*) AS n FROM e GROUP BY d), o AS (SELECT DISTINCT s, d FROM e),
+@query(f"""WITH e AS (SELECT page_id AS s, unnest([(page_id * 7 + 1) % (SELECT count(*) FROM pages), (page_id * 3) % (SELECT count(*) FROM pages), (page_id * 3) % (SELECT count(*) FROM pages)]) AS d FROM pages), i AS (SELECT d, count(*) AS n FROM e GROUP BY d), o AS (SELECT DISTINCT s, d FROM e),
 p AS (SELECT page_id, page_id % 2 AS k FROM pages), x AS (SELECT b.page_id AS src, a.page_id AS tgt, b.page_id AS too FROM o JOIN p a ON o.s = a.page_id AND a.k = 1 JOIN p b ON o.d = b.page_id AND b.k = 0
 UNION ALL SELECT a.page_id, b.page_id, b.page_id FROM o JOIN p a ON o.s = a.page_id AND a.k = 0 JOIN p b ON o.d = b.page_id AND b.k = 1) SELECT src, tgt, round(sum(1 / n) / 2, 6) AS score FROM x JOIN i ON too = d GROUP BY src, tgt""")
 def linkage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("url"))
-    edges = p.select(F.col("url").alias("src"), F.explode(F.array((F.col("url") * 7) % 50, (F.col("url") * 3) % 50, (F.col("url") * 3) % 50)).alias("dst"))
+    n = p.count()
+    edges = p.select(F.col("url").alias("src"), F.explode(F.array((F.col("url") * 7 + 1) % n, (F.col("url") * 3) % n, (F.col("url") * 3) % n)).alias("dst"))
     return matching.linkage(edges, p.where("url % 2 = 0"), p.where("url % 2 = 1")).withColumn("score", F.round("score", 6))
 
 
@@ -671,9 +685,9 @@ def matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.matrix_stats(_cells(spark, sf_dir), "v").select(*(F.round(c, 6).alias(c) for c in ("low", "high", "mean", "median", "sd")))
 
 
-@query(f"WITH {CELLS}, p AS (SELECT v, (vec_id % 10)::DOUBLE AS y FROM cells WHERE col = 0), r AS (SELECT v, y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM p) SELECT round(corr(v, y), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r")
+@query(f"WITH {CELLS}, p AS (SELECT v, (vec_id % 10)::DOUBLE AS y FROM cells), r AS (SELECT v, y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM p) SELECT round(corr(v, y), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r")
 def score_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cells(spark, sf_dir).where("col = 0").select("v", (F.col("vec_id") % 10).cast("double").alias("y"))
+    rows = _cells(spark, sf_dir).select("v", (F.col("vec_id") % 10).cast("double").alias("y"))
     return matching.correlation(rows, "v", "y").select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
@@ -800,6 +814,10 @@ def simhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hashed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ngrams.orders_ngrams(blank_words(F.col("text")), 2)
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.select("doc_id", "line", ngrams.double_hash_features(words, 3, 1024).alias("bits"), ngrams.sha1_features(1000, ["a", "b"])(words).alias("salted"))
+    # as a row of its own, so that the n-grams are made once and the Arrow function gets a plain column
+    words = lines.select("doc_id", "line", F.explode(F.array(ngrams.orders_ngrams(blank_words(F.col("text")), 2))).alias("words"))
+    return words.select("doc_id", "line", ngrams.double_hash_features(F.col("words"), 3, 1024).alias("bits"), ngrams.sha1_features(1000, ["a", "b"])("words").alias("salted"))
+
+
+from . import record_queries  # noqa: E402, F401  (adds its queries)

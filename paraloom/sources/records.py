@@ -38,7 +38,8 @@ def parse_lett(lines: DataFrame, html: bool = True, column: str = "value") -> Da
 def lett_lines(docs: DataFrame, source: str, target: str) -> DataFrame:
     """Documents as lett lines, those in the source language first."""
     rows = docs.where(F.col("lang").isin(source, target)).orderBy(F.col("lang") != source, "url")
-    return rows.select(F.concat_ws("\t", "lang", "mime", "encoding", "url", F.base64(F.encode("html", "UTF-8")), F.base64(F.encode("text", "UTF-8"))).alias("value"))
+    one_line = lambda c: F.translate(F.base64(F.encode(c, "UTF-8")), "\r\n", "")
+    return rows.select(F.concat_ws("\t", "lang", "mime", "encoding", "url", one_line("html"), one_line("text")).alias("value"))
 
 
 def site_documents(files: DataFrame, language: Column, keep: list[str] | None = None, ignore_br: bool = False) -> DataFrame:

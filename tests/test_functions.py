@@ -129,3 +129,15 @@ def test_gale_church_bounds():
     assert similarity.gale_church([10, 20], [10, 20]) == -100.0
     assert similarity.gale_church([10], [500] * 40) == 100.0
     assert -100 < similarity.gale_church([30, 31], [60]) < 0
+
+
+def test_simhash_equals_plain_counting(spark):
+    import xxhash
+
+    texts = ["a b c d e f", "a b c", "", "x", "one two three four five six seven eight"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    tokens = F.filter(F.split("text", " "), lambda t: t != "")
+    for row in frame.select("id", ngrams.simhash(tokens).alias("h")).collect():
+        hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in texts[row["id"]].split()]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert row["h"] % (1 << 64) == bits
