@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a default for local runs."""
+    """The folder that driver and executors share: spark.checkpoint.dir; for local runs there is a default."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found and (jdir := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = jdir.get()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 

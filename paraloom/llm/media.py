@@ -141,10 +141,12 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
     format at the same end are its own content and not reported again.
     """
     found: list[tuple[str, int, int]] = []
+    ends: set[tuple[str, int]] = set()
     for last, f in _automaton().iter(data.decode("latin-1")):
         start = last - len(f.magic) + 1
-        if (end := f.end(data, start)) is not None and (f.media_type, end) not in {(t, e) for t, _, e in found[-8:]}:
+        if (end := f.end(data, start)) is not None and (f.media_type, end) not in ends:
             found.append((f.media_type, start, end))
+            ends.add((f.media_type, end))
     return found
 
 

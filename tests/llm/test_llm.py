@@ -439,7 +439,7 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
-def test_quality_scores_equal_a_plain_model_and_reject_junk(spark, docs, none, tmp_path):
+def test_quality_rejects_junk(spark, docs, none, tmp_path):
     r = random.Random(8)
     vocabulary = ["".join(r.choice(["ba", "lo", "mi", "te", "run"]) for _ in range(r.randrange(1, 4))) for _ in range(200)]
     clean = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(20, 200))), "en") for i in range(300)]
