@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Rows of a few numbers that one file of a small table holds at most.
-FILE_ROWS = 500_000
+FILE_ROWS = 20_000
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

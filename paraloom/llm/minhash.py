@@ -382,15 +382,16 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _apart(members: DataFrame, limit: int) -> DataFrame:
+def _apart(members: DataFrame, limit: int, most: int) -> DataFrame:
     """The members (bucket, id, weight, label) of buckets with several labels, with main (the label that weighs most), targets and probes.
 
     These are the numbers of blocks of about limit that the members make and those with another label than main.
+    most: how many rows members has at most.
     """
     counts = members.groupBy("bucket", "label").agg(F.sum("weight").alias("part"))
     whole = counts.groupBy("bucket").agg(F.max_by("label", F.struct("part", "label")).alias("main"), F.sum("part").alias("all"), F.max("part").alias("most")).where("all > most")
     blocks = whole.select("bucket", "main", F.ceil(F.col("all") / limit).alias("targets"), F.ceil((F.col("all") - F.col("most")) / limit).alias("probes"))
-    return written(members.join(written(blocks, "mixed"), "bucket"), "apart")
+    return written(members.join(written(blocks, "mixed", most), "bucket"), "apart", most)
 
 
 def _cross_blocks(apart: DataFrame) -> DataFrame:
@@ -438,24 +439,24 @@ def _judged(docs: DataFrame, key: str, percent: int) -> DataFrame:
     links = written(confirmed(stars, sets, percent).where("linked").select("a", "b"), "links")
     labels = components(links)
     # families: groups that likely pairs join
-    slim, families, near = members.select("bucket", "id", F.lit(1).alias("weight")), labels, links
-    apart = _apart(_labelled(slim, families), HOT_BUCKET)
+    slim, families, near, many = members.select("bucket", "id", F.lit(1).alias("weight")), labels, links, members.count()
+    apart = _apart(_labelled(slim, families), HOT_BUCKET, many)
     private = private_shingles(sets.join(apart.select("id").distinct(), "id", "left_semi"))
     marks = written(marks.join(private, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("private", F.lit(0))), "marks")
     most = sets.count()
     while (found := written(most_alike(pairs_of(_cross_blocks(apart).join(marks, "id"), lambda t: cross_pairs(Members(t))), "a", "b"), "near", most)).head(1):
         near = near.union(found)
         families = components(near)
-        apart = _apart(_labelled(slim, families), HOT_BUCKET)
+        apart = _apart(_labelled(slim, families), HOT_BUCKET, many)
     relatives = _with_own(families).withColumnRenamed("label", "bucket").join(marks.select("id", F.col("n_shingles").alias("weight")), "id")
-    mixed_families = _cross_blocks(_apart(_labelled(relatives, labels).select("bucket", "id", "weight", "label"), HOT_CODES))
+    mixed_families = _cross_blocks(_apart(_labelled(relatives, labels).select("bucket", "id", "weight", "label"), HOT_CODES, most))
     more = written(pairs_of(mixed_families.join(sets, "id"), lambda t: family_links(t, percent)).select("a", "b"), "links")
     if more.head(1):
         labels = components(links.union(more))
     linked = _with_own(labels)
     least = linked.join(classes, "id").groupBy("label").agg(F.min("smallest").alias("least"))
     least = linked.join(least, "label").select("id", "least")
-    labelled = written(classes.join(least, "id", "left").select(*whole, F.coalesce("least", "smallest").alias("component_id")), "labelled")
+    labelled = written(classes.join(least, "id", "left").select(*whole, F.coalesce("least", "smallest").alias("component_id")), "labelled", classes.count())
     grouped = spread_join(rows.where("n_shingles > 0").select(key, "digest", *whole, "pid"), labelled, whole)
     out = grouped.select(key, "digest", "n_shingles", "component_id").union(rows.where("n_shingles = 0").select(key, "digest", "n_shingles", (F.col(key) + F.lit(0)).cast("long").alias("component_id")))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
