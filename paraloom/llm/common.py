@@ -5,8 +5,9 @@ from __future__ import annotations
 import ctypes
 import struct
 import uuid
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,11 @@ def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+@cache
+def _library() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
 @cache
 def lean_memory() -> None:
     """Let this Python worker, which Spark keeps for later tasks, give freed arrays back to the system at once.
@@ -133,11 +139,41 @@ def lean_memory() -> None:
     blocks that are mapped one by one rises with the largest freed one (where there is such a limit).
     """
     pa.set_memory_pool(pa.system_memory_pool())
-    if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):
+    if mallopt := getattr(_library(), "mallopt", None):
         mallopt(-3, 16 << 20)  # bytes from which blocks are mapped one by one
         mallopt(-1, 32 << 20)  # free bytes at the heap's end that go back
 
 
+def lean(work: Callable) -> Callable:
+    """work, a function of one or two arguments or a generator of one that a Python worker runs, leaving no unused memory.
+
+    Idle workers keep what they have (some for each core, as stages chain them), so what
+    work freed goes back to the system when it ends.
+    """
+
+    def trimmed() -> None:
+        if trim := getattr(_library(), "malloc_trim", None):
+            trim(0)
+
+    def whole(*tables: pa.Table) -> pa.Table:
+        lean_memory()
+        try:
+            return work(*tables)
+        finally:
+            trimmed()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        try:
+            yield from work(batches)
+        finally:
+            trimmed()
+
+    if isgeneratorfunction(work):
+        return wraps(work)(parts)
+    return wraps(work)((lambda a: whole(a)) if len(signature(work).parameters) == 1 else (lambda a, b: whole(a, b)))  # Spark counts arguments
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], at_least: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Gather record batches (with a column text) to blocks of about at_least bytes; a single huge row is its own block."""
     lean_memory()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_once, spread_join, written
+from .common import kept_once, lean, spread_join, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -105,6 +105,7 @@ class CuckooIndex:
 GROUPS = "digest binary, keep_id long, group_size long"
 
 
+@lean
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per digest of a partition; the index holds the live row of each."""
     index = CuckooIndex()

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_once, lean_memory, mixed, removed, spread_join, text_blocks, text_digest, utf8_column, written
+from .common import kept_once, lean, mixed, removed, spread_join, text_blocks, text_digest, utf8_column, written
 
 BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
@@ -60,17 +60,16 @@ BYTE_CODES = _numbers(256, 7)[_lower]
 WORD_CODES = _numbers(64, 11) | np.uint64(1)
 LEVEL_CODES = _numbers(256, 13)
 IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers 0 to n of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) <= n:
-        for i, base in enumerate((BASE, BASE_INVERSE)):
-            table = np.full(n + 1, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.multiply.accumulate(table)
-    return _powers
+    tables = []
+    for base in (BASE, BASE_INVERSE):
+        table = np.full(n + 1, base, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table, out=table))
+    return tables
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +83,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = WORDS) -> tupl
     first, last = edge[0::2], edge[1::2]
     powers, inverse = _power_tables(len(spaced))
     sums = np.zeros(len(spaced) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[spaced] * powers[: len(spaced)], out=sums[1:])
+    np.cumsum(BYTE_CODES[spaced] * powers[:-1], out=sums[1:])
     word = mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
     at = np.searchsorted(first, np.append(begins, len(spaced)))
     count = np.diff(at)
@@ -147,6 +146,7 @@ def signature_rows(docs: DataFrame, key: str) -> DataFrame:
     """Per row: key, digest of the text, n_shingles, set_a and set_b (128 bits of the whole set), bands, marks (a byte of each slot), pid."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, BLOCK):
             codes, ends = shingle_sets(*utf8_column(block.column("text")))
@@ -225,8 +225,8 @@ def _in_buckets(find):
         a, b, alike = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in range(3))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(alike.astype(np.int32))], names=["a", "b", "alike"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -292,6 +292,7 @@ def family_links(t: pa.Table, percent: int) -> list[Pairs]:
 
 
 def _confirm(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             (codes_a, ends_a), (codes_b, ends_b) = _lists(rows.column("codes_a")), _lists(rows.column("codes_b"))
@@ -320,6 +321,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 def full_sets(texts: DataFrame) -> DataFrame:
     """texts (id, text) to (id, codes): the sorted codes of the shingles."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, BLOCK):
             codes, ends = shingle_sets(*utf8_column(block.column("text")))

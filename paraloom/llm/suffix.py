@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pack_arrays, text_blocks, unpack_arrays, utf8_column, written
+from .common import lean, mixed, pack_arrays, text_blocks, unpack_arrays, utf8_column, written
 from .jvm_kernel import call
 from .minhash import BASE, BASE_INVERSE, LEVEL_CODES, WORD_CODES
 
@@ -93,6 +93,7 @@ def _read(blob: bytes) -> tuple[pa.Table, np.ndarray, Anchors]:
     return block, block.column(KEY).cast(pa.int64()).fill_null(int(FIRST)).to_numpy(), Anchors(*utf8_column(block.column("text")))
 
 
+@lean
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pid = TaskContext.get().partitionId()
     for seq, block in enumerate(text_blocks(batches, BLOCK)):
@@ -105,6 +106,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _anchor_requests(shards: int):
     """For each block and shard: sorted keys (lowest bit: occurs twice here) and their zones' hashes (lowest bit: zones differ here)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
@@ -129,6 +131,7 @@ def _anchor_requests(shards: int):
 AGAIN, HOT, DIFFERENT = 1, 2, 4
 
 
+@lean
 def _repeated_anchors(asked: pa.Table) -> pa.Table:
     """The flags of each block's anchors, in order."""
     parts = [np.frombuffer(k.as_py(), np.uint64) for k in asked.column("keys")]
@@ -190,6 +193,7 @@ def _joined(data: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _send_zones(shards: int):
+    @lean
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"shard": [], "block": [], "zones": []}
         if texts.num_rows and answers.num_rows:
@@ -210,6 +214,7 @@ def _send_zones(shards: int):
 CHUNKS = "shard int, text binary, owner binary, copies binary"
 
 
+@lean
 def _zone_texts(sent: pa.Table) -> pa.Table:
     """Texts of different zones of one anchor, first occurrences first, and which zones are mere copies."""
     shard, blocks = sent.column("shard")[0].as_py(), sent.column("block").to_numpy()
@@ -249,6 +254,7 @@ def _zone_texts(sent: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([shard] * len(rows), pa.int32()), **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("text", "owner", "copies"))}})
 
 
+@lean
 def _earlier_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """To each block: its zones (by number in the shard) and a bit for each window that occurs earlier."""
     for batch in batches:
@@ -268,6 +274,7 @@ def _earlier_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _apply(shards: int, carry: list[str], as_text: bool):
+    @lean
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """answers: rows of anchor flags (kind 0) and of windows that occur earlier (kind 1)."""
         block, keys, found = _read(texts.column("texts")[0].as_py())
