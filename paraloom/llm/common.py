@@ -64,6 +64,20 @@ def removed(df: DataFrame) -> None:
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let rows go to Python workers in batches of BATCH_BYTES from now on in this session, if its limit is higher.
+
+    The usual limits are 10,000 rows and 64 MB, in the JVM's own memory outside the heap and in each worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def gapless_rank(rows: DataFrame, group: str, piece: str, order: list[str], name: str = "rank") -> DataFrame:
     """rows with a rank, gapless from 0 in each group.
 

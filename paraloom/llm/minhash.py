@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_once, lean, mixed, removed, spread_join, text_blocks, text_digest, utf8_column, written
+from .common import kept_once, lean, mixed, removed, small_batches, spread_join, text_blocks, text_digest, utf8_column, written
 
 BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
@@ -422,6 +422,7 @@ def _judged(docs: DataFrame, key: str, percent: int) -> DataFrame:
     Equal sets are one class with a number of its own, as a key may be null or have
     several texts; each class is compared by one of its rows, told by key and digest.
     """
+    small_batches(docs.sparkSession)
     first = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("first")
     rows = written(signature_rows(docs, key), "signatures")
     whole = ["n_shingles", "set_a", "set_b"]

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, pack_arrays, text_blocks, unpack_arrays, utf8_column, written
+from .common import lean, mixed, pack_arrays, small_batches, text_blocks, unpack_arrays, utf8_column, written
 from .jvm_kernel import call
 from .minhash import BASE, BASE_INVERSE, LEVEL_CODES, WORD_CODES
 
@@ -251,7 +251,8 @@ def _zone_texts(sent: pa.Table) -> pa.Table:
             to = np.cumsum(length[f] + 1) - length[f] - 1
             body[np.repeat(to - (np.cumsum(length[f]) - length[f]), length[f]) + np.arange(length[f].sum())] = _joined(data, begin[f], begin[f] + length[f])
             rows.append((body.tobytes(), pack_arrays(block[f], index[f], length[f], to), b""))
-    return pa.table({"shard": pa.array([shard] * len(rows), pa.int32()), **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("text", "owner", "copies"))}})
+    fields = pa.schema({"shard": pa.int32(), "text": pa.binary(), "owner": pa.binary(), "copies": pa.binary()})
+    return pa.Table.from_batches([pa.record_batch([[shard], *([x] for x in r)], schema=fields) for r in rows], fields)  # a batch each, as they are large
 
 
 @lean
@@ -313,6 +314,7 @@ def _apply(shards: int, carry: list[str], as_text: bool):
 def _repeats(docs: DataFrame, key: str, carry: list[str], as_text: bool) -> DataFrame:
     """Per row: KEY, the columns carry by number, n_bytes, n_removed, n_spans, kept and, if asked for, kept as text without incomplete characters."""
     spark = docs.sparkSession
+    small_batches(spark)
     numbers = [f"__{i}" for i in range(len(carry))]
     rows = docs.select(F.col(f"`{key}`").alias(KEY), "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, numbers, strict=True)))
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [KEY, *numbers])
