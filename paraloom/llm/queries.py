@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, licenses, media, minhash, packing, quality, sharding, suffix
+from . import bpe, chat, codes, exact, licenses, media, minhash, packing, quality, sharding, suffix
 from .common import table
 
 
@@ -69,8 +69,12 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op5_suffix_dedup, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives)
+    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op5_suffix_dedup, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives, op13_vector_codes)
 }
 
 
@@ -96,6 +100,29 @@ def _license_sql() -> str:
     FROM whole LEFT JOIN known k ON k.digest = canonical_sha256 LEFT JOIN line_hits USING (spot) LEFT JOIN part_hits USING (spot)"""
 
 
+def _codes_sql() -> str:
+    """Lloyd's rounds on integers as a chain of joins of all parts with all entries."""
+    near = lambda book: f"""SELECT r, p, e, d FROM (SELECT r, p, e, d, row_number() OVER (PARTITION BY r, p ORDER BY d, e) AS nth
+        FROM (SELECT x.r, x.p, c.e, list_sum(list_transform(list_zip(x.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN {book} c USING (p))) WHERE nth = 1"""
+    rounds = ""
+    for i in range(codes.ROUNDS):
+        rounds += f"""
+    near{i} AS MATERIALIZED ({near(f"book{i}")}),
+    sums{i} AS (SELECT p, e, list(s ORDER BY i) AS x FROM (SELECT p, e, i, floor(sum(v)::HUGEINT / count(*))::BIGINT AS s
+        FROM (SELECT n.p, n.e, unnest(x.x) AS v, generate_subscripts(x.x, 1) AS i FROM near{i} n JOIN parts x USING (r, p)) GROUP BY p, e, i) GROUP BY p, e),
+    book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.x, b.x) AS x FROM book{i} b LEFT JOIN sums{i} s USING (p, e)),"""
+    return f"""
+    WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS x, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT r, p, x[p * len(x) // {codes.PARTS} + 1 : (p + 1) * len(x) // {codes.PARTS}] AS x FROM kept, range({codes.PARTS}) t(p)),
+    book0 AS MATERIALIZED (SELECT p, r AS e, x FROM parts WHERE r < {codes.ENTRIES}),{rounds}
+    final AS ({near(f"book{codes.ROUNDS}")}),
+    coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM final GROUP BY r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+        (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{codes.ROUNDS}) AS codebooks_sha256
+    FROM kept JOIN coded USING (r)"""
+
+
 ORACLES: dict[str, str] = {
     "op5_suffix_dedup": """
     WITH bytes AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
@@ -121,6 +148,7 @@ ORACLES: dict[str, str] = {
     reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
     SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = doc_id""",
     "op7_license_scan": _license_sql(),
+    "op13_vector_codes": _codes_sql(),
     "op10_chat_perspectives": """
     WITH clean AS (SELECT conv_id, coalesce(turn, -1) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
     n AS (SELECT conv_id, count(DISTINCT role) AS roles FROM clean GROUP BY conv_id),
