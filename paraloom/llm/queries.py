@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, exact, licenses, media, minhash, packing, quality, sharding, suffix
+from . import bpe, chat, codes, exact, licenses, media, minhash, packing, quality, repair, sharding, suffix
 from .common import table
 
 
@@ -69,12 +69,16 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op5_suffix_dedup, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives, op13_vector_codes)
+    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op5_suffix_dedup, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives, op11_repair, op13_vector_codes)
 }
 
 
@@ -122,6 +126,48 @@ def _codes_sql() -> str:
         (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{codes.ROUNDS}) AS codebooks_sha256
     FROM kept JOIN coded USING (r)"""
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a short text, bit by bit."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    turned = "list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), xor(crc, octet))"
+    return f"xor(list_reduce({octets}, lambda crc, octet: {turned}, 4294967295), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """The four states' least (cost, audit, text) from row to row of each dialogue."""
+    least = lambda *ways: f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+    after = lambda state, cost, edit, line: f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 't': {state}.t || '{edit}', 'r': {state}.r || {line}}} END"
+    line = lambda role, text="''": f"chr(10) || {role} || ':' || {text}"
+    gone = lambda state: after(state, repair.DELETE, "D", "''")
+    user, assistant = (lambda state, role=role: after(state, repair.INSERT, "I", line(role)) for role in ("'user'", "'assistant'"))
+
+    def taken(state: str, initial: str, role: str) -> str:
+        keep, put = after(state, "extra", "K", line("role", "text")), after(state, f"extra + {repair.REROLE}", "R", line(role, "text"))
+        return f"CASE WHEN free THEN CASE WHEN left(role, 1) = '{initial}' THEN {keep} ELSE {put} END END"
+
+    base = f"""{gone("e")} AS e, {least(gone("s"), "CASE WHEN free AND left(role, 1) = 's' THEN " + after("e", "extra", "K", line("role", "text")) + " END")} AS s,
+            {least(gone("u"), *(taken(x, "u", "'user'") for x in "esa"))} AS u, {least(gone("a"), taken("u", "a", "'assistant'"))} AS a"""
+    entry = "STRUCT(c BIGINT, t VARCHAR, r VARCHAR)"
+    close = lambda rows: f"SELECT * REPLACE ({least('a', assistant('u'))} AS a) FROM (SELECT * REPLACE ({least('u', *(user(x) for x in 'esa'))} AS u) FROM ({rows}))"
+    return rf"""
+    WITH RECURSIVE drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS draw FROM conversations),
+    hurt AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE draw WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE draw <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM hurt),
+    judged AS MATERIALIZED (SELECT *, CASE WHEN cut = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        i > 1 AND lag(left(role, 1)) OVER w || left(role, 1) NOT IN ('su', 'ua', 'au') AS odd FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+    turns AS MATERIALIZED (SELECT conv_id, i, role, text, fault IN ('', 'truncated') AS free, CASE fault WHEN 'truncated' THEN {repair.TRUNCATED} ELSE 0 END AS extra FROM judged),
+    layers AS (
+        {close(f"SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 't': '', 'r': ''}}::{entry} AS e, NULL::{entry} AS s, NULL::{entry} AS u, NULL::{entry} AS a FROM conversations")}
+        UNION ALL
+        {close(f"SELECT l.conv_id, l.i + 1 AS i, {base} FROM layers l JOIN turns t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.i = l.i + 1")}),
+    ends AS (SELECT conv_id, arg_max({least("e", "a")}, i) AS w FROM layers GROUP BY conv_id),
+    counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal FROM judged GROUP BY conv_id)
+    SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+        w.c AS cost, w.t AS audit, sha256(substr(w.r, 2)) AS repaired_sha256
+    FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
 
 ORACLES: dict[str, str] = {
     "op5_suffix_dedup": """
@@ -148,6 +194,7 @@ ORACLES: dict[str, str] = {
     reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
     SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = doc_id""",
     "op7_license_scan": _license_sql(),
+    "op11_repair": _repair_sql(),
     "op13_vector_codes": _codes_sql(),
     "op10_chat_perspectives": """
     WITH clean AS (SELECT conv_id, coalesce(turn, -1) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
