@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, exact, licenses, media, minhash, packing, quality, repair, sharding, suffix
+from . import bpe, chat, codes, exact, licenses, media, minhash, mixture, packing, quality, repair, sharding, suffix
 from .common import table
 
 
@@ -73,12 +73,16 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op5_suffix_dedup, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives, op11_repair, op13_vector_codes)
+    f.__name__: f for f in (op1_bpe, op2_media, op3_packing, op4_quality, op5_suffix_dedup, op6_exact_dedup, op7_license_scan, op8_minhash, op9_hash_tree_shards, op10_chat_perspectives, op11_repair, op12_languages, op13_vector_codes)
 }
 
 
