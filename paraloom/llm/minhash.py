@@ -56,35 +56,50 @@ BASE, BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A
 _numbers = lambda n, seed: mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 _lower = np.arange(256)
 _lower[0x41:0x5B] += 32
-BYTE_CODES = _numbers(256, 7)[_lower]
+LOWER = _lower.astype(np.uint64)
 WORD_CODES = _numbers(64, 11) | np.uint64(1)
 LEVEL_CODES = _numbers(256, 13)
 IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers 0 to n of the base and of its inverse modulo 2**64."""
-    tables = []
-    for base in (BASE, BASE_INVERSE):
-        table = np.full(n + 1, base, np.uint64)
-        table[0] = 1
-        tables.append(np.multiply.accumulate(table, out=table))
-    return tables
+#: Bytes whose numbers are drawn at once.
+WINDOW = 1 << 18
+
+
+def word_codes(spaced: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each word spaced[first:last], lower-cased: the sum of a number drawn for each byte and its place in the word.
+
+    The numbers are those of tabulation hashing, so no rule of arithmetic makes two words collide, whatever their
+    length and letters. Windows bound the memory, for long words too.
+    """
+    sums = np.zeros(len(first), np.uint64)
+    low = 0
+    for start in range(0, int(last[-1]) if len(last) else 0, WINDOW):
+        stop = min(start + WINDOW, int(last[-1]))
+        low += int(np.searchsorted(last[low:], start, side="right"))
+        high = low + int(np.searchsorted(first[low:], stop, side="left"))
+        if low == high:
+            continue
+        begins, stops = np.maximum(first[low:high], start), np.minimum(last[low:high], stop)
+        sizes = stops - begins
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - begins, sizes)
+        place = (at - np.repeat(first[low:high], sizes)).astype(np.uint64)
+        drawn = mixed((LOWER[spaced[at]] | (place << np.uint64(8))) + WORD_CODES[63])
+        sums[low:high] += np.add.reduceat(drawn, np.cumsum(sizes) - sizes)
+    return mixed(sums + (last - first).astype(np.uint64))
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit codes of the distinct word shingles of each text, sorted within it, and the n+1 offsets of the texts."""
     n = len(ends) - 1
     spaced = np.full(len(data) + n + 1, 0x20, np.uint8)
-    spaced[1 + np.arange(len(data)) + np.repeat(np.arange(n), np.diff(ends))] = data
     begins = ends[:-1] + np.arange(n) + 1
+    for i, b in enumerate(begins):
+        spaced[b : b + ends[i + 1] - ends[i]] = data[ends[i] : ends[i + 1]]
     space = IS_SPACE[spaced]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     first, last = edge[0::2], edge[1::2]
-    powers, inverse = _power_tables(len(spaced))
-    sums = np.zeros(len(spaced) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[spaced] * powers[:-1], out=sums[1:])
-    word = mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+    word = word_codes(spaced, first, last)
     at = np.searchsorted(first, np.append(begins, len(spaced)))
     count = np.diff(at)
     whole = np.zeros(max(0, len(word) - words + 1), np.uint64)

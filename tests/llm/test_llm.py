@@ -490,3 +490,28 @@ def test_quality_rejects_repeated_words(spark, tmp_path):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(180)], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"]: r["kept"] for r in quality.classify(spark.read.parquet(str(tmp_path / "d")), labels).collect()}
     assert not any(kept[500 + i] for i in range(10)) and sum(kept[i] for i in range(200)) >= 195 and kept[600] and kept[601]
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_words_of_one_pattern_are_not_one(spark):
+    """Words that every polynomial hash modulo 2**64 takes for one have different codes; neither text goes."""
+    made = [(i, "".join(letters[x] for x in thue_morse(n)), None, None, None, 7, "x", "y", 1) for i, (n, letters) in enumerate((n, s) for n in (1024, 2048, 4096) for s in ("ab", "ba"))]
+    docs = spark.createDataFrame(made, SCHEMA)
+    assert all(r.kept and r.component_id == r.doc_id for r in minhash.near_groups(docs).collect())
+    assert minhash.near_dedup(docs).count() == len(made)
+
+
+def test_long_text_has_a_bounded_share_of_memory():
+    """A text of 20 MB, and one word of that length, take at most 20 bytes a byte beside the text."""
+    import tracemalloc
+
+    for text in (("lorem ipsum dolor sit amet " * 150 + "q%d ") * 5000, "x" * (20 << 20)):
+        data = np.frombuffer(text.encode(), np.uint8)
+        tracemalloc.start()
+        _, ends = minhash.shingle_sets(data, np.array([0, len(data)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20 * len(data) and ends[-1] >= 1
