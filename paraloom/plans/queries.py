@@ -820,4 +820,4 @@ def hashed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "line", ngrams.double_hash_features(F.col("words"), 3, 1024).alias("bits"), ngrams.sha1_features(1000, ["a", "b"])("words").alias("salted"))
 
 
-from . import record_queries  # noqa: E402, F401  (adds its queries)
+from . import archive_queries, record_queries  # noqa: E402, F401  (they add their queries)
