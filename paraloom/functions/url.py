@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .domains import SUFFIXES, UNKNOWN, ascii_name, domain_label, registered, subdomain, suffix
+
 #: Codes that name a language in a URL, by language; all lower case.
 LANGUAGE_CODES: dict[str, list[str]] = {
     "ar": ["arabic", "ara", "ar"],
@@ -46,11 +48,8 @@ PLAIN_CODES: dict[str, list[str]] = {
 }
 #: Names of query variables that only choose a language.
 LANGUAGE_VARIABLES = ["lang", "clang", "language", "locale", "selectedLocale"]
-#: Public suffixes of two labels; every other suffix is the last label.
-TWO_LABEL_SUFFIXES = [
-    "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my",
-    "com.pe", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "gov.au", "gov.uk", "ne.jp", "net.au", "net.br", "or.jp", "or.kr", "org.au", "org.br", "org.uk",
-]
+#: Suffixes of two labels that no wildcard makes.
+TWO_LABEL_SUFFIXES = [s for s in SUFFIXES if s.count(".") == 1 and s[0] not in "*!"]
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 ALNUM = "a-zA-Z0-9"
 
@@ -97,25 +96,6 @@ def last_label(url: Column) -> Column:
     return F.element_at(F.split(host(url), r"\."), -1)
 
 
-def suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
-
-
-def registered(host: Column) -> Column:
-    """The label before the public suffix with the suffix; the host itself if there is none before."""
-    return F.when(suffix(host).contains("."), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
-
-
-def domain_label(host: Column) -> Column:
-    return F.when(registered(host) != suffix(host), F.substring_index(registered(host), ".", 1)).otherwise(F.lit(""))
-
-
-def subdomain(host: Column) -> Column:
-    rest = F.length(host) - F.length(registered(host)) - 1
-    return F.when(rest > 0, F.substring(host, F.lit(1), rest)).otherwise(F.lit(""))
-
-
 def normalize(url: Column, legacy: bool = False) -> Column:
     """Without trailing question marks, with a scheme. legacy: https:// too gets http:// in front."""
     bare = F.regexp_replace(url, r"\?+$", "")
@@ -126,12 +106,12 @@ def normalize(url: Column, legacy: bool = False) -> Column:
 def split_uri(url: Column) -> Column:
     """(domain, suffix, path with query)."""
     tail = F.when(query(url) != "", F.concat(path(url), F.lit("?"), query(url))).otherwise(path(url))
-    return F.struct(domain_label(host(url)).alias("domain"), suffix(host(url)).alias("suffix"), tail.alias("path"))
+    return F.struct(F.coalesce(ascii_name(domain_label(host(url))), F.lit("")).alias("domain"), suffix(host(url)).alias("suffix"), tail.alias("path"))
 
 
 def domain_key(url: Column) -> Column:
-    """The registered domain, which leads the keys of the location index."""
-    return F.when(host(url) == "", F.lit("__UNKNOWN__")).otherwise(registered(host(url)))
+    """The registered domain in ASCII form, which leads the keys of the location index."""
+    return F.when(host(url) == "", F.lit(UNKNOWN)).otherwise(F.coalesce(ascii_name(registered(host(url))), F.lit(UNKNOWN)))
 
 
 def language_of(part: Column) -> Column:

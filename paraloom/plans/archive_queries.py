@@ -1,10 +1,11 @@
-"""Registered queries of archives read by ranges, of the stored index, and of files in the order of their rows."""
+"""Registered queries of archives read by ranges, of the stored index and its domains, and of files in the order of their rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import domains
 from ..functions import url as U
 from ..operators import lookup
 from ..operators.lineage import cut, new_path
@@ -118,3 +119,35 @@ def text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = lines.groupBy(F.col("line").alias("text")).agg(F.min("doc_id").alias("value"))
     found, _ = lookup.looked_up(lines.select("doc_id", ASKED["spark"]().alias("text")), known)
     return found.select("doc_id", "found", "value")
+
+
+# --- registered domains -------------------------------------------------------------------------
+
+#: Ends of hosts: suffixes of 1 to 4 labels, wildcards, their exceptions, names in letters and in ASCII form.
+ENDS = ["com", "co.uk", "uk", "kyoto.jp", "ide.kyoto.jp", "x.kawasaki.jp", "city.kawasaki.jp", "kawasaki.jp", "foo.ck", "www.ck", "ck", "us", "k12.ca.us", "pvt.k12.ma.us", "unlisted.zz", "公司.cn", "xn--55qx5d.cn", "bücher.de", "Straße.CO.UK"]
+#: ASCII forms of the names with other letters.
+ASCII_NAMES = {"bücher": "xn--bcher-kva", "Straße": "strasse"}
+
+
+def _sql_rules(kind: str) -> str:
+    rules = getattr(domains.RULES, kind)
+    return ", ".join(f"('{r}', {k})" for k, names in sorted(rules.items()) for r in sorted(names))
+
+
+@query(f"""WITH ends AS (SELECT unnest([{", ".join(f"'{e}'" for e in ENDS)}]) AS e), exact AS (SELECT * FROM (VALUES {_sql_rules("exact")}) t(rule, k)), wild AS (SELECT * FROM (VALUES {_sql_rules("wild")}) t(rule, k)), but AS (SELECT * FROM (VALUES {_sql_rules("but")}) t(rule, k)),
+hosts AS (SELECT page_id, e, url, string_split({sql_host()}, '.example.')[1] || '.' || e AS host FROM pages, ends),
+tails AS (SELECT page_id, e, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM hosts),
+hits AS (SELECT page_id, e, k, list_contains((SELECT list(rule) FROM but), t) AS b, list_contains((SELECT list(rule) FROM exact), t) OR (k > 1 AND list_contains((SELECT list(rule) FROM wild), w)) AS h
+    FROM (SELECT page_id, e, k, lower(array_to_string(l[-k:], '.')) AS t, CASE WHEN k > 1 THEN lower(array_to_string(l[-(k - 1):], '.')) END AS w FROM tails)),
+found AS (SELECT page_id, e, coalesce(max(k) FILTER (b) - 1, max(k) FILTER (h), 1) AS n FROM hits GROUP BY page_id, e),
+cut AS (SELECT page_id, url, host, n, string_split(host, '.') AS l FROM hosts JOIN found USING (page_id, e)),
+named AS (SELECT *, CASE WHEN len(l) > n THEN l[-(n + 1)] ELSE '' END AS label FROM cut)
+SELECT page_id, host, array_to_string(l[-n:], '.') AS suffix, label AS domain, array_to_string(l[-(n + 1):], '.') AS registered, array_to_string(l[: greatest(len(l) - n - 1, 0)], '.') AS subdomain,
+CASE label {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ASCII_NAMES.items())} ELSE label END || ' ' || url || ' c' AS key FROM named""")
+def registered_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts of all pages under each kind of suffix, taken apart."""
+    ends = F.explode(F.array(*map(F.lit, ENDS)))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", ends.alias("e"))
+    p = p.withColumn("host", F.concat(F.substring_index(U.host(F.col("url")), ".example.", 1), F.lit("."), "e"))
+    x = F.col("host")
+    return p.select("page_id", "host", domains.suffix(x).alias("suffix"), domains.domain_label(x).alias("domain"), domains.registered(x).alias("registered"), domains.subdomain(x).alias("subdomain"), domains.location_key(F.col("url"), x, F.lit("c")).alias("key"))
