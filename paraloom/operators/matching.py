@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,51 +45,6 @@ def mutual_best(pairs: DataFrame, score: str = "score") -> DataFrame:
     return both.where("__rank = __s AND __rank = __t").drop("__rank", "__s", "__t")
 
 
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a cheapest assignment of a square matrix, by shortest augmenting paths."""
-    n = len(cost)
-    u, v, row_of, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], j0 = i, 0
-        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
-        while True:
-            used[j0] = True
-            i0, free = row_of[j0], ~used[1:]
-            now = cost[i0 - 1] - u[i0] - v[1:]
-            better = free & (now < least[1:])
-            least[1:][better], way[1:][better] = now[better], j0
-            j1 = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
-            delta = least[j1]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[1:][free] -= delta
-            j0 = j1
-            if not row_of[j0]:
-                break
-        while j0:
-            row_of[j0] = row_of[way[j0]]
-            j0 = way[j0]
-    out = np.zeros(n, int)
-    out[row_of[1:] - 1] = np.arange(n)
-    return out
-
-
-def best_assignment(pairs: DataFrame, group: str) -> DataFrame:
-    """One-to-one pairs (group, src, tgt, score) of the largest total score in each group (a web domain); pairs not given count 0."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, t = pd.Index(pdf["src"].unique()).sort_values(), pd.Index(pdf["tgt"].unique()).sort_values()
-        n = max(len(s), len(t))
-        score = np.zeros((n, n))
-        score[s.get_indexer(pdf["src"]), t.get_indexer(pdf["tgt"])] = pdf["score"]
-        to = assignment(-score)
-        rows = [(pdf[group].iloc[0], s[i], t[j], score[i, j]) for i, j in enumerate(to) if i < len(s) and j < len(t) and score[i, j] > 0]
-        return pd.DataFrame(rows, columns=[group, "src", "tgt", "score"])
-
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, src {kinds['src']}, tgt {kinds['tgt']}, score double")
-
-
 def incoming(edges: DataFrame) -> DataFrame:
     """Links (src, dst) that lead to each page, duplicates counted."""
     return edges.groupBy(F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("n"))
@@ -188,8 +143,28 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
+def cross_predicted(rows: DataFrame, features: list[str], fold: str) -> DataFrame:
+    """rows with the score of a model that was fitted on all rows of the other folds. Folds are few; a model of one class alone scores its share."""
+    rows = cut(rows)
+    out = []
+    for (k,) in sorted(rows.select(fold).distinct().collect()):
+        seen, held = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
+        share = seen.agg(F.avg("label")).first()[0]
+        out.append(held.withColumn("score", F.lit(share or 0.0)) if share in (None, 0.0, 1.0) else predict(fit_classifier(seen, features), held))
+    return reduce(DataFrame.unionByName, out) if out else rows.withColumn("score", F.lit(0.0))
+
+
+def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(value, name): the average rank from 1 of each different value among rows. Values are ranged over all partitions, whose counts give each its start; nulls have none."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("part").agg(F.sum("n").alias("n")).select("part", ahead(Window.orderBy("part")).alias("start"))  # a row a partition
+    placed = ranged.withColumn("before", ahead(Window.partitionBy("part").orderBy(value))).join(F.broadcast(starts), "part")
+    return placed.select(value, (F.col("start") + F.col("before") + (F.col("n") + 1) / 2).alias(name))
+
+
 def correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson, and Spearman over average ranks."""
-    counts = lambda c, r: rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).select(F.col(c), (F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))).alias("before"), "n").select(c, (F.coalesce("before", F.lit(0)) + (F.col("n") + 1) / 2).alias(r))
-    x = rows.join(counts(a, "ra"), a).join(counts(b, "rb"), b)
+    x = rows.join(average_ranks(rows, a, "ra"), a).join(average_ranks(rows, b, "rb"), b)
     return x.agg(F.corr(a, b).alias("pearson"), F.corr("ra", "rb").alias("spearman"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lid, ngrams, similarity
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import candidates, cleaning, evaluation, langstats, locate, matching, terms
+from ..operators import assignment, candidates, cleaning, evaluation, langstats, locate, matching, terms
 from ..operators.lineage import cut
 from ..sources import archives, records
 
@@ -150,18 +150,21 @@ def language_names_to_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langstats.language_codes(by_name, names).select(F.col("old").alias("name"), "language", "bytes")
 
 
-@query("SELECT * FROM (VALUES ('files', true), ('cumulative', true), ('pairs', true)) v(kind, within)")
+@query("""WITH u AS (SELECT event_id % 4 AS file, 'http://h/' || (user_id * 100 + event_id % 97) AS url FROM events), k AS (SELECT unnest(range(4)) AS file)
+SELECT 'files' AS kind, file::VARCHAR AS files, count(DISTINCT url) AS n, true AS within FROM u GROUP BY file
+UNION ALL SELECT 'cumulative', k.file::VARCHAR, count(DISTINCT url), true FROM k JOIN u ON u.file <= k.file WHERE k.file IN (SELECT file FROM u) GROUP BY k.file
+UNION ALL SELECT 'pairs', a.file || ' ' || b.file, count(DISTINCT url), true FROM k a JOIN k b ON a.file < b.file JOIN u ON u.file IN (a.file, b.file) WHERE a.file IN (SELECT file FROM u) AND b.file IN (SELECT file FROM u) GROUP BY a.file, b.file""")
 def hll_distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether every sketch estimate lies within 2 percent of the exact count."""
+    """Distinct urls of each file, of all up to it and of each two, exactly, and whether the sketches' estimate is within half a percent."""
     urls = table(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("file"), F.concat(F.lit("http://h/"), F.col("user_id") * 100 + F.col("event_id") % 97).alias("url"))
-    sketches = langstats.distinct_urls(urls)
-    files = sketches.join(urls.groupBy("file").agg(F.count_distinct("url").alias("n")), "file").select(F.lit("files").alias("kind"), "estimate", "n")
+    sketches = langstats.distinct_urls(urls, precision=21)
+    files = sketches.join(urls.groupBy("file").agg(F.count_distinct("url").alias("n")), "file").select(F.lit("files").alias("kind"), F.col("file").cast("string").alias("files"), "estimate", "n")
     upto = urls.withColumnRenamed("file", "f").join(sketches.select(F.col("file").alias("upto")), F.col("f") <= F.col("upto")).groupBy("upto").agg(F.count_distinct("url").alias("n"))
-    cumulative = langstats.cumulative_urls(sketches).join(upto, "upto").select(F.lit("cumulative").alias("kind"), "estimate", "n")
+    cumulative = langstats.cumulative_urls(sketches).join(upto, "upto").select(F.lit("cumulative").alias("kind"), F.col("upto").cast("string").alias("files"), "estimate", "n")
     both = langstats.paired_urls(sketches)
     exact = both.select("a", "b").join(urls, (F.col("file") == F.col("a")) | (F.col("file") == F.col("b"))).groupBy("a", "b").agg(F.count_distinct("url").alias("n"))
-    pairs = both.join(exact, ["a", "b"]).select(F.lit("pairs").alias("kind"), "estimate", "n")
-    return files.unionByName(cumulative).unionByName(pairs).groupBy("kind").agg(F.every(F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1.0), 0.02 * F.col("n"))).alias("within"))
+    pairs = both.join(exact, ["a", "b"]).select(F.lit("pairs").alias("kind"), F.concat_ws(" ", "a", "b").alias("files"), "estimate", "n")
+    return files.unionByName(cumulative).unionByName(pairs).select("kind", "files", "n", (F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1.0), 0.005 * F.col("n"))).alias("within"))
 
 
 @query(f"SELECT {sql_host()} AS host, count(*) AS n FROM pages GROUP BY ALL")
@@ -302,14 +305,19 @@ def exclude_known_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.excluded(p, candidates.swapped(reverse))
 
 
-SCORED = f"""scored AS (SELECT a.doc_id AS src, b.doc_id AS tgt, a.source AS grp, ((a.doc_id * 7919 + b.doc_id * 104729) % 1009)::DOUBLE AS score FROM documents a JOIN documents b ON a.source = b.source AND a.lang = 'en' AND b.lang = 'fr')"""
+TERMS = f"t AS (SELECT doc_id, lang, source, term, count(*) AS c FROM (SELECT doc_id, lang, source, unnest({WORDS.format('lower(text)')}) AS term FROM documents) GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM t), df AS (SELECT term, count(*) AS df FROM t GROUP BY term)"
+SIM_TERMS = f"{TERMS}, f AS (SELECT term FROM df WHERE df BETWEEN 2 AND 1000), s AS (SELECT source, doc_id AS src_id, term, c FROM t WHERE lang = 'en' AND term IN (SELECT term FROM f)), g AS (SELECT source, doc_id AS tgt_id, term, c FROM t WHERE lang = 'fr' AND term IN (SELECT term FROM f))"
+#: Thousandfold cosines of an English and a French document of one source, by the terms of 2 to 1000 documents that both have.
+SCORED = f"""scored AS MATERIALIZED (WITH {SIM_TERMS}, sw AS (SELECT source, src_id, term, c * ln(n.n / df) AS w FROM s JOIN df USING (term), n), gw AS (SELECT source, tgt_id, term, c * ln(n.n / df) AS w FROM g JOIN df USING (term), n)
+SELECT src_id AS src, tgt_id AS tgt, source AS grp, round(1000 * d / (sqrt(a) * sqrt(b)), 3) AS score FROM (SELECT source, src_id, tgt_id, sum(sw.w * gw.w) AS d FROM sw JOIN gw USING (source, term) GROUP BY ALL)
+JOIN (SELECT src_id, sum(w * w) AS a FROM sw GROUP BY src_id) USING (src_id) JOIN (SELECT tgt_id, sum(w * w) AS b FROM gw GROUP BY tgt_id) USING (tgt_id) WHERE d > 0)"""
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored (src, tgt) pairs of each source, for the matching operators."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("grp"))
-    s, t = d.where("lang = 'en'").select("grp", F.col("doc_id").alias("src")), d.where("lang = 'fr'").select("grp", F.col("doc_id").alias("tgt"))
-    return s.join(t, "grp").select("src", "tgt", "grp", ((F.col("src") * 7919 + F.col("tgt") * 104729) % 1009).cast("double").alias("score"))
+    """Scored (src, tgt) pairs of each source, for the matching operators; written once, as most read them several times."""
+    w = terms.tfidf(doc_terms(spark, sf_dir), ["doc_id", "lang", "source"], 7, 2, 1000)
+    pairs = terms.cosine_pairs(*terms.sides(w, "lang", "en", "fr", "source", "doc_id", ["weight"]), "source").where("score > 0")
+    return cut(pairs.select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), F.col("source").alias("grp"), F.round(1000 * F.col("score"), 3).alias("score")))
 
 
 @query(f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, src DESC, tgt DESC) AS a, row_number() OVER (PARTITION BY tgt ORDER BY score DESC, src DESC, tgt DESC) AS b FROM scored)
@@ -342,8 +350,9 @@ def max_weight_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the assignment of each source is one-to-one and weighs no less than the greedy one."""
     p = scored_pairs(spark, sf_dir)
     total = lambda df, n: df.groupBy("grp").agg(F.sum("score").alias(n), F.count(F.lit(1)).alias(f"{n}_n"), F.count_distinct("src").alias(f"{n}_s"), F.count_distinct("tgt").alias(f"{n}_t"))
-    best, plain = total(matching.best_assignment(p, "grp"), "best"), total(matching.greedy(p, group="grp"), "plain")
-    return plain.join(best, "grp").select("grp", ((F.col("best_n") == F.col("best_s")) & (F.col("best_n") == F.col("best_t"))).alias("one_to_one"), (F.col("best") >= F.col("plain")).alias("at_least_greedy"))
+    chosen = assignment.best_assignment(p.select("src", "tgt", "score")).join(p.select("src", "grp").distinct(), "src")
+    best, plain = total(chosen, "best"), total(matching.greedy(p, group="grp"), "plain")
+    return plain.join(best, "grp").select("grp", ((F.col("best_n") == F.col("best_s")) & (F.col("best_n") == F.col("best_t"))).alias("one_to_one"), (F.round("best", 3) >= F.round("plain", 3)).alias("at_least_greedy"))
 
 
 @query(f"WITH {SCORED}, truth AS (SELECT src, min(tgt) AS tgt FROM scored GROUP BY src), r AS (SELECT *, rank() OVER (PARTITION BY src ORDER BY score DESC) - 1 AS rank FROM scored) SELECT src, tgt, rank FROM r JOIN truth USING (src, tgt)")
@@ -352,16 +361,16 @@ def ranks_of_true_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.ranks_of_true(p, p.groupBy("src").agg(F.min("tgt").alias("tgt"))).select("src", "tgt", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {SCORED}, truth AS (SELECT src, min(tgt) AS tgt FROM scored GROUP BY src), f AS (SELECT src, tgt FROM scored WHERE score > 500) SELECT count(f.src) AS found, count(*) AS size, count(f.src) / count(*) AS recall FROM truth LEFT JOIN f USING (src, tgt)")
+@query(f"WITH {SCORED}, truth AS (SELECT src, min(tgt) AS tgt FROM scored GROUP BY src), f AS (SELECT src, tgt FROM scored WHERE score > 20) SELECT count(f.src) AS found, count(*) AS size, count(f.src) / count(*) AS recall FROM truth LEFT JOIN f USING (src, tgt)")
 def devset_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scored_pairs(spark, sf_dir)
-    return matching.recall(p.where("score > 500"), p.groupBy("src").agg(F.min("tgt").alias("tgt")))
+    return matching.recall(p.where("score > 20"), p.groupBy("src").agg(F.min("tgt").alias("tgt")))
 
 
-@query(f"WITH {SCORED}, truth AS (SELECT src % 50 AS group_id, src, tgt FROM scored WHERE tgt % 3 = 0) SELECT (SELECT count(DISTINCT group_id) FROM truth JOIN scored USING (src, tgt) WHERE score > 700) AS found, (SELECT count(DISTINCT group_id) FROM truth) AS size")
+@query(f"WITH {SCORED}, truth AS (SELECT src % 50 AS group_id, src, tgt FROM scored WHERE tgt % 3 = 0) SELECT (SELECT count(DISTINCT group_id) FROM truth JOIN scored USING (src, tgt) WHERE score > 40) AS found, (SELECT count(DISTINCT group_id) FROM truth) AS size")
 def devset_group_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scored_pairs(spark, sf_dir)
-    return matching.group_recall(p.where("score > 700"), p.where("tgt % 3 = 0").select((F.col("src") % 50).alias("group_id"), "src", "tgt"))
+    return matching.group_recall(p.where("score > 40"), p.where("tgt % 3 = 0").select((F.col("src") % 50).alias("group_id"), "src", "tgt"))
 
 
 @query(f"WITH {SCORED} SELECT src, tgt, rank FROM (SELECT src, tgt, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) AS rank FROM scored) WHERE rank <= 10")
@@ -428,9 +437,6 @@ def word_counts_df_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.word_counts(table(spark, sf_dir, "documents"), blank_words(F.lower("text")), once=True, most=15)
 
 
-TERMS = f"t AS (SELECT doc_id, lang, source, term, count(*) AS c FROM (SELECT doc_id, lang, source, unnest({WORDS.format('lower(text)')}) AS term FROM documents) GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM t), df AS (SELECT term, count(*) AS df FROM t GROUP BY term)"
-
-
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counted terms of each document, written once, as every similarity reads them several times."""
     return cut(terms.exploded(table(spark, sf_dir, "documents"), blank_words(F.lower("text")), ["doc_id", "lang", "source"]))
@@ -464,9 +470,6 @@ for _name, _variant, _tf, _idf in (
 ):
     _tfidf(_name, _variant, _tf, _idf)
 
-SIM_TERMS = f"{TERMS}, f AS (SELECT term FROM df WHERE df BETWEEN 2 AND 1000), s AS (SELECT source, doc_id AS src_id, term, c FROM t WHERE lang = 'en' AND term IN (SELECT term FROM f)), g AS (SELECT source, doc_id AS tgt_id, term, c FROM t WHERE lang = 'fr' AND term IN (SELECT term FROM f))"
-
-
 def _sim_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = doc_terms(spark, sf_dir)
     frequent = terms.document_frequency(t, 2, 1000).select("term")
@@ -582,10 +585,10 @@ def sentence_url_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The location index parsed from index lines made of the pages, several a line."""
+    """The location index parsed from index lines made of the pages, three a line."""
     p = table(spark, sf_dir, "pages")
     entry = F.concat(F.lit("com,x)/ 2015 "), F.to_json(F.struct("url", F.concat(F.lit("f"), F.col("page_id") % 5).alias("filename"), F.col("page_id").cast("string").alias("offset"), F.octet_length("html").cast("string").alias("length"))))
-    lines = p.groupBy((F.col("page_id") % 50).alias("k")).agg(F.array_join(F.collect_list(entry), " ").alias("value"))
+    lines = p.groupBy(F.floor(F.col("page_id") / 3).alias("k")).agg(F.array_join(F.collect_list(entry), " ").alias("value"))
     found = archives.parse_cdx(lines, "2015_40").withColumn("crawl", F.when(F.col("location.offset") % 2 == 0, "2015_40").otherwise("2015_48"))
     return locate.indexed(found)
 
@@ -633,19 +636,20 @@ def location_update_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.not_inserted(*_merge_sides(spark, sf_dir)).select("url")
 
 
-@query(f"""WITH {SIDES}, p AS (SELECT s.url AS src_url, t.url AS tgt_url FROM src s JOIN tgt t USING (stripped)), k AS (SELECT DISTINCT url FROM pages) SELECT DISTINCT src_url, tgt_url FROM p WHERE src_url IN (SELECT url FROM k) AND tgt_url IN (SELECT url FROM k)""")
+@query(f"""WITH {SIDES}, p AS (SELECT s.url AS src_url, t.url AS tgt_url FROM src s JOIN tgt t USING (stripped)), k AS (SELECT url FROM src UNION SELECT url FROM tgt WHERE strlen(url) % 2 = 0) SELECT DISTINCT src_url, tgt_url FROM p WHERE src_url IN (SELECT url FROM k) AND tgt_url IN (SELECT url FROM k)""")
 def located_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = _candidate_sides(spark, sf_dir)
-    index = locate.indexed(table(spark, sf_dir, "pages").select("url", F.lit("x").alias("crawl"), F.col("page_id").alias("location")))
+    known = s.select("url").union(t.where("octet_length(url) % 2 = 0").select("url")).distinct()
+    index = locate.indexed(known.select("url", F.lit("x").alias("crawl"), F.octet_length("url").alias("location")))
     pairs = candidates.stripped_pairs(s, t).select("src_url", F.lit("x").alias("src_crawl"), "tgt_url", F.lit("x").alias("tgt_crawl")).distinct()
     return locate.located(pairs, index).select("src_url", "tgt_url")
 
 
-@query(f"WITH {SIDES} SELECT count(*) AS n FROM pages WHERE url IN (SELECT url FROM tgt)")
+@query(f"WITH {SIDES} SELECT url AS uri, page_id AS \"offset\" FROM pages WHERE url IN (SELECT url FROM tgt)")
 def attached_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, t = _candidate_sides(spark, sf_dir)
     links = table(spark, sf_dir, "pages").select(F.col("url").alias("uri"), F.col("page_id").alias("offset"))
-    return locate.attach_locations(t.select(F.col("url").alias("uri")), links).agg(F.count(F.lit(1)).alias("n"))
+    return locate.attach_locations(t.select(F.col("url").alias("uri")), links).select("uri", "offset")
 
 
 @query("SELECT doc_id AS pair_id, 'u' || doc_id AS src_url, 'v' || doc_id AS tgt_url, text AS src_text FROM documents WHERE length(text) > 0 AND doc_id % 6 <> 0")
@@ -706,6 +710,17 @@ def pair_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg((F.count("score") == F.count(F.lit(1))).alias("all_scored")).select(F.lit(auc > 0.75).alias("above_bound"), "all_scored")
 
 
+@query(f"WITH {SCORED}, best AS (SELECT src, arg_max(tgt, struct_pack(s := score, t := -tgt)) AS tgt FROM scored GROUP BY src) SELECT src % 5 AS fold, count(*) AS n, count(b.tgt) AS n_true, count(*) AS n_scored FROM scored s LEFT JOIN best b USING (src, tgt) GROUP BY fold")
+def classifier_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold's pairs, scored by a classifier that has seen the other folds only."""
+    p = scored_pairs(spark, sf_dir)
+    truth = p.groupBy("src").agg(F.max_by("tgt", F.struct("score", -F.col("tgt"))).alias("tgt"))
+    long = p.select("src", "tgt", F.lit("a").alias("feature"), F.col("score")).unionByName(p.select("src", "tgt", F.lit("b").alias("feature"), F.log1p("score").alias("score")))
+    rows = matching.feature_rows(long, truth, ["a", "b"]).withColumn("fold", F.col("src") % 5)
+    out = matching.cross_predicted(rows, ["a", "b"], "fold")
+    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_true"), F.count(F.when(F.col("score").between(0, 1), 1)).alias("n_scored"))
+
+
 # --- evaluation and rules -----------------------------------------------------------------------
 
 

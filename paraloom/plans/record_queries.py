@@ -309,9 +309,9 @@ def scores_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.labelled_scores(scored_pairs(spark, sf_dir).select("src", "tgt", "score"), d, d)
 
 
-@query(f"WITH {SCORED}, x AS (SELECT src, tgt, 1 - score / 1009 AS distance FROM scored) SELECT src AS src_id, min(struct_pack(d := round(distance, 9), t := tgt)).t AS tgt_id, round(min(distance), 6) AS distance FROM x WHERE distance < 1 GROUP BY src")
+@query(f"WITH {SCORED}, x AS (SELECT src, tgt, 1 - score / 1000 AS distance FROM scored) SELECT src AS src_id, min(struct_pack(d := round(distance, 9), t := tgt)).t AS tgt_id, round(min(distance), 6) AS distance FROM x WHERE distance < 1 GROUP BY src")
 def nearest_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scored_pairs(spark, sf_dir).select(F.col("src").alias("src_id"), F.col("tgt").alias("tgt_id"), (F.col("score") / 1009).alias("score"))
+    p = scored_pairs(spark, sf_dir).select(F.col("src").alias("src_id"), F.col("tgt").alias("tgt_id"), (F.col("score") / 1000).alias("score"))
     return terms.nearest(p).withColumn("distance", F.round("distance", 6))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import assignment, postings, scorer, terms
+from ..operators import assignment, postings, scorer, terms, topics
 from .queries import WORDS, blank_words, doc_terms, query, table
 
 #: Pairs of documents of one source and language that follow one another there.
@@ -61,3 +61,11 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assigned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one-to-one pairs of the largest sum of cosines."""
     return assignment.best_assignment(cosine_scores(spark, sf_dir))
+
+
+@query()
+def topic_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of the topic vectors of documents that follow one another in their source and language."""
+    d = table(spark, sf_dir, "documents")
+    model = topics.fit_topics(d, blank_words(F.lower("text")), topics=8, rounds=10)
+    return topics.vector_cosines(ranked_pairs(spark, sf_dir), model.vectors(d, blank_words(F.lower("text")), "doc_id"), "doc_id")

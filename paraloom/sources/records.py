@@ -133,7 +133,8 @@ def save_locations(index: DataFrame, path: str) -> None:
 
 
 def save_by_domain(pairs: DataFrame, path: str) -> None:
-    pairs.repartition("domain").write.mode("overwrite").partitionBy("domain").parquet(path)
+    """Pairs by domain; a domain of many pairs is dealt over several tasks and files, small ones share a task."""
+    pairs.repartitionByRange("domain", F.xxhash64(*pairs.columns)).write.mode("overwrite").partitionBy("domain").parquet(path)
 
 
 def save_downloads(pages: DataFrame, path: str) -> None:
