@@ -8,8 +8,8 @@ a partition.
 
 Defined cases: null text counts as empty; empty texts are equal; equal doc_ids
 are rows of their own (each counts in group_size, and exact_groups() marks all that carry
-the kept doc_id as kept; exact_dedup() leaves one of them); a null doc_id sorts below every other; an empty table
-gives an empty result; other columns of docs are ignored.
+the kept doc_id as kept; exact_dedup() leaves one of them); a null doc_id sorts below every other; keys are whole
+numbers or strings, these in byte order; an empty table gives an empty result; other columns of docs are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from .common import kept_once, lean, spread_join, written
 
@@ -102,38 +104,47 @@ class CuckooIndex:
         return ((k, v) for k, v in zip(self.keys, self.values, strict=True) if k is not None)
 
 
-GROUPS = "digest binary, keep_id long, group_size long"
+#: Digests that one index holds, about.
+INDEX_ROWS = 500_000
 
 
-@lean
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combine(kind: pa.DataType):
     """One row per digest of a partition; the index holds the live row of each."""
-    index = CuckooIndex()
-    for batch in batches:
-        for digest, doc, count in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "group_size")), strict=True):
-            if (slot := index.find(digest)) < 0:
-                index.insert(digest, (doc, count))
-                continue
-            live, seen = index.values[slot]
-            if doc is None or live is not None and doc <= live:
-                index.values[slot] = live, seen + count
-            else:  # the live row is superseded: its entry goes, the new one enters
-                index.delete(digest)
-                index.insert(digest, (doc, seen + count))
-    rows = list(index.items())
-    for at in range(0, len(rows), 20_000):
-        part = rows[at : at + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), *(pa.array([v[i] for _, v in part], pa.int64()) for i in (0, 1))], names=["digest", "keep_id", "group_size"])
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CuckooIndex()
+        for batch in batches:
+            for digest, doc, count in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "group_size")), strict=True):
+                if (slot := index.find(digest)) < 0:
+                    index.insert(digest, (doc, count))
+                    continue
+                live, seen = index.values[slot]
+                if doc is None or live is not None and doc <= live:
+                    index.values[slot] = live, seen + count
+                else:  # the live row is superseded: its entry goes, the new one enters
+                    index.delete(digest)
+                    index.insert(digest, (doc, seen + count))
+        rows = list(index.items())
+        for at in range(0, len(rows), 20_000):
+            part = rows[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], kind), pa.array([v[1] for _, v in part], pa.int64())], names=["digest", "keep_id", "group_size"])
+
+    return run
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: key, keep_id (largest key of equal texts), group_size, kept, text_sha256."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text).cast("long")), 16, "0"))).alias("digest"), F.spark_partition_id().alias("pid"))
+    known = F.col(key).cast("long") if isinstance(docs.schema[key].dataType, IntegralType) else F.col(key)
+    rows = docs.select(known.alias("id"), F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text).cast("long")), 16, "0"))).alias("digest"), F.spark_partition_id().alias("pid"))
     rows = written(rows, "exact-digests")
     seen = rows.select("digest", "pid", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     local = seen.groupBy("digest", "pid").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    groups = local.drop("pid").repartition("digest").mapInArrow(_combine, GROUPS)
+    kind, parts = rows.schema["id"].dataType, -(-rows.count() // INDEX_ROWS)
+    dealt = local.drop("pid")
+    dealt = dealt.repartition(parts, "digest") if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else dealt.repartition("digest")
+    groups = dealt.mapInArrow(_combine(to_arrow_type(kind)), f"digest binary, keep_id {kind.simpleString()}, group_size long")
     return spread_join(rows, groups, ["digest"]).select(
         F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256")
     )
