@@ -8,7 +8,7 @@ equal (128 bits of hash), all but the first repeat whole. Where they differ, the
 suffix array of the different zones (linear grouping, see suffix_groups.java) tells
 which of their windows occur earlier. Equal zones of a block travel once; different
 zones of an anchor that occurs in over HOT_BLOCKS blocks go on window by window, keyed
-by the window's own content, so no anchor gathers more than that many blocks' zones.
+by the window's own content (128 bits of two independent hashes), so no anchor gathers more than that many blocks' zones.
 
 Earlier means smaller key, then (for repeated keys) the place in the table that was
 written, then the position.
@@ -44,6 +44,21 @@ PLACE_BITS = np.uint64(32)
 #: Names inside the operator, which no column of docs can clash with.
 KEY, FIRST = "__key", np.iinfo(np.int64).min
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
+#: Of a second hash, independent of the first.
+BASE_TWO, BASE_TWO_INVERSE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+BYTES_TWO = mixed(np.arange(1, 257, dtype=np.uint64) * BASE_TWO + LEVEL_CODES[201])
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    power = np.full(n + 1, base, np.uint64)
+    power[0] = 1
+    return np.multiply.accumulate(power, out=power)
+
+
+def _sums(data: np.ndarray, codes: np.ndarray, base: np.uint64) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * _powers(base, len(data))[:-1], out=sums[1:])
+    return sums
 
 
 class Anchors:
@@ -56,14 +71,7 @@ class Anchors:
             self.place = self.low = self.high = self.row = np.zeros(0, np.int64)
             self.key = self.zone = np.zeros(0, np.uint64)
             return
-        power = np.full(n + 1, BASE, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTES[data] * power[:n], out=sums[1:])
-        power = np.full(n + 1, BASE_INVERSE, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
+        sums, power = _sums(data, BYTES, BASE), _powers(BASE_INVERSE, n)
         code = mixed((sums[GRAM:] - sums[:-GRAM]) * power[: n - GRAM + 1])
         code = (code >> PLACE_BITS) << PLACE_BITS | np.arange(len(code), dtype=np.uint64)
         code = np.concatenate((code, np.full(-len(code) % WINDOW, ~np.uint64(0))))
@@ -87,6 +95,13 @@ class Anchors:
     def hashed(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self._sums[end] - self._sums[begin]) * self._inverse[begin] + (end - begin).astype(np.uint64))
 
+    def hashed_again(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A second hash of strings, independent of hashed()."""
+        if not len(begin):
+            return np.zeros(0, np.uint64)
+        sums = _sums(self.data, BYTES_TWO, BASE_TWO)
+        return mixed((sums[end] - sums[begin]) * _powers(BASE_TWO_INVERSE, len(self.data))[begin] + (end - begin).astype(np.uint64))
+
 
 def _read(blob: bytes) -> tuple[pa.Table, np.ndarray, Anchors]:
     block = pa.ipc.open_stream(blob).read_all()
@@ -170,7 +185,7 @@ class Zones:
         self.row = np.concatenate((found.row[plain], np.repeat(found.row[hot], many)))
         self.differ = np.concatenate((flag[plain] & DIFFERENT > 0, np.zeros(len(each), bool)))
         content = found.hashed(self.low, self.end) if len(self.low) else np.zeros(0, np.uint64)
-        self.key = np.concatenate((found.key[plain], mixed(content[len(plain) :] + LEVEL_CODES[200])))
+        self.key = np.concatenate((found.key[plain], found.hashed_again(self.low[len(plain) :], self.end[len(plain) :])))
         self.doc = keys[self.row] if len(self.row) else np.zeros(0, np.int64)
         order = np.lexsort((self.low, self.doc, content, self.key))
         for name in ("low", "end", "row", "key", "doc", "differ"):
