@@ -515,3 +515,33 @@ def test_long_text_has_a_bounded_share_of_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 20 * len(data) and ends[-1] >= 1
+
+
+def test_keys_that_are_strings(spark):
+    """Exact dedup and the quality filter take string keys; of copies the last key in byte order stays."""
+    text = words(31, 60)
+    made = [("b", text, "en"), ("é", text, "en"), ("a", words(32, 50), "en"), (None, text, "en"), ("z", None, "fr"), ("y", "", None)]
+    docs = spark.createDataFrame(made, "doc_id string, text string, lang string")
+    groups = {r.doc_id: tuple(r)[1:4] for r in exact.exact_groups(docs).collect()}
+    assert groups == {"b": ("é", 3, False), "é": ("é", 3, True), None: ("é", 3, False), "a": ("a", 1, True), "z": ("z", 2, True), "y": ("z", 2, False)}
+    assert {r.doc_id for r in exact.exact_dedup(docs).collect()} == {"é", "a", "z"}
+    labels = spark.createDataFrame([(k, 1, 0) for k, _, _ in made], "doc_id string, quality int, toxic int")
+    assert quality.classify(docs, labels).count() == len(made) and quality.quality_filter(docs, labels).count() == len(made)
+
+
+def test_quality_of_an_unstable_input(spark):
+    """Rows whose order changes from read to read are written first; each is judged once."""
+    docs = spark.createDataFrame([(i, words(40 + i, 200), "en") for i in range(60)], "doc_id long, text string, lang string").repartition(4).orderBy(F.rand())
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert not quality.plain_scan(docs)
+    assert sorted(r.doc_id for r in quality.classify(docs, labels).collect()) == list(range(60))
+
+
+def test_hot_windows_have_two_hashes():
+    data = np.frombuffer(words(50, 300).encode(), np.uint8)
+    found = suffix.Anchors(data, np.array([0, len(data)]))
+    begin = np.arange(len(data) - 100)
+    one, two = found.hashed(begin, begin + 100), found.hashed_again(begin, begin + 100)
+    assert len(set(one)) == len(set(two)) == len(begin) and not (one == two).any()
+    twice = suffix.Anchors(np.concatenate((data, data)), np.array([0, 2 * len(data)]))
+    assert (twice.hashed_again(begin, begin + 100) == twice.hashed_again(begin + len(data), begin + len(data) + 100)).all()
