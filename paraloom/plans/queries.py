@@ -835,4 +835,4 @@ def hashed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "line", ngrams.double_hash_features(F.col("words"), 3, 1024).alias("bits"), ngrams.sha1_features(1000, ["a", "b"])("words").alias("salted"))
 
 
-from . import archive_queries, language_queries, record_queries, scoring_queries  # noqa: E402, F401  (they add their queries)
+from . import archive_queries, extraction_queries, language_queries, record_queries, scoring_queries  # noqa: E402, F401  (they add their queries)

@@ -160,6 +160,11 @@ def read_percent_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tar(spark: SparkSession, path: str, mime: tuple[str, ...] = ("text/html", "text/plain", "application/xml")) -> DataFrame:
     """Files of gzipped tar archives of web sites: archive, name, mime, data."""
+    return tar_files(spark.read.format("binaryFile").load(path).select("path", "content"), mime)
+
+
+def tar_files(archives: DataFrame, mime: tuple[str, ...] = ("text/html", "text/plain", "application/xml")) -> DataFrame:
+    """Files of tar archives (path, content): archive, name, mime, data."""
     import mimetypes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,4 +176,4 @@ def read_tar(spark: SparkSession, path: str, mime: tuple[str, ...] = ("text/html
                         if member.isfile() and kind in mime:
                             yield pd.DataFrame({"archive": [archive], "name": [member.name], "mime": [kind], "data": [tar.extractfile(member).read()]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, mime string, data binary")
+    return archives.select("path", "content").mapInPandas(run, "archive string, name string, mime string, data binary")

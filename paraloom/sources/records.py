@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
 
+#: XML's own entities; the one for & comes last.
+XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
+
 
 def parse_kv(lines: DataFrame, column: str = "value") -> DataFrame:
     """tld, url, crawl, languages of kv lines; malformed lines go."""
@@ -27,11 +33,11 @@ def kv_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.concat_ws(" ", "tld", "url", "crawl"), F.lit("\t"), languages).alias("value"))
 
 
-def parse_lett(lines: DataFrame, html: bool = True, column: str = "value") -> DataFrame:
-    """Documents of lett lines: lang, mime, encoding, url, html, text; base64 is decoded. A seventh column (serialised words) comes along."""
+def parse_lett(lines: DataFrame, html: bool = True, column: str = "value", more: Sequence[str] = ()) -> DataFrame:
+    """Documents of lett lines: lang, mime, encoding, url, html, text; base64 is decoded. A seventh column (serialised words) and the columns `more` of lines come along."""
     p = F.split(F.col(column), "\t")
     plain = lambda i: F.try_validate_utf8(F.unbase64(p[i]).cast("string"))
-    rows = lines.where(F.size(p) >= 6).select(p[0].alias("lang"), p[1].alias("mime"), p[2].alias("encoding"), p[3].alias("url"), plain(4).alias("html"), plain(5).alias("text"), F.get(p, F.lit(6)).alias("serialized"))
+    rows = lines.where(F.size(p) >= 6).select(*more, p[0].alias("lang"), p[1].alias("mime"), p[2].alias("encoding"), p[3].alias("url"), plain(4).alias("html"), plain(5).alias("text"), F.get(p, F.lit(6)).alias("serialized"))
     return rows if html else rows.drop("html")
 
 
@@ -116,8 +122,13 @@ def parse_url_listing(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def read_crawl_xml(spark: SparkSession, path: str) -> DataFrame:
     """Crawl result pages (XML header): file, title, url, and the mapping in names like 59_12_m.xml: src_file, tgt_file."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    tag = lambda n: F.trim(F.regexp_extract("value", f"(?is)<{n}[^>]*>(.*?)</{n}>", 1))
+    return parse_crawl_xml(spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value"))
+
+
+def parse_crawl_xml(raw: DataFrame) -> DataFrame:
+    """Texts of crawl result pages (file, value) as read_crawl_xml() has them."""
+    plain = lambda x: reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), XML_ENTITIES, x)
+    tag = lambda n: F.trim(plain(F.regexp_extract("value", f"(?is)<{n}[^>]*>(.*?)</{n}>", 1)))
     number = lambda k: F.when(F.col("file").rlike(r"^\d+_\d+_\w+\.xml$"), F.concat(F.split("file", "_")[k], F.lit(".xml")))
     return raw.select("file", tag("title").alias("title"), tag("eAddress").alias("url"), number(0).alias("src_file"), number(1).alias("tgt_file"))
 
