@@ -16,7 +16,8 @@ def language_candidates(kv: DataFrame, language: str, min_ratio: float = 0.1, re
     mine = mine.withColumn("norm", U.normalize(F.col("url")))
     if not strip:
         return mine.withColumn("stripped", F.col("norm"))
-    mine = mine.withColumn("made", U.strip_uri(F.col("norm"), language, remove_index, aggressive))
+    # a generator's row is worked out once, however often what comes after asks for its parts
+    mine = mine.withColumn("made", F.explode(F.array(U.strip_uri(F.col("norm"), language, remove_index, aggressive))))
     return mine.where(F.col("made.ok")).withColumn("stripped", F.col("made.url")).drop("made")
 
 
@@ -29,7 +30,7 @@ def one_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def match_candidates(source: DataFrame, target: DataFrame) -> DataFrame:
     """Source pages with the target page found under their raw url, else under their stripped url; a page is no pair with itself."""
     build = target.groupBy("stripped").agg(F.max(F.struct("crawl", "url")).alias("t"))
-    probe = source.select("url", "crawl", "norm", "stripped")
+    probe = cut(source.select("url", "crawl", "norm", "stripped"))
     keys = probe.select("url", "crawl", F.explode(F.array(F.struct(F.lit(1).alias("priority"), F.col("norm").alias("key")), F.struct(F.lit(2).alias("priority"), F.col("stripped").alias("key")))).alias("k"))
     hits = keys.join(build, F.col("k.key") == F.col("stripped")).select("url", "crawl", "k.priority", F.col("k.key").alias("stripped"), F.col("t.url").alias("tgt_url"), F.col("t.crawl").alias("tgt_crawl"))
     first = hits.where("url <> tgt_url").groupBy("url", "crawl").agg(F.min(F.struct("priority", "stripped", "tgt_url", "tgt_crawl")).alias("m"))

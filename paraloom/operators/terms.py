@@ -7,6 +7,8 @@ are dropped, and a sum by pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +47,36 @@ def idf(df: Column, n: Column, most: Column, variant: int) -> Column:
     return [F.lit(1.0), F.log(n / df), F.log(1 + n / df), F.log(1 + most / df), F.when(n > df, F.log((n - df) / df)).otherwise(0.0), 1 + F.log(n / (df + 1))][variant]
 
 
-def tfidf(terms: DataFrame, keys: list[str], variant: int = 0, least: int = 1, most: int = 1000) -> DataFrame:
-    """(keys, term, weight); variant is 6 * tf + idf. N and the largest df are of all terms, the window comes after."""
+def _numbered(terms: DataFrame, keys: list[str], least: int, most: int, of_doc: bool) -> DataFrame:
+    """terms (keys, term, count) in the window with df, n_docs, max_df and, of_doc, their document's most and total. N and the largest df are of all terms."""
     n = terms.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     top = df.agg(F.max("df").alias("max_df"))
-    by_doc = Window.partitionBy(*keys)
-    x = terms.withColumn("most", F.max("count").over(by_doc)).withColumn("total", F.sum("count").over(by_doc))
-    x = x.join(df.where(F.col("df").between(least, most)), "term").join(F.broadcast(n.join(top)))  # one row
-    return x.select(*keys, "term", (tf(F.col("count"), F.col("most"), F.col("total"), variant // 6) * idf(F.col("df"), F.col("n_docs"), F.col("max_df"), variant % 6)).alias("weight"))
+    x = terms
+    if of_doc:
+        whole = terms.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.max("count").alias("most"), F.sum("count").alias("total"))
+        x = terms.join(whole, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)))
+    return x.join(df.where(F.col("df").between(least, most)), "term").join(F.broadcast(n.join(top)))  # one row
+
+
+def _weight(variant: int, of_doc: bool) -> Column:
+    most, total = (F.col("most"), F.col("total")) if of_doc else (F.lit(1), F.lit(1))
+    return tf(F.col("count"), most, total, variant // 6) * idf(F.col("df"), F.col("n_docs"), F.col("max_df"), variant % 6)
+
+
+def tfidf(terms: DataFrame, keys: list[str], variant: int = 0, least: int = 1, most: int = 1000) -> DataFrame:
+    """(keys, term, weight); variant is 6 * tf + idf. Documents' largest counts and totals are made only for the variants that ask for them."""
+    of_doc = variant // 6 in (3, 4, 5)
+    return _numbered(terms, keys, least, most, of_doc).select(*keys, "term", _weight(variant, of_doc).alias("weight"))
+
+
+#: How many variants there are.
+VARIANTS = 42
+
+
+def tfidf_totals(terms: DataFrame, keys: list[str], least: int = 1, most: int = 1000) -> DataFrame:
+    """(keys, v0 .. v41): each document's sum of each variant's weights, in one pass."""
+    return _numbered(terms, keys, least, most, True).groupBy(*keys).agg(*(F.sum(_weight(v, True)).alias(f"v{v}") for v in range(VARIANTS)))
 
 
 def sides(terms: DataFrame, language: str, source: str, target: str, group: str, key: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:

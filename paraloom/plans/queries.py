@@ -470,6 +470,18 @@ for _name, _variant, _tf, _idf in (
 ):
     _tfidf(_name, _variant, _tf, _idf)
 
+_TF = ["1", "c", "1 + ln(c)", "0.4 + 0.6 * c / mc", "c / mc", "c / sc", "sqrt(c)"]
+_IDF = ["1", "ln(n / df)", "ln(1 + n / df)", "ln(1 + md / df)", "CASE WHEN n > df THEN ln((n - df) / df) ELSE 0 END", "1 + ln(n / (df + 1))"]
+
+
+@query(f"""WITH {TERMS}, x AS (SELECT doc_id, c, df, n.n, (SELECT max(df) FROM df) AS md, max(c) OVER w AS mc, sum(c) OVER w AS sc FROM t JOIN df USING (term), n WINDOW w AS (PARTITION BY doc_id))
+SELECT doc_id, {", ".join(f"round(sum(({t}) * ({i}))::DOUBLE, 6) AS v{6 * k + j}" for k, t in enumerate(_TF) for j, i in enumerate(_IDF))} FROM x WHERE df BETWEEN 2 AND 1000 GROUP BY doc_id""")
+def tfidf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of all variants' weights of each document."""
+    totals = terms.tfidf_totals(doc_terms(spark, sf_dir).drop("lang", "source"), ["doc_id"], 2, 1000)
+    return totals.select("doc_id", *(F.round(c, 6).alias(c) for c in totals.columns[1:]))
+
+
 def _sim_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = doc_terms(spark, sf_dir)
     frequent = terms.document_frequency(t, 2, 1000).select("term")
