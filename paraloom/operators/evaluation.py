@@ -28,6 +28,17 @@ def by_phase(found: DataFrame, truth: DataFrame) -> DataFrame:
     return found.join(hit, ["src", "tgt"], "left").groupBy("phase").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("wins"), (F.count(F.lit(1)) - F.count("hit")).alias("fails"))
 
 
+def outcomes(truth: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of each true pair (src, tgt): outcome (win, mismatch or missing), what its ends are paired with among the kept one-to-one pairs, and whether it was among all pairs."""
+    true = truth.select("src", "tgt").distinct()
+    s2t, t2s = kept.select("src", F.col("tgt").alias("paired_tgt")), kept.select("tgt", F.col("src").alias("paired_src"))
+    was = pairs.select("src", "tgt").distinct().withColumn("__was", F.lit(True))
+    x = true.join(s2t, "src", "left").join(t2s, "tgt", "left").join(was, ["src", "tgt"], "left")
+    win = F.col("paired_tgt").eqNullSafe(F.col("tgt"))
+    outcome = F.when(win, "win").when(F.col("paired_tgt").isNotNull() | F.col("paired_src").isNotNull(), "mismatch").otherwise("missing")
+    return x.select("src", "tgt", outcome.alias("outcome"), "paired_tgt", "paired_src", F.coalesce("__was", F.lit(False)).alias("was_in_pairs"))
+
+
 def language_labels(truth: DataFrame, source: str, target: str) -> DataFrame:
     """How the two urls of each true pair name their languages: ok, swapped, mismatch or missing."""
     of = lambda c: F.when(U.language_of(U.path(F.col(c))) != "", U.language_of(U.path(F.col(c)))).otherwise(U.language_of(U.query(F.col(c))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import extraction, languages, matching
+from ..operators import evaluation, extraction, languages, matching
 from ..operators.lineage import cut, new_path
 from ..sources import archives, ordered, records
 from .language_queries import KEY, SPANS, mixed_texts
@@ -112,6 +112,16 @@ def aligner_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.evaluated(cut(found), cut(truth), names)
 
 
+@query(f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, src DESC, tgt DESC) AS a, row_number() OVER (PARTITION BY tgt ORDER BY score DESC, src DESC, tgt DESC) AS b FROM scored),
+kept AS (SELECT src, tgt FROM r WHERE a = 1 AND b = 1), truth AS (SELECT src, min(tgt) AS tgt FROM scored GROUP BY src)
+SELECT h.src, h.tgt, CASE WHEN s.tgt IS NOT DISTINCT FROM h.tgt THEN 'win' WHEN s.tgt IS NULL AND t.src IS NULL THEN 'missing' ELSE 'mismatch' END AS outcome, s.tgt AS paired_tgt, t.src AS paired_src, true AS was_in_pairs
+FROM truth h LEFT JOIN kept s ON s.src = h.src LEFT JOIN kept t ON t.tgt = h.tgt""")
+def devset_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each true pair among the mutual best ones."""
+    p = scored_pairs(spark, sf_dir)
+    return evaluation.outcomes(p.groupBy("src").agg(F.min("tgt").alias("tgt")), matching.mutual_best(p), p)
+
+
 @query(f"""WITH l AS (SELECT page_id, {sql_language(sql_part(3))} || ' ' || url AS value FROM pages) SELECT arg_min(value, page_id) AS value FROM l GROUP BY string_split(value, ' ')[1]""")
 def first_lines_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of lines with one first field the one that stands first in the files."""

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from paraloom.functions import text as T
-from paraloom.operators import extraction, languages
+from paraloom.operators import evaluation, extraction, languages
 from paraloom.sources import ordered
 
 SYLLABLES = {"aa": ["ka", "ro", "mi", "tel", "on"], "bb": ["sch", "ung", "ei", "tz", "ver"]}
@@ -53,6 +53,13 @@ def test_words_links_and_evaluation(spark):
     assert tuple(extraction.evaluated(found, truth).first()) == (1, 2, 3)
 
 
+def test_outcomes_of_true_pairs(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "src string, tgt string")
+    truth, kept = pairs([("a", "b"), ("c", "d"), ("e", "f"), ("g", "h"), ("a", "b")]), pairs([("a", "b"), ("c", "x"), ("y", "f")])
+    found = evaluation.outcomes(truth, kept, pairs([("a", "b"), ("c", "d"), ("c", "x"), ("y", "f")]))
+    assert {tuple(x) for x in found.collect()} == {("a", "b", "win", "b", "a", True), ("c", "d", "mismatch", "x", None, True), ("e", "f", "mismatch", None, "y", False), ("g", "h", "missing", None, None, False)}
+
+
 def test_lines_by_fields(spark, tmp_path):
     folder = tmp_path / "lines"
     folder.mkdir()

@@ -1,6 +1,7 @@
 """Column functions on the documented examples and edge cases."""
 
 import difflib
+import math
 import random
 
 import pytest
@@ -131,6 +132,27 @@ def test_gale_church_bounds():
     assert -100 < similarity.gale_church([30, 31], [60]) < 0
 
 
+def test_gale_church_is_the_cheapest_of_all_alignments():
+    steps = {(1, 1): 0.89, (1, 0): 0.0099, (0, 1): 0.0099, (2, 1): 0.089, (1, 2): 0.089, (2, 2): 0.011}
+
+    def cheapest(s, t):
+        if not s and not t:
+            return 0.0
+        found = []
+        for (a, b), prior in steps.items():
+            if a <= len(s) and b <= len(t):
+                x, y = sum(s[:a]), sum(t[:b])
+                tail = 1.0 if x == y == 0 else max(math.erfc(abs(x - y) / math.sqrt(6.8 * (x + y) / 2) / math.sqrt(2)), 1e-300)
+                found.append(cheapest(s[a:], t[b:]) - math.log(prior / 0.89) - math.log(tail))
+        return min(found, default=math.inf)
+
+    r = random.Random(7)
+    for _ in range(120):
+        s, t = ([r.randrange(0, 60) for _ in range(r.randrange(5))] for _ in range(2))
+        cost = cheapest(s, t)
+        assert similarity.gale_church(s, t) == pytest.approx(100.0 if cost >= 100 else -100.0 if cost == 0 else -cost)
+
+
 def test_simhash_equals_plain_counting(spark):
     import xxhash
 
