@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import languages
+from ..operators import encodings, languages
 from .queries import query, table
 
 KEY = ["source", "nth"]
@@ -62,3 +62,13 @@ def text_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = languages.text_languages(_found(spark, sf_dir), KEY)
     shown = F.array_join(F.transform("languages", lambda s: F.concat_ws(":", s["language"], s["percent"])), ",")
     return x.select(*KEY, shown.alias("languages"), "reliable", languages.accepts(F.col("languages"), F.col("reliable"), "fr").alias("accepted"))
+
+
+@query("SELECT doc_id, lang, text, lang AS language FROM documents WHERE lang IS NOT NULL")
+def hinted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as bytes of several encodings, read again by the hint of their language."""
+    d = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    narrow = F.col("text").rlike(r"^[\x00-\x7f\xa0-\xff]*$") & F.col("lang").isin("fr", "de")
+    data = F.when(narrow, F.encode(F.when(narrow, F.col("text")), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    found = encodings.to_unicode(d.select("doc_id", "lang", data.alias("data")), languages.fit(d), ["doc_id", "lang"], hint="lang")
+    return found.select("doc_id", "lang", "text", "language")
