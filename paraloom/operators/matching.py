@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,35 @@ def mutual_best(pairs: DataFrame, score: str = "score") -> DataFrame:
     return both.where("__rank = __s AND __rank = __t").drop("__rank", "__s", "__t")
 
 
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """Column of each row in a cheapest assignment of a square matrix, by shortest augmenting paths."""
+    n = len(cost)
+    u, v, row_of, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
+    for i in range(1, n + 1):
+        row_of[0], j0 = i, 0
+        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
+        while True:
+            used[j0] = True
+            i0, free = row_of[j0], ~used[1:]
+            now = cost[i0 - 1] - u[i0] - v[1:]
+            better = free & (now < least[1:])
+            least[1:][better], way[1:][better] = now[better], j0
+            j1 = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
+            delta = least[j1]
+            u[row_of[used]] += delta
+            v[used] -= delta
+            least[1:][free] -= delta
+            j0 = j1
+            if not row_of[j0]:
+                break
+        while j0:
+            row_of[j0] = row_of[way[j0]]
+            j0 = way[j0]
+    out = np.zeros(n, int)
+    out[row_of[1:] - 1] = np.arange(n)
+    return out
+
+
 def incoming(edges: DataFrame) -> DataFrame:
     """Links (src, dst) that lead to each page, duplicates counted."""
     return edges.groupBy(F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("n"))
