@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1024
+#: Blocks that are decoded at once.
+ROWS_AT_ONCE = 1024
 BLOCKS = "term string, first long, last long, n int, deltas binary"
 
 
@@ -96,9 +98,11 @@ def postings(blocks: DataFrame, low: int | None = None, high: int | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for term, first, deltas in zip(*(batch.column(c).to_pylist() for c in ("term", "first", "deltas")), strict=True):
-                ids = np.cumsum(np.concatenate((np.array([first], np.int64).view(np.uint64), decoded(deltas)))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([term] * len(ids), pa.string()), pa.array(ids)], names=["term", "id"])
+            runs = [np.cumsum(np.concatenate((np.array([first], np.int64).view(np.uint64), decoded(deltas)))).view(np.int64) for first, deltas in zip(batch.column("first").to_pylist(), batch.column("deltas").to_pylist(), strict=True)]
+            for at in range(0, len(runs), ROWS_AT_ONCE):
+                part = runs[at : at + ROWS_AT_ONCE]
+                of = pa.array(np.repeat(np.arange(at, at + len(part)), [len(r) for r in part]))
+                yield pa.RecordBatch.from_arrays([batch.column("term").take(of), pa.array(np.concatenate(part))], names=["term", "id"])
 
     found = blocks.select("term", "first", "deltas").mapInArrow(run, "term string, id long")
     return found.where((F.col("id") >= low) if low is not None else F.lit(True)).where((F.col("id") <= high) if high is not None else F.lit(True))
