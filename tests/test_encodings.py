@@ -32,3 +32,12 @@ def test_defined_cases(spark):
     got = {x.id: (x.text, x.encoding, x.language) for x in found}
     assert len(found) == len(rows) and got == {0: (None, None, "fr"), 1: ("", "utf-8", "fr"), 2: ("abc", "utf-8", "xx"), 3: ("12", "utf-8", None), 4: ("日本語", "shift_jis", "ja"), 5: ("a", "utf-8", "zh"), None: ("a b", "utf-8", "en")}
     assert encodings.to_unicode(spark.createDataFrame([], "id int, data binary, lang string"), model, ["id"]).count() == 0
+
+
+def test_utf8_with_a_foreign_word_stays_utf8(spark):
+    r = random.Random(3)
+    plain = lambda: " ".join("".join(r.choices(["the", "in", "er", "on"], k=3)) for _ in range(30))
+    model = languages.fit(spark.createDataFrame([("en", plain()) for _ in range(20)], "lang string, text string"))
+    rows = [(i, f"{plain()} {w}heitein {plain()}") for i, w in enumerate(("ö", "ü", "eröon", "ßthe"))]
+    found = encodings.to_unicode(spark.createDataFrame([(i, t.encode(), "en") for i, t in rows], "id int, data binary, lang string"), model, ["id"], hint="lang").collect()
+    assert {(x.id, x.text, x.encoding) for x in found} == {(i, t, "utf-8") for i, t in rows}
