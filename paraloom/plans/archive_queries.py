@@ -61,7 +61,7 @@ def stored_index_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{STORED} WHERE {sql_registered(sql_host())} = 'example.net'")
 def stored_index_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored_index(spark, sf_dir).under("example.net", max_results=1 << 30).select("url", "crawl", "location.offset")
+    return _stored_index(spark, sf_dir).under("example.net", max_results=None).select("url", "crawl", "location.offset")
 
 
 @query(f"SELECT url, coalesce(html, '') AS html FROM pages WHERE {sql_registered(sql_host())} = 'example.com'")
@@ -70,7 +70,7 @@ def stored_index_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     located, root = _stored_pages(spark, sf_dir)
     index = StoredIndex(spark, new_path(spark, "index"))
     index.add(located.select(U.domain_key(F.col("url")).alias("domain"), "url", F.lit("c1").alias("crawl"), "location"), 0)
-    return with_html(index.under("example.com", max_results=1 << 30), root).select("url", "html")
+    return with_html(index.under("example.com", max_results=None), root).select("url", "html")
 
 
 def _text_file(spark: SparkSession, rows: DataFrame, *order, files: int) -> str:

@@ -116,3 +116,12 @@ def test_lookup_by_collations(spark):
     found, rest = lookup.looked_up(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, text string"), known)
     assert {r.i: r.value for r in found.collect()} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 3, 5: 4, 8: 5, 9: 4}
     assert {r.i for r in rest.collect()} == {6, 7}
+
+
+def test_all_rows_of_a_key_in_its_last_load(spark, tmp_path):
+    kind = "domain string, url string, crawl string, location string"
+    index = StoredIndex(spark, f"file://{tmp_path}/index")
+    index.add(spark.createDataFrame([("a.com", "http://a.com/1", "c", x) for x in "pqq"] + [("a.com", "http://a.com/2", "c", x) for x in "rs"], kind), 0)
+    index.add(spark.createDataFrame([("a.com", "http://a.com/2", "c", x) for x in "tu"], kind), 1)
+    for found in (index.under("a.com", max_results=None), index.prefix("http://a.com/"), index.merged()):
+        assert sorted(r.location for r in found.collect()) == list("pqqtu")
