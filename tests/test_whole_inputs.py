@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paraloom.functions import ngrams
+from paraloom.operators import locate, matching
 from paraloom.plans import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -42,3 +43,14 @@ def test_hashed_lines_hash_every_line(spark, made):
     grams = ["<s>", "four", "five", "</s>", "<s>#four", "four#five", "five#</s>"]
     expected = spark.range(1).select(ngrams.double_hash_features(F.array(*map(F.lit, grams)), 3, 1024)).first()[0]
     assert next(r["bits"] for r in found if r["line"] == 3) == expected
+
+
+def test_domain_query_has_more_than_ten_thousand_rows(spark):
+    index = spark.range(10_100).select(F.lit("example.net").alias("domain"), F.concat(F.lit("http://a.example.net/"), "id").alias("url"), F.lit("c").alias("crawl"))
+    assert locate.query_domain(index, "example.net", max_results=None).count() == 10_100 and locate.query_domain(index, "example.net").count() == 10_000
+
+
+def test_first_target_of_equal_numbers_is_the_smallest(spark):
+    target = spark.createDataFrame([(u, "s", 5) for u in range(50, 0, -1)], "url long, stripped string, idx long").repartition(7)
+    (found,) = matching.ground_truth(spark.createDataFrame([(99, "s")], "url long, stripped string"), target).collect()
+    assert tuple(found) == (99, 1)
