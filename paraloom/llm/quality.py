@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams trained on trusted text.
 
-Trusted text is labelled good and not toxic. Training counts go to shards by the
+Trusted text is labelled good and not toxic; all of it that is not held out trains the model. Training counts go to shards by the
 two bytes before the last one, so all orders from 3 up that score an n-gram lie in
 one shard; orders 1 and 2 are one table of at most 65,536 counts, known to all.
 Documents are handled in blocks of some MB: a block asks each shard for the
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import lean, mixed, pack_arrays, small_batches, text_blocks, text_digest, unpack_arrays, utf8_column, written
 
 ORDER, SHARDS = 5, 32
-#: The sample of trusted documents that trains the model: this many at most, of which by hash.
-TRAIN_DOCS = 20_000
+#: Bits of the filter by which texts that can't be trusted ones stay where they are when the trusted ones are joined.
+FILTER_BITS = 1 << 26
 #: One trusted document in HELD_OUT, by hash, sets thresholds instead of training.
 HELD_OUT = 4
 QUANTILE, MARGIN, SHRINK_BYTES = 0.99, 0.04, 200.0
@@ -104,21 +104,31 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @lean
 def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    merged = 0
+
+    def merge() -> None:
+        nonlocal merged
+        held[:] = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+        merged = len(held[0][0])
 
     def out() -> pa.RecordBatch:
-        shards = shard_of(held[0])
-        rows = [(s, pack_arrays(held[0][shards == s], held[1][shards == s])) for s in range(SHARDS)]
+        keys, counts = held.pop()
+        shards = shard_of(keys)
+        rows = [(s, pack_arrays(keys[shards == s], counts[shards == s])) for s in range(SHARDS)]
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "counts"])
 
     for block in text_blocks(batches):
         for _, data, ends in slices(*utf8_column(block.column("text"))):
-            keys, counts = np.unique(gram_codes(data, ends), return_counts=True)
-            held = _summed(np.concatenate((held[0], keys)), np.concatenate((held[1], counts)))
-        if len(held[0]) > 1_000_000:
+            held.append(np.unique(gram_codes(data, ends), return_counts=True))
+            if sum(len(k) for k, _ in held) > merged + 1_000_000:
+                merge()
+        if merged > 1_000_000:
+            merge()
             yield out()
-            held = (held[0][:0], held[1][:0])
-    if len(held[0]):
+            merged = 0
+    if held:
+        merge()
         yield out()
 
 
@@ -227,7 +237,29 @@ def trusted_keys(labels: DataFrame, key: str) -> DataFrame:
     return good.withColumn("held_out", F.pmod(F.xxhash64(key, F.lit("held out")), F.lit(HELD_OUT)) == 0)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_docs: int = TRAIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+def _only_with(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """key and text of the rows of docs whose key is among keys. Both meet by key; a filter of FILTER_BITS bits keeps most other texts from being shuffled."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    words = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("w")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros((FILTER_BITS >> 15, 1 << 12), np.uint8)
+    for row in words.toLocalIterator():  # at most FILTER_BITS / 8 bytes, whatever the number of keys
+        bits[row["w"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("p").to_numpy() - 1
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            if batch.num_rows:
+                yield batch.select([key, "text"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    near = docs.select(key, "text", place.alias("p")).mapInArrow(run, f"`{key}` {kind}, text string")
+    return near.join(keys.select(key), key, "left_semi")
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, lang, the columns carry, n_bytes, n_words and n_different (word_variety) and nll, the negative log-probability of the text.
 
     Without a model the last three are null.
@@ -237,8 +269,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tra
     docs = docs if plain_scan(docs) else written(docs.select(*dict.fromkeys((key, "lang", "text", *carry))), "documents")
     kind = docs.schema[key].dataType.simpleString()
     trusted = trusted_keys(labels, key)
-    sample = trusted.where("NOT held_out").orderBy(F.xxhash64(key), key).limit(train_docs).select(key)
-    counts = docs.select(key, "text").join(F.broadcast(sample), key, "left_semi").select("text").mapInArrow(_training_counts, "shard int, counts binary")
+    counts = _only_with(docs, trusted.where("NOT held_out"), key).select("text").mapInArrow(_training_counts, "shard int, counts binary")
     model = written(counts.groupBy("shard").applyInArrow(_shard_model, "shard int, model binary, stats binary"), "model")
     pairs, of_counts = np.zeros(65536, np.int64), np.zeros((ORDER - 2, 4), np.int64)
     for row in model.select("stats").toLocalIterator():  # SHARDS rows of at most 65,536 pairs

@@ -9,6 +9,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -545,3 +546,15 @@ def test_hot_windows_have_two_hashes():
     assert len(set(one)) == len(set(two)) == len(begin) and not (one == two).any()
     twice = suffix.Anchors(np.concatenate((data, data)), np.array([0, 2 * len(data)]))
     assert (twice.hashed_again(begin, begin + 100) == twice.hashed_again(begin + len(data), begin + len(data) + 100)).all()
+
+
+def test_quality_trains_on_all_trusted_text(spark, tmp_path):
+    """More trusted documents than any sample: those that come last by hash are known to the model as well."""
+    n = 28_000
+    tail = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) > n - 1_500
+    made = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("text", F.when(tail, "qzqzqzqzqzqzqzqz").otherwise("the cat sat")).withColumn("lang", F.lit("en"))
+    made.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    worst = quality.score_documents(docs, labels).where("n_bytes = 16").agg(F.max(F.col("nll") / F.col("n_bytes"))).first()[0]
+    assert worst < 1.0
