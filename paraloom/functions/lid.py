@@ -7,6 +7,8 @@ inside Spark by looking its trigrams up in one map literal per language.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,13 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import bound
+from .ngrams import padded_ngrams
 
 
 def trigrams(text: Column) -> Column:
     """Of letters in lower case, other characters being blanks."""
     x = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
-    return bound(x, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))
+    return padded_ngrams(F.split(x, ""), 3, "")  # of an array, as each substring would walk the text from its start
 
 
 @dataclass(frozen=True)
@@ -34,12 +36,13 @@ class LanguageModel:
 
         def one(text: str | None) -> tuple[str, float, bool]:
             x = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in (text or '').lower()).split())} "  # as trigrams() has it
-            grams = [x[i : i + 3] for i in range(len(x) - 2)]
-            if not grams or not weights:
+            n = max(0, len(x) - 2)
+            if not n or not weights:
                 return "un", 0.0, False
-            scores = {k: sum(w.get(g, floor[k]) for g in grams) / len(grams) for k, w in weights.items()}
+            grams = Counter(map("".join, zip(x, x[1:], x[2:])))
+            scores = {k: math.fsum(w.get(g, floor[k]) * c for g, c in grams.items()) / n for k, w in weights.items()}
             best, *rest = sorted(scores, key=lambda k: (-scores[k], k))
-            won = sum(1 for g in grams if g in weights[best]) / len(grams)
+            won = sum(c for g, c in grams.items() if g in weights[best]) / n
             return best, round(100 * won, 2), not rest or scores[best] - scores[rest[0]] > 0.1
 
         return F.pandas_udf(lambda s: pd.DataFrame([one(x) for x in s], columns=["language", "percent", "reliable"]), "struct<language:string,percent:double,reliable:boolean>")
