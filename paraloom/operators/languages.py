@@ -1,8 +1,8 @@
 """Languages inside a text: spans of lines by dynamic programming, up to three languages with percent.
 
 The model is a table: a trigram and, for each language, how much it speaks for it (the logarithm of its share
-there over FLOOR, 0 where it isn't among the language's most frequent). Lines' trigrams are joined to it,
-so a line's evidence for each language is a sum of a join that is aggregated before it is shuffled. Over the lines
+there over FLOOR, 0 where it isn't among the language's most frequent). Lines' trigrams are counted and looked up
+in batches of lines, as numbers, so no trigram becomes a row; only a model that is too large for every task is joined. Over the lines
 of a text the most likely sequence of languages is found, where each change of language costs SWITCH; neighbours
 of one language are a span. Lines without any evidence are unknown, end a span and belong to none.
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from .lineage import cut
 PER_LANGUAGE, FLOOR, SWITCH = 2000, 1e-6, 12.0
 #: Evidence a trigram by which the languages of a text must be ahead of the next ones to be reliable.
 MARGIN = 0.3
+#: Characters whose trigrams are worked on at once.
+SLICE = 1 << 20
 #: Numbers of a model up to which it goes to every task; a larger one is joined by shuffle.
 SMALL_MODEL = 1 << 21
 UNKNOWN = "un"
@@ -38,14 +41,17 @@ class TrigramTable:
     languages: list[str]
     table: DataFrame
 
+    def small(self) -> bool:
+        return self.table.count() * len(self.languages) <= SMALL_MODEL
+
     def joined(self) -> DataFrame:
-        return F.broadcast(self.table) if self.table.count() * len(self.languages) <= SMALL_MODEL else self.table
+        return F.broadcast(self.table) if self.small() else self.table
 
 
 def fit(docs: DataFrame, text: str = "text", language: str = "lang", per_language: int = PER_LANGUAGE) -> TrigramTable:
     """The table of the per_language most frequent trigrams of each language, counted over all texts."""
-    lines = docs.where(F.col(language).isNotNull()).select(F.col(language).alias("l"), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    seen = cut(lines.select("l", F.explode(line_trigrams(F.col("line"))).alias("gram")).groupBy("l", "gram").agg(F.count(F.lit(1)).alias("n")))
+    lines = docs.where(F.col(language).isNotNull()).select(F.col(language).cast("string").alias("l"), F.explode(F.split(F.col(text), "\n")).alias("line"))
+    seen = cut(lines.select("l", letters(F.col("line")).alias("x")).mapInArrow(_counted, "l string, gram string, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")))
     totals = seen.groupBy("l").agg(F.sum("n").alias("total"))
     names = sorted(r.l for r in totals.select("l").collect())
     top = seen.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= per_language)
@@ -70,9 +76,84 @@ def best_path(evidence: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
+def letters(line: Column) -> Column:
+    """A line's letters in lower case between blanks, all else being one blank."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "), F.lit(" "))
+
+
 def line_trigrams(line: Column) -> Column:
-    """Trigrams of a line's letters in lower case, all else being one blank; linear in the line."""
-    return strict_ngrams(F.split(F.concat(F.lit(" "), F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "), F.lit(" ")), ""), 3, "")
+    """Trigrams of letters(line); linear in the line."""
+    return strict_ngrams(F.split(letters(line), ""), 3, "")
+
+
+def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of some texts in order, as numbers of 21 bits a character, and how many each text has."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(c) < 3:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    codes = c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
+    row = np.repeat(np.arange(len(texts)), sizes)
+    return codes[row[:-2] == row[2:]], np.maximum(sizes - 2, 0)
+
+
+def code_of(gram: str) -> int:
+    return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
+
+
+def gram_of(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
+def _sliced(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in runs of about SLICE characters."""
+    held, size = [], 0
+    for x in texts:
+        held.append(x)
+        size += len(x)
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (l, x) to counts of their trigrams, summed a batch."""
+    for batch in batches:
+        of: dict[str, list[str]] = {}
+        for language, x in zip(batch.column("l").to_pylist(), batch.column("x").to_pylist(), strict=True):
+            of.setdefault(language, []).append(x or "")
+        for language, texts in of.items():
+            for part in _sliced(texts):
+                codes, n = np.unique(gram_codes(part)[0], return_counts=True)
+                if len(codes):
+                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(codes), pa.string()), pa.array([gram_of(c) for c in codes.tolist()], pa.string()), pa.array(n, pa.int64())], names=["l", "gram", "n"])
+
+
+def _evidence(model: TrigramTable):
+    """letters(line) to its number of trigrams and their evidence for each language, by a model that every task has."""
+    rows = sorted((code_of(r.gram), r.evidence) for r in model.table.toLocalIterator())
+    none = [0.0] * len(model.languages)
+    shared = model.table.sparkSession.sparkContext.broadcast((np.array([c for c, _ in rows], np.uint64), np.array([*(e for _, e in rows), none], np.float64).reshape(len(rows) + 1, -1)))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known, evidence = shared.value
+        for batch in batches:
+            sums, sizes = [np.zeros((0, evidence.shape[1]))], [np.zeros(0, np.int64)]
+            for part in _sliced(batch.tolist()):
+                codes, n = gram_codes(part)
+                at = np.searchsorted(known, codes)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == codes[hit]
+                at[~hit] = len(known)  # the row of zeros
+                row = np.repeat(np.arange(len(part)), n)
+                sums.append(np.column_stack([np.bincount(row, evidence[at, i], len(part)) for i in range(evidence.shape[1])]) if evidence.shape[1] else np.zeros((len(part), 0)))
+                sizes.append(n)
+            yield pd.DataFrame({"n": np.concatenate(sizes), "evidence": list(np.concatenate(sums))})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, "n long, evidence array<double>")
 
 
 SPAN = "array<struct<language:string,line:int,lines:int,offset:long,bytes:long,ahead:double>>"
@@ -109,11 +190,15 @@ def language_spans(docs: DataFrame, model: TrigramTable, key: list[str], text: s
     kept = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
     held = cut(docs.select(*key, kept.alias("kept")).withColumn("__id", F.monotonically_increasing_id()))
     lines = held.select("__id", F.posexplode("kept").alias("pos", "line"))
-    grams = lines.select("__id", "pos", F.explode(line_trigrams(F.col("line"))).alias("gram"))
     zero = F.array(*[F.lit(0.0)] * len(model.languages))
-    sums = [F.sum(F.coalesce(F.get("evidence", F.lit(i)), F.lit(0.0))) for i in range(len(model.languages))]
-    scored = grams.join(model.joined(), "gram", "left").groupBy("__id", "pos").agg(F.array(*sums).alias("evidence"), F.count(F.lit(1)).alias("n"))
-    sized = lines.select("__id", "pos", (F.octet_length("line") + 1).cast("long").alias("size")).join(scored, ["__id", "pos"], "left")
+    size = (F.octet_length("line") + 1).cast("long").alias("size")
+    if model.small():
+        sized = lines.select("__id", "pos", size, _evidence(model)(letters(F.col("line"))).alias("s")).select("__id", "pos", "size", "s.n", "s.evidence")
+    else:
+        grams = lines.select("__id", "pos", F.explode(line_trigrams(F.col("line"))).alias("gram"))
+        sums = [F.sum(F.coalesce(F.get("evidence", F.lit(i)), F.lit(0.0))) for i in range(len(model.languages))]
+        scored = grams.join(model.table, "gram", "left").groupBy("__id", "pos").agg(F.array(*sums).alias("evidence"), F.count(F.lit(1)).alias("n"))
+        sized = lines.select("__id", "pos", size).join(scored, ["__id", "pos"], "left")
     line = F.struct("pos", "size", F.coalesce("evidence", zero).alias("evidence"))
     texts = sized.groupBy("__id").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams"))
     found = texts.select("__id", "grams", _spans(model.languages, switch)("lines").alias("spans"))
