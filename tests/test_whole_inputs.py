@@ -54,3 +54,12 @@ def test_first_target_of_equal_numbers_is_the_smallest(spark):
     target = spark.createDataFrame([(u, "s", 5) for u in range(50, 0, -1)], "url long, stripped string, idx long").repartition(7)
     (found,) = matching.ground_truth(spark.createDataFrame([(99, "s")], "url long, stripped string"), target).collect()
     assert tuple(found) == (99, 1)
+
+
+def test_repeated_ngrams_inside_a_text_and_over_rows_of_one_id(spark, tmp_path):
+    assert sorted(spark.sql("SELECT array('b', 'a', 'b', 'c', 'b', 'a') AS t").select(ngrams.repeated(F.col("t"))).first()[0]) == ["a", "a", "b", "b", "b"]
+    for ids, name in (((1, 2), "alone"), ((1, 1), "shared")):
+        path = tmp_path / name
+        spark.createDataFrame([(ids[0], "a b c d a b c d"), (ids[1], "b c d a")], "doc_id long, text string").write.parquet(str(path / "documents.parquet"))
+        found = {tuple(r) for r in queries.ngrams4(spark, str(path)).collect()}
+        assert found == ({(1, "a b c d", 2)} if name == "alone" else {(1, "a b c d", 2), (1, "b c d a", 2)})
