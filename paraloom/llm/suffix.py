@@ -7,8 +7,13 @@ twice in the corpus can repeat; they meet by anchor. Where all zones of an ancho
 equal (128 bits of hash), all but the first repeat whole. Where they differ, the
 suffix array of the different zones (linear grouping, see suffix_groups.java) tells
 which of their windows occur earlier. Equal zones of a block travel once; different
-zones of an anchor that occurs in over HOT_BLOCKS blocks go on window by window, keyed
-by the window's own content (128 bits of two independent hashes), so no anchor gathers more than that many blocks' zones.
+zones of an anchor that occurs in over HOT_BLOCKS blocks and in over one of HOT_SHARE go on
+window by window, keyed by the window's own content (128 bits of two independent hashes), so no
+anchor gathers more than that many blocks' zones. Windows take several times a zone's bytes, so which anchors
+are hot is told by a share of the blocks: a fixed number of blocks is passed by ever more anchors as the input grows.
+
+The input is read twice in the same blocks of texts, so that no block is written; an input that is not a
+plain scan of files is written first.
 
 Earlier means smaller key, then (for repeated keys) the place in the table that was
 written, then the position.
@@ -32,11 +37,12 @@ from pyspark.sql import functions as F
 from .common import lean, mixed, pack_arrays, small_batches, text_blocks, unpack_arrays, utf8_column, written
 from .jvm_kernel import call
 from .minhash import BASE, BASE_INVERSE, LEVEL_CODES, WORD_CODES
+from .quality import plain_scan
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
 BLOCK = 1 << 20
-HOT_BLOCKS = 64
+HOT_BLOCKS, HOT_SHARE = 64, 4
 #: Bytes of zones that one suffix array takes at least (whole anchors stay together).
 CHUNK = 1 << 20
 #: A place in a block; a text, being a JVM string, has fewer than 2**31 bytes.
@@ -108,61 +114,77 @@ def _read(blob: bytes) -> tuple[pa.Table, np.ndarray, Anchors]:
     return block, block.column(KEY).cast(pa.int64()).fill_null(int(FIRST)).to_numpy(), Anchors(*utf8_column(block.column("text")))
 
 
-@lean
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
     pid = TaskContext.get().partitionId()
-    for seq, block in enumerate(text_blocks(batches, BLOCK)):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(block.combine_chunks())
-        yield pa.RecordBatch.from_arrays([pa.array([pid << 32 | seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+    for seq, block in enumerate(text_blocks(batches, size)):
+        yield pid << 32 | seq, block
+
+
+def _blocks(size: int):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in _numbered_blocks(batches, size):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(block.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+
+    return run
 
 
-def _anchor_requests(shards: int):
+def _anchor_requests(shards: int, size: int):
     """For each block and shard: sorted keys (lowest bit: occurs twice here) and their zones' hashes (lowest bit: zones differ here)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
-                found = _read(texts.as_py())[2]
-                if not len(found.key):
-                    continue  # no window in this block: it has no answers either
-                order = np.lexsort((found.zone, found.key))
-                keys, zones = found.key[order], found.zone[order] & ~np.uint64(1)
-                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                last = np.append(first[1:], len(keys)) - 1
-                keys, zones = keys[first] | (last > first).astype(np.uint64), zones[first] | (zones[first] != zones[last]).astype(np.uint64)
-                shard = (keys >> np.uint64(1)) % np.uint64(shards)
-                order = np.argsort(shard, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                    if len(part):
-                        yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), pa.array([block], pa.int64()), pa.array([keys[part].tobytes()], pa.binary()), pa.array([zones[part].tobytes()], pa.binary())], names=["shard", "block", "keys", "zones"])
+        for number, block in _numbered_blocks(batches, size):
+            found = Anchors(*utf8_column(block.column("text")))
+            if not len(found.key):
+                continue  # no window in this block: it has no answers either
+            order = np.lexsort((found.zone, found.key))
+            keys, zones = found.key[order], found.zone[order] & ~np.uint64(1)
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            last = np.append(first[1:], len(keys)) - 1
+            keys, zones = keys[first] | (last > first).astype(np.uint64), zones[first] | (zones[first] != zones[last]).astype(np.uint64)
+            shard = (keys >> np.uint64(1)) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), pa.array([number], pa.int64()), pa.array([keys[part].tobytes()], pa.binary()), pa.array([zones[part].tobytes()], pa.binary())], names=["shard", "block", "keys", "zones"])
 
     return run
 
 
-#: Flags of an anchor: it occurs again, in over HOT_BLOCKS blocks, with different zones.
+#: Flags of an anchor: it occurs again, in so many blocks that it is hot, with different zones.
 AGAIN, HOT, DIFFERENT = 1, 2, 4
 
 
-@lean
-def _repeated_anchors(asked: pa.Table) -> pa.Table:
-    """The flags of each block's anchors, in order."""
-    parts = [np.frombuffer(k.as_py(), np.uint64) for k in asked.column("keys")]
-    keys, zones = np.concatenate(parts), np.concatenate([np.frombuffer(z.as_py(), np.uint64) for z in asked.column("zones")])
-    order = np.argsort(keys >> np.uint64(1), kind="stable")
-    bare = keys[order] >> np.uint64(1)
-    first = np.flatnonzero(np.concatenate(([True], bare[1:] != bare[:-1])))
-    many = np.diff(np.append(first, len(bare)))
-    twice = np.maximum.reduceat(keys[order] & np.uint64(1), first) > 0
-    low, high = np.minimum.reduceat(zones[order], first), np.maximum.reduceat(zones[order], first)
-    differ = (low != high) | (low & np.uint64(1)).astype(bool)
-    flag = ((many > 1) | twice).astype(np.uint8) * AGAIN | (many > HOT_BLOCKS).astype(np.uint8) * HOT | differ.astype(np.uint8) * DIFFERENT
-    flags = np.zeros(len(keys), np.uint8)
-    flags[order] = np.repeat(flag, many)
-    out = np.split(flags, np.cumsum([len(p) for p in parts])[:-1])
-    return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "flags": pa.array([f.tobytes() for f in out], pa.binary())})
+def _repeated_anchors(hot_blocks: int, hot_share: int):
+    @lean
+    def run(asked: pa.Table) -> pa.Table:
+        """The flags of each block's anchors, in order."""
+        parts = [np.frombuffer(k.as_py(), np.uint64) for k in asked.column("keys")]
+        keys, zones = np.concatenate(parts), np.concatenate([np.frombuffer(z.as_py(), np.uint64) for z in asked.column("zones")])
+        order = np.argsort(keys >> np.uint64(1), kind="stable")
+        bare = keys[order] >> np.uint64(1)
+        first = np.flatnonzero(np.concatenate(([True], bare[1:] != bare[:-1])))
+        many = np.diff(np.append(first, len(bare)))
+        twice = np.maximum.reduceat(keys[order] & np.uint64(1), first) > 0
+        low, high = np.minimum.reduceat(zones[order], first), np.maximum.reduceat(zones[order], first)
+        differ = (low != high) | (low & np.uint64(1)).astype(bool)
+        hot = many > max(hot_blocks, asked.num_rows // hot_share)  # a row a block, so that nearly all blocks are here
+        flag = ((many > 1) | twice).astype(np.uint8) * AGAIN | hot.astype(np.uint8) * HOT | differ.astype(np.uint8) * DIFFERENT
+        flags = np.zeros(len(keys), np.uint8)
+        flags[order] = np.repeat(flag, many)
+        out = np.split(flags, np.cumsum([len(p) for p in parts])[:-1])
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "flags": pa.array([f.tobytes() for f in out], pa.binary())})
+
+    return run
+
+
+def _same_split(same: bool) -> None:
+    if not same:
+        raise RuntimeError("a block of documents was read in another split than before; give the operator a table that was written")
 
 
 class Zones:
@@ -173,7 +195,9 @@ class Zones:
         shard = ((unique >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
         flag = np.zeros(len(unique), np.uint8)
         for s, values in flags.items():
-            flag[shard == s] = values
+            mine = shard == s
+            _same_split(np.count_nonzero(mine) == len(values))
+            flag[mine] = values
         flag = flag[np.searchsorted(unique, found.key)] if len(unique) else flag
         flag[flag & AGAIN == 0] = 0
         hot = np.flatnonzero(flag == AGAIN | HOT | DIFFERENT)
@@ -211,7 +235,8 @@ def _send_zones(shards: int):
     @lean
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"shard": [], "block": [], "zones": []}
-        if texts.num_rows and answers.num_rows:
+        _same_split(bool(texts.num_rows))
+        if answers.num_rows:
             _, keys, found = _read(texts.column("texts")[0].as_py())
             zones = Zones(found, keys, _flags(answers), shards)
             for s in np.unique(zones.shard):
@@ -293,6 +318,7 @@ def _apply(shards: int, carry: list[str], as_text: bool):
     @lean
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """answers: rows of anchor flags (kind 0) and of windows that occur earlier (kind 1)."""
+        _same_split(bool(texts.num_rows))
         block, keys, found = _read(texts.column("texts")[0].as_py())
         kind = np.array(answers.column("kind").to_pylist(), np.int64)
         data, ends = found.data, found.ends
@@ -333,10 +359,11 @@ def _repeats(docs: DataFrame, key: str, carry: list[str], as_text: bool) -> Data
     numbers = [f"__{i}" for i in range(len(carry))]
     rows = docs.select(F.col(f"`{key}`").alias(KEY), "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, numbers, strict=True)))
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [KEY, *numbers])
+    rows = rows if plain_scan(docs) else written(rows, "documents")
     shards = max(8, rows._jdf.rdd().getNumPartitions())
-    blocks = written(rows.mapInArrow(_blocks, "block long, texts binary"), "blocks")
-    asked = blocks.mapInArrow(_anchor_requests(shards), "shard int, block long, keys binary, zones binary")
-    flags = written(asked.groupBy("shard").applyInArrow(_repeated_anchors, "block long, shard int, flags binary"), "anchor-flags")
+    blocks = rows.mapInArrow(_blocks(BLOCK), "block long, texts binary")
+    asked = rows.mapInArrow(_anchor_requests(shards, BLOCK), "shard int, block long, keys binary, zones binary")
+    flags = written(asked.groupBy("shard").applyInArrow(_repeated_anchors(HOT_BLOCKS, HOT_SHARE), "block long, shard int, flags binary"), "anchor-flags")
     sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_zones(shards), "shard int, block long, zones binary")
     chunks = sent.groupBy("shard").applyInArrow(_zone_texts, CHUNKS)
     sorted_chunks = chunks.withColumn("marks", F.unbase64(call(spark, "SuffixGroups", "suffix_groups.java", "repeats", F.base64("text"), F.lit(LENGTH))))

@@ -558,3 +558,22 @@ def test_quality_trains_on_all_trusted_text(spark, tmp_path):
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     worst = quality.score_documents(docs, labels).where("n_bytes = 16").agg(F.max(F.col("nll") / F.col("n_bytes"))).first()[0]
     assert worst < 1.0
+
+
+def test_hot_anchors_are_a_share_of_the_blocks():
+    """An anchor in 90 of 400 blocks keeps its zones; one in 150 goes by windows."""
+    keys = lambda b: np.array([k for k, n in ((2, 90), (4, 150), (6, 1)) if b < n], np.uint64)
+    blocks = list(range(400))
+    asked = suffix.pa.table({"shard": [0] * 400, "block": blocks, "keys": [keys(b).tobytes() for b in blocks], "zones": [np.full(len(keys(b)), b << 1, np.uint64).tobytes() for b in blocks]})
+    flags = [list(f.as_py()) for f in suffix._repeated_anchors(64, 4)(asked).column("flags")]
+    plain, hot = suffix.AGAIN | suffix.DIFFERENT, suffix.AGAIN | suffix.DIFFERENT | suffix.HOT
+    assert flags[0] == [plain, hot, 0] and flags[89] == [plain, hot] and flags[149] == [hot] and flags[150] == []
+
+
+def test_suffix_dedup_writes_no_texts_of_a_plain_scan(spark, tmp_path, monkeypatch):
+    names = []
+    monkeypatch.setattr(suffix, "written", lambda df, name: names.append(name) or df)
+    spark.createDataFrame([(i, words(41, 60)) for i in range(3)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert sorted(r["n_removed"] > 0 for r in suffix.remove_repeats(read).collect()) == [False, True, True] and names == ["anchor-flags"]
+    assert suffix.remove_repeats(read.orderBy("doc_id")).count() == 3 and names[1:] == ["documents", "anchor-flags"]
