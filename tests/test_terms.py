@@ -29,3 +29,10 @@ def test_counts_of_a_row(spark):
         sums = lambda x: {tuple(r) for r in terms.tfidf(x, ["id"], variant, 1, 2).select("id", "term", F.round("weight", 9)).collect()}
         assert sums(found) == sums(found.drop("most", "total"))
     assert ngrams.counted(F.lit(None).cast("array<string>")) is not None
+
+
+def test_index_counts_equal_the_lists(spark):
+    docs = spark.createDataFrame([*enumerate(TEXTS), (3, "b a"), (None, "a")], "id long, text string")
+    for given in (docs, docs.dropDuplicates(["id"])):
+        plain = terms.inverted_index(given, F.split("text", " "), "id").select("term", F.size("docs"), F.get("docs", 0))
+        assert {tuple(r) for r in plain.where("size(docs) > 0").collect()} == {tuple(r) for r in terms.index_counts(given, F.split("text", " "), "id").collect()}
