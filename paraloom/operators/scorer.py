@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import ngrams
 from ..functions import text as T
 from .lineage import cut
+from .terms import one_row_each
 
 
 @dataclass(frozen=True)
@@ -79,8 +80,13 @@ class Registry:
         used = list(dict.fromkeys(e for e, _ in asked))
         wanted = cut(pairs.select("src_id", "tgt_id").distinct())
         needed = wanted.select(F.explode(F.array("src_id", "tgt_id")).alias(key)).distinct()
-        tokens = docs.join(needed, key, "left_semi").select(key, F.explode(F.array(*(F.struct(F.lit(e).alias("by"), self.extractors[e]().alias("t")) for e in used))).alias("x"))
-        counts = cut(tokens.select(F.col(key).alias("id"), "x.by", F.explode("x.t").alias("token")).where("trim(token) <> ''").groupBy("id", "by", "token").agg(F.count(F.lit(1)).alias("n")))
+        mine = docs.join(needed, key, "left_semi")
+        if one_row_each(docs, [key]):  # counted in the row, not in a table of all tokens
+            found = mine.select(F.col(key).alias("id"), F.explode(F.array(*(F.struct(F.lit(e).alias("by"), ngrams.counted(self.extractors[e]()).alias("t")) for e in used))).alias("x"))
+            counts = cut(found.select("id", "x.by", F.explode("x.t").alias("x")).select("id", "by", F.col("x.term").alias("token"), F.col("x.count").alias("n")).where("trim(token) <> ''"))
+        else:
+            tokens = mine.select(key, F.explode(F.array(*(F.struct(F.lit(e).alias("by"), self.extractors[e]().alias("t")) for e in used))).alias("x"))
+            counts = cut(tokens.select(F.col(key).alias("id"), "x.by", F.explode("x.t").alias("token")).where("trim(token) <> ''").groupBy("id", "by", "token").agg(F.count(F.lit(1)).alias("n")))
         alone = counts.groupBy("id", "by").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), *(F.col(c) if c in ("by", "token") else F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "id"))
         meet = wanted.join(side(counts, "src"), "src_id").join(side(counts, "tgt"), ["tgt_id", "by", "token"])

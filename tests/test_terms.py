@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from paraloom.functions import ngrams
-from paraloom.operators import terms
+from paraloom.operators import scorer, terms
 
 TEXTS = ["b a b c", "", None, "a a a d", "eé a eé", "z"]
 
@@ -36,3 +36,12 @@ def test_index_counts_equal_the_lists(spark):
     for given in (docs, docs.dropDuplicates(["id"])):
         plain = terms.inverted_index(given, F.split("text", " "), "id").select("term", F.size("docs"), F.get("docs", 0))
         assert {tuple(r) for r in plain.where("size(docs) > 0").collect()} == {tuple(r) for r in terms.index_counts(given, F.split("text", " "), "id").collect()}
+
+
+def test_scores_of_repeated_ids_add_up(spark):
+    pairs = spark.createDataFrame([(0, 1)], "src_id long, tgt_id long")
+    docs = spark.createDataFrame([(0, "a b a"), (1, "a c")], "doc_id long, text string")
+    halves = spark.createDataFrame([(0, "a b"), (0, "a"), (1, "a c")], "doc_id long, text string")
+    asked = [("words", r) for r in scorer.RATIOS]
+    one, two = (scorer.Registry().scored(pairs, d, asked).first() for d in (docs, halves))
+    assert tuple(one) == tuple(two)
