@@ -4,6 +4,7 @@ import difflib
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,13 @@ def test_simhash_equals_plain_counting(spark):
         hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in texts[row["id"]].split()]
         bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         assert row["h"] % (1 << 64) == bits
+
+
+def test_sha1_buckets_hash_a_word_once(monkeypatch):
+    import hashlib
+
+    asked, plain = [], hashlib.sha1
+    monkeypatch.setattr(hashlib, "sha1", lambda x: asked.append(x) or plain(x))
+    found = ngrams.sha1_buckets(pd.Series([["once"] * 5, ["once", "more"]]), ["salt", "x"], 997)
+    of = lambda w: {int(plain((s + w).encode()).hexdigest(), 16) % 997 for s in ("salt", "x")}
+    assert list(found) == [sorted(of("once")), sorted(of("once") | of("more"))] and len(asked) == 4
