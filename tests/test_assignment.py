@@ -35,6 +35,25 @@ def test_paths_equal_the_dense_solver():
         assert abs(sum(x for _, _, x in found) - largest(pairs)) < 1e-9
 
 
+def test_paths_end_for_scores_that_floats_round():
+    for seed in range(60):
+        r = random.Random(seed)
+        values = [round(r.random() * 10, 3) for _ in range(4)]
+        pairs = [(s, t, r.choice(values)) for s in range(12) for t in range(6) if r.random() < 0.5]
+        found = assignment.best_pairs(pairs)
+        assert one_to_one(found) and set(found) <= set(pairs)
+        assert abs(sum(x for _, _, x in found) - largest(pairs)) < 1e-9
+
+
+def test_auction_in_blocks(spark):
+    pairs = [(s, f"t{t:02d}", x) for s, t, x in graph(1, 20, 8, 0.6)]  # more sources than targets; blocks fight for the same ones
+    frame = spark.createDataFrame(pairs, "src long, tgt string, score double").repartition(3)
+    found = [tuple(r) for r in assignment.auction(frame, 1 / 16, block_pairs=50).collect()]  # whole numbers, step times the smaller side below 1
+    assert one_to_one(found) and set(found) <= set(pairs)
+    assert sum(x for _, _, x in found) == largest([(s, int(t[1:]), x) for s, t, x in pairs])
+    assert assignment._blocks([(0, 25), (1, 95), (2, 10), (3, 20)], 40) == {3: (0, 1), 2: (0, 1), 1: (1, 3), 0: (4, 1)}
+
+
 def test_components_and_auction(spark):
     pairs = graph(1, 12, 9, 0.2) + [(s + 50, t + 50, x) for s, t, x in graph(2, 9, 12, 0.4)] + [(s + 90, t + 90, x) for s, t, x in graph(3, 6, 6, 1)]
     rows = [*pairs, pairs[0], (pairs[1][0], pairs[1][1], 0.5), (7, 7, -1.0), (None, 3, 9.0), (3, None, 9.0), (8, 8, None), (9, 9, float("nan"))]
