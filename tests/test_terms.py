@@ -45,3 +45,17 @@ def test_scores_of_repeated_ids_add_up(spark):
     asked = [("words", r) for r in scorer.RATIOS]
     one, two = (scorer.Registry().scored(pairs, d, asked).first() for d in (docs, halves))
     assert tuple(one) == tuple(two)
+
+
+def test_weights_of_wanted_documents_equal_those_of_all_terms(spark):
+    texts = ["a b b c", "b c\n", " c  d d", "", None, "a e f f f", "c b a"]
+    rows = [(i, "en" if i % 3 else "fr", t) for i, t in enumerate(texts)]
+    tokens, keys = F.split("text", r"\s+"), ["doc_id", "lang"]
+    for more in ([], [(1, "en", "c a x")]):  # the second: two rows of one document
+        docs = spark.createDataFrame(rows + more, "doc_id long, lang string, text string").repartition(3)
+        for variant, least, most in ((7, 2, 4), (7, 1, 3), (10, 1, 1000), (20, 2, 1000)):
+            counted = docs.select(*keys, F.explode(F.filter(tokens, lambda t: t != "")).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("count"))
+            plain = terms.tfidf(counted, keys, variant, least, most).where("lang = 'en'")
+            found = terms.tfidf_of(docs, tokens, keys, "lang = 'en'", variant, least, most)
+            both = [sorted((*r[:3], round(r[3], 9)) for r in x.collect()) for x in (plain, found)]
+            assert both[0] == both[1] and both[0]
