@@ -45,6 +45,8 @@ BLOCK = 1 << 20
 HOT_BLOCKS, HOT_SHARE = 64, 4
 #: Bytes of zones that one suffix array takes at least (whole anchors stay together).
 CHUNK = 1 << 20
+#: Bytes of the input's files a shard at most, whatever the size of a partition: a shard's keys, and then its zones, meet in one Python worker.
+SHARD_BYTES = 16 << 20
 #: A place in a block; a text, being a JVM string, has fewer than 2**31 bytes.
 PLACE_BITS = np.uint64(32)
 #: Names inside the operator, which no column of docs can clash with.
@@ -148,9 +150,8 @@ def _anchor_requests(shards: int, size: int):
             keys, zones = keys[first] | (last > first).astype(np.uint64), zones[first] | (zones[first] != zones[last]).astype(np.uint64)
             shard = (keys >> np.uint64(1)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(shard[part[0]])], pa.int32()), pa.array([number], pa.int64()), pa.array([keys[part].tobytes()], pa.binary()), pa.array([zones[part].tobytes()], pa.binary())], names=["shard", "block", "keys", "zones"])
+            parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([zones[p].tobytes() for p in parts], pa.binary())], names=["shard", "block", "keys", "zones"])
 
     return run
 
@@ -194,10 +195,11 @@ class Zones:
         unique = np.unique(found.key)
         shard = ((unique >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
         flag = np.zeros(len(unique), np.uint8)
+        by_shard, many = np.argsort(shard, kind="stable"), np.bincount(shard, minlength=shards)
+        upto = np.cumsum(many)
         for s, values in flags.items():
-            mine = shard == s
-            _same_split(np.count_nonzero(mine) == len(values))
-            flag[mine] = values
+            _same_split(many[s] == len(values))
+            flag[by_shard[upto[s] - many[s] : upto[s]]] = values
         flag = flag[np.searchsorted(unique, found.key)] if len(unique) else flag
         flag[flag & AGAIN == 0] = 0
         hot = np.flatnonzero(flag == AGAIN | HOT | DIFFERENT)
@@ -217,9 +219,11 @@ class Zones:
         self.content = content[order]
         self.head = np.concatenate(([True], (self.key[1:] != self.key[:-1]) | (self.content[1:] != self.content[:-1]))) if len(order) else np.zeros(0, bool)
         self.shard = ((self.key >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+        heads = np.flatnonzero(self.head)
+        self._heads, self._upto = heads[np.argsort(self.shard[heads], kind="stable")], np.cumsum(np.bincount(self.shard[heads], minlength=shards))
 
     def heads(self, shard: int) -> np.ndarray:
-        return np.flatnonzero(self.head & (self.shard == shard))
+        return self._heads[self._upto[shard - 1] if shard else 0 : self._upto[shard]]
 
 
 def _flags(answers: pa.Table) -> dict[int, np.ndarray]:
@@ -352,6 +356,12 @@ def _apply(shards: int, carry: list[str], as_text: bool):
     return run
 
 
+def shards_of(rows: DataFrame) -> int:
+    """How many shards keys are dealt over: by the bytes of the table, as its partitions may be of any size."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, rows._jdf.rdd().getNumPartitions(), -(-size // SHARD_BYTES) if size < 1 << 50 else 0)  # more: not known
+
+
 def _repeats(docs: DataFrame, key: str, carry: list[str], as_text: bool) -> DataFrame:
     """Per row: KEY, the columns carry by number, n_bytes, n_removed, n_spans, kept and, if asked for, kept as text without incomplete characters."""
     spark = docs.sparkSession
@@ -359,8 +369,9 @@ def _repeats(docs: DataFrame, key: str, carry: list[str], as_text: bool) -> Data
     numbers = [f"__{i}" for i in range(len(carry))]
     rows = docs.select(F.col(f"`{key}`").alias(KEY), "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, numbers, strict=True)))
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [KEY, *numbers])
-    rows = rows if plain_scan(docs) else written(rows, "documents")
-    shards = max(8, rows._jdf.rdd().getNumPartitions())
+    plain = plain_scan(docs)
+    rows = rows if plain else written(rows, "documents")
+    shards = shards_of(docs if plain else rows)  # a Project's size is guessed by its types
     blocks = rows.mapInArrow(_blocks(BLOCK), "block long, texts binary")
     asked = rows.mapInArrow(_anchor_requests(shards, BLOCK), "shard int, block long, keys binary, zones binary")
     flags = written(asked.groupBy("shard").applyInArrow(_repeated_anchors(HOT_BLOCKS, HOT_SHARE), "block long, shard int, flags binary"), "anchor-flags")

@@ -577,3 +577,14 @@ def test_suffix_dedup_writes_no_texts_of_a_plain_scan(spark, tmp_path, monkeypat
     read = spark.read.parquet(str(tmp_path / "d"))
     assert sorted(r["n_removed"] > 0 for r in suffix.remove_repeats(read).collect()) == [False, True, True] and names == ["anchor-flags"]
     assert suffix.remove_repeats(read.orderBy("doc_id")).count() == 3 and names[1:] == ["documents", "anchor-flags"]
+
+
+def test_shards_follow_the_bytes_of_a_table_not_its_partitions(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} {'text ' * 60}{i % 3}") for i in range(400)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    found = sorted(tuple(r) for r in suffix.remove_repeats(read).collect())
+    size = sum(p.stat().st_size for p in (tmp_path / "d").glob("*.parquet"))
+    monkeypatch.setattr(suffix, "SHARD_BYTES", -(-size // 40))
+    assert read.rdd.getNumPartitions() == 1 and suffix.shards_of(read) == 40
+    assert sorted(tuple(r) for r in suffix.remove_repeats(read).collect()) == found
