@@ -174,3 +174,20 @@ def test_sha1_buckets_hash_a_word_once(monkeypatch):
     found = ngrams.sha1_buckets(pd.Series([["once"] * 5, ["once", "more"]]), ["salt", "x"], 997)
     of = lambda w: {int(plain((s + w).encode()).hexdigest(), 16) % 997 for s in ("salt", "x")}
     assert list(found) == [sorted(of("once")), sorted(of("once") | of("more"))] and len(asked) == 4
+
+
+def test_hashed_bits_of_long_and_missing_lines(spark):
+    import time
+
+    words = F.transform(F.sequence(F.lit(1), F.col("id")), lambda i: F.concat(F.lit("w"), i))
+    began = time.time()
+    rows = spark.createDataFrame([(100_000,), (3,)], "id int").select("id", ngrams.double_hash_features(words, 3, 1 << 16).alias("bits")).collect()
+    assert time.time() - began < 30  # the pairs of hashes were compared with one another
+    assert sorted(r["bits"] == sorted(set(r["bits"])) for r in rows) == [True, True] and min(len(r["bits"]) for r in rows) <= 9
+    lists = [["a", "b", "a"], None, [], ["b"] * 3]
+    made = spark.createDataFrame(list(enumerate(lists)), "id int, w array<string>").coalesce(1)
+    found = {r[0]: r[1:] for r in made.select("id", ngrams.double_hash_features(F.col("w"), 2, 7), ngrams.sha1_features(5, ["s", ""])("w")).collect()}
+    of = lambda ws: sorted({int(__import__("hashlib").sha1((s + w).encode()).hexdigest(), 16) % 5 for s in ("s", "") for w in ws})
+    assert [found[i][1] for i in range(4)] == [of("ab"), None, [], of("b")] and found[1][0] is None and found[2][0] == []
+    for width, expected in ((1, ["a", "", "b"]), (2, ["a-", "-b"]), (4, ["a--b"])):
+        assert spark.range(1).select(ngrams.padded_ngrams(F.array(F.lit("a"), F.lit(""), F.lit("b")), width, "-")).first()[0] == expected
