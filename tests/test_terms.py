@@ -1,5 +1,6 @@
 """Counts made in a document's own row against plain counts, and weights without the frequent terms' rows."""
 
+import math
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -59,3 +60,14 @@ def test_weights_of_wanted_documents_equal_those_of_all_terms(spark):
             found = terms.tfidf_of(docs, tokens, keys, "lang = 'en'", variant, least, most)
             both = [sorted((*r[:3], round(r[3], 9)) for r in x.collect()) for x in (plain, found)]
             assert both[0] == both[1] and both[0]
+
+
+def test_terms_of_all_documents_count_without_a_cap(spark, tmp_path, monkeypatch):
+    from paraloom.plans import queries
+
+    rows = [(i, f"all rare{i // 2} once{i}", "en", "s") for i in range(1002)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", 3)  # fewer than there are
+    found = queries.QUERIES["tfidf_augmented_smooth"](spark, str(tmp_path)).collect()
+    expected = round(math.log(1 + 1002 / 1002) + math.log(1 + 1002 / 2), 4)
+    assert len(found) == 1002 and {(r["n_terms"], r["total"]) for r in found} == {(2, expected)}
