@@ -55,3 +55,17 @@ def test_all_combinations(spark):
     assert scorer.combined(found, {"words_dice": 2.0, "lines_size": -1.0}).where(F.abs(F.col("score") - 2 * F.col("words_dice") + F.col("lines_size")) > 1e-12).count() == 0
     with pytest.raises(KeyError, match="nothing"):
         registry.scored(found, frame, [("words", "nothing")])
+
+
+def test_pairs_are_scored_without_a_table_of_tokens(spark, monkeypatch):
+    texts = ["a b a\n \nc d", None, "", "b a c c\nc d", "dé dé   x"]
+    docs = spark.createDataFrame([(i, t, "more") for i, t in enumerate(texts)], "doc_id long, text string, src_id string").repartition(3)
+    pairs = spark.createDataFrame([(i, j) for i in range(6) for j in range(6)], "src_id long, tgt_id long")  # 5 has no document
+    asked, made, plain = scorer.all_of(scorer.Registry()), [], scorer.cut
+    monkeypatch.setattr(scorer, "cut", lambda df: made.append(df.columns) or plain(df))
+    found = scorer.Registry().scored(pairs, docs, asked)
+    assert made == [["src_id", "tgt_id"]]  # and no counts
+    monkeypatch.setattr(scorer, "one_row_each", lambda *_: False)  # as for documents of several rows
+    expected = scorer.Registry().scored(pairs, docs.drop("src_id"), asked)
+    rows = [sorted(tuple(round(v, 12) for v in r) for r in x.collect()) for x in (found, expected)]
+    assert rows[0] == rows[1] and len(rows[0]) == 36
